@@ -68,11 +68,8 @@ def match_signatures(pages: DataFrame, signatures: DataFrame | None = None, text
     if signatures is not None:
         # page text is untouched on the stream side; a pattern column is
         # recompiled per row, the price of user-supplied rules
-        joined = upper.join(signatures, F.col("_u").rlike(F.concat(F.lit("(?d)"), F.col("pattern"))))
-        evidence = F.btrim(
-            F.regexp_extract(F.col("_u"), F.concat(F.lit("(?d)"), F.col("pattern")), F.lit(0)),
-            F.lit(" \t\n\r\x0b\x0c"),
-        )
+        joined = upper.join(signatures, F.expr("rlike(_u, concat('(?d)', pattern))"))
+        evidence = F.expr(r"btrim(regexp_extract(_u, concat('(?d)', pattern), 0), ' \t\n\r')")
         return joined.select(*[c for c in pages.columns if c != text], "doc_type", "tier", evidence.alias("evidence"))
     hits = [
         f"named_struct('doc_type', '{t}', 'tier', '{tier}', 'evidence', {match_sql('_u', p)})"

@@ -24,7 +24,7 @@ from inkwell.rules.extraction import RULES, Rule
 NO_LINE_CONFIDENCE = 0.95
 TEXT_LINE_CONFIDENCE = 0.96
 
-_CANDIDATE = "struct<f:array<string>,mf:array<string>,mk:string,op:string,g:string,v:string,cf:double,cl:boolean>"
+_CANDIDATE = "struct<f:array<string>,mf:array<string>,mk:string,op:string,g:string,v:string,n:string,cf:double,cl:boolean>"
 _OUTPUT = "array<struct<field:string,value:string,values:array<string>,needle:string,cf:double,cl:boolean>>"
 _SOURCES = {"text": "_t", "digits": "_d", "upper": "_u", "unspaced": "_ns"}
 
@@ -56,15 +56,16 @@ def _rule_sql(rule: Rule, siblings: list[Rule]) -> str:
     return _candidate(
         [] if rule.drop else [rule.field, *rule.copies], value, rule.op, rule.guard,
         rule.masked[0].split(",") if rule.masked else [], rule.masked[1] if rule.masked else "", rule.confidence,
+        match_sql(text, rule.line_pattern, 1, ignore_case=True) if rule.line_pattern else "CAST(NULL AS STRING)",
     )
 
 
 def _candidate(fields: list[str], value: str, op: str = "clean", guard: str = "", masked: list[str] | None = None,
-               mask: str = "", confidence: float | str | None = "line") -> str:
+               mask: str = "", confidence: float | str | None = "line", needle: str = "CAST(NULL AS STRING)") -> str:
     fixed = f"CAST({confidence} AS DOUBLE)" if isinstance(confidence, float) else "CAST(NULL AS DOUBLE)"
     return (
         f"named_struct('f', {_strings(fields)}, 'mf', {_strings(masked or [])}, 'mk', {quote(mask)}, "
-        f"'op', {quote(op)}, 'g', {quote(guard)}, 'v', {value}, 'cf', {fixed}, 'cl', {str(confidence == 'line').lower()})"
+        f"'op', {quote(op)}, 'g', {quote(guard)}, 'v', {value}, 'n', {needle}, 'cf', {fixed}, 'cl', {str(confidence == 'line').lower()})"
     )
 
 
@@ -555,7 +556,7 @@ def extract_fields(docs: DataFrame, lines: DataFrame | None = None, text: str =
         return c.withField("value", value)
 
     def with_needle(c: Column) -> Column:
-        return c.withField("needle", F.when(c["op"] == "clean", c["value"]).otherwise(c["v"]))
+        return c.withField("needle", F.coalesce(c["n"], F.when(c["op"] == "clean", c["value"]).otherwise(c["v"])))
 
     present = F.filter(F.col("_c"), lambda c: c["v"].isNotNull())
     base = base.withColumn("_v", F.transform(F.transform(present, handled), with_needle))

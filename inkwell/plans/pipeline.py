@@ -1,0 +1,57 @@
+"""The vault pipeline as one DAG, and the verify-as-claimed pipeline."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkwell.operators.classify import type_mismatch, with_classification
+from inkwell.operators.extract import extract_fields, minimise_pii
+from inkwell.operators.integrity import all_findings, field_findings, qr_findings, risk_score
+from inkwell.operators.validate import validate_documents
+from inkwell.operators.vault import with_doc_status
+
+
+def vault_pipeline(docs: DataFrame, qr_fields: DataFrame | None = None, today=None) -> dict[str, DataFrame]:
+    """classify -> extract -> validate -> findings -> risk -> status.
+
+    ``docs``: doc_id, full_text, average_confidence.  Validation and findings
+    read the raw fields; minimisation comes last.
+    """
+    classified = with_classification(docs.select("doc_id", "full_text", "average_confidence"))
+    fields = extract_fields(classified)
+    checks = validate_documents(fields)
+    sources = [field_findings(fields, classified, today=today)]
+    if qr_fields is not None:
+        sources.append(qr_findings(fields, qr_fields))
+    risk = risk_score(all_findings(*sources), classified)
+    summary = (
+        classified.select("doc_id", "document_type", "issuer", "confidence", "average_confidence")
+        .join(risk, "doc_id").join(checks.select("doc_id", "checksum_valid", "checksum_reason"), "doc_id", "left")
+    )
+    issuer_field = F.create_map(*[F.lit(x) for x in (
+        "bank_statement", "bank_name", "salary_slip", "employer_name", "utility_bill", "utility_provider",
+        "income_certificate", "issuing_authority",
+    )])
+    named = fields.filter(F.col("field") == F.try_element_at(issuer_field, F.col("doc_type"))).select(
+        "doc_id", F.col("value").alias("_issuer")
+    )
+    summary = summary.join(named, "doc_id", "left").withColumn("issuer", F.coalesce("_issuer", "issuer")).drop("_issuer")
+    return {"documents": with_doc_status(summary), "fields": minimise_pii(fields), "raw_fields": fields}
+
+
+def verify_pipeline(requests: DataFrame) -> DataFrame:
+    """Claimed type against content: mismatches stop, the rest is validated.
+
+    ``requests``: doc_id, requested_type, full_text.
+    """
+    verdict = type_mismatch(requests)
+    passed = requests.join(verdict.filter("NOT is_mismatch").select("doc_id", "requested_type"), ["doc_id", "requested_type"], "left_semi")
+    fields = extract_fields(passed.withColumn("doc_type", F.col("requested_type")))
+    checks = validate_documents(fields).select("doc_id", F.col("doc_type").alias("requested_type"), "checksum_valid", "checksum_reason")
+    out = verdict.join(checks, ["doc_id", "requested_type"], "left")
+    return out.select(
+        "doc_id", "requested_type", "detected_type",
+        F.when(F.col("is_mismatch"), "error").when(~F.coalesce("checksum_valid", F.lit(True)), "low_confidence").otherwise("success").alias("status"),
+        F.when(F.col("is_mismatch"), "doc_type_mismatch").otherwise(F.col("checksum_reason")).alias("reason"),
+    )

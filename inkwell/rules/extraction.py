@@ -24,6 +24,7 @@ class Rule:
     masked: tuple[str, str] | None = None  # (field, masking)
     drop: bool = False                  # keep only the copies and the masked form
     constant: str = ""                  # value when the pattern is merely present
+    line_pattern: str = ""              # finds the line whose confidence counts
 
 
 DATE = r"\d{2}[/\-\.]\d{2}[/\-\.]\d{4}"
@@ -152,6 +153,7 @@ RULES: dict[str, list[Rule]] = {
         Rule(
             "raw_aadhaar", r"\b(\d{4}\s\d{4}\s\d{4}|\d{12})\b", source="digits", flags="", op="compact",
             masked=("aadhaar_number,aadhaar_number_masked", "uid"),
+            line_pattern=r"(\d{4}[ \t]\d{4}[ \t]\d{4}|\d{12})",
         ),
         Rule("aadhaar_number", r"\b([X\d]{4}\s[X\d]{4}\s\d{4})\b", source="digits", op="upper", copies=("aadhaar_number_masked",)),
         Rule(

@@ -49,3 +49,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             configured = os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
         sc.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of very few splits over the cores.
+
+    Text jobs are bound by pattern matching.  A large table has far more
+    splits than cores and passes through untouched; only a table so small
+    that most cores would idle is redistributed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() < min(cores, 64):
+        return df.repartition(cores)
+    return df
