@@ -219,15 +219,19 @@ def own_score(requested: str, upper: str) -> Column:
     return F.expr(f"CASE {requested} {branches} ELSE 0 END")
 
 
-def type_mismatch(requests: DataFrame, text: str = "full_text", min_score: int = 2, min_margin: int = 1) -> DataFrame:
-    """Rows (doc_id, requested_type, text) with detected type and verdict."""
+def with_mismatch(requests: DataFrame, text: str = "full_text", min_score: int = 2, min_margin: int = 1) -> DataFrame:
+    """Add ``is_mismatch`` and ``detected_type`` to rows with a requested_type."""
+    kept = requests.columns
     found = with_classification(requests, min_margin, text).withColumn("_u", F.upper(text))
     other = (F.col("doc_type") != "unknown") & (F.col("doc_type") != F.col("requested_type"))
     verdict = F.when(other, own_score("requested_type", "_u") < min_score).otherwise(False)
-    return found.withColumn("is_mismatch", verdict).select(
-        "doc_id", "requested_type",
-        F.when(F.col("is_mismatch"), F.col("doc_type")).alias("detected_type"), "is_mismatch",
-    )
+    out = found.withColumn("is_mismatch", verdict)
+    return out.select(*kept, F.when(F.col("is_mismatch"), F.col("doc_type")).alias("detected_type"), "is_mismatch")
+
+
+def type_mismatch(requests: DataFrame, text: str = "full_text", min_score: int = 2, min_margin: int = 1) -> DataFrame:
+    """Rows (doc_id, requested_type, text) with detected type and verdict."""
+    return with_mismatch(requests.select("doc_id", "requested_type", text), text, min_score, min_margin).drop(text)
 
 
 def detection_pairs(samples: DataFrame, text: str = "full_text", min_score: int = 2) -> DataFrame:

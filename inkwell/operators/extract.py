@@ -526,17 +526,13 @@ def _income_certificate(text: Column, digits: Column) -> Column:
     return F.transform(let(row, build), lambda o: o.withField("value", clean_value(o["value"])))
 
 
-def extract_fields(docs: DataFrame, lines: DataFrame | None = None, text: str = "full_text",
-                   extra_rules: dict[str, list[Rule]] | None = None) -> DataFrame:
-    """Long-form fields of classified documents.
+def with_fields(docs: DataFrame, text: str = "full_text", extra_rules: dict[str, list[Rule]] | None = None) -> DataFrame:
+    """Add ``fields``, the array of a document's extracted fields, to its row.
 
-    ``docs`` carries doc_id, doc_type and the text.  ``lines`` (doc_id,
-    page_num, line_no, text, confidence) gives line confidences; without it
-    the text's own lines count as recognised at a fixed confidence.
-    ``extra_rules`` go before the built-in rules of their type.
+    ``docs`` carries doc_type and the text.  ``extra_rules`` go before the
+    built-in rules of their type.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select("doc_id", "doc_type", t.alias("_t"))
+    base = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     base = base.withColumns({
         # spaced numbers and Devanagari digits matter to some types only
         "_d": F.when(
@@ -575,15 +571,39 @@ def extract_fields(docs: DataFrame, lines: DataFrame | None = None, text: str =
         F.col("_o"),
         lambda o, i: F.array_position(F.transform(F.col("_o"), lambda x: x["field"]), o["field"]) == i + 1,
     )
-    carried = ["doc_id", "doc_type"] + ([] if lines is not None else ["_t"])
-    out = base.select(*carried, F.explode(first).alias("_f")).select(*carried, "_f.*")
+
+    def scored(low: Column) -> Column:
+        def confidence(o: Column) -> Column:
+            seen = F.contains(low, F.lower(o["needle"])) & ~F.contains(o["needle"], F.lit("\n"))
+            line = F.when(seen, TEXT_LINE_CONFIDENCE).otherwise(NO_LINE_CONFIDENCE)
+            return o.withField("confidence", F.when(o["cl"], line).otherwise(o["cf"]))
+
+        return F.transform(first, confidence)
+
+    scratch = ["_t", "_d", "_u", "_ns", "_du", "_state", "_c", "_v", "_o"]
+    return base.withColumn("fields", let(F.lower("_t"), scored)).drop(*scratch)
+
+
+def long_fields(with_array: DataFrame) -> DataFrame:
+    """Long form of the ``fields`` column."""
+    out = with_array.select("doc_id", "doc_type", F.explode("fields").alias("_f")).select("doc_id", "doc_type", "_f.*")
+    return out.select("doc_id", "doc_type", "field", "value", "values", "confidence", F.lit("rule").alias("source"))
+
+
+def extract_fields(docs: DataFrame, lines: DataFrame | None = None, text: str = "full_text",
+                   extra_rules: dict[str, list[Rule]] | None = None) -> DataFrame:
+    """Long-form fields of classified documents.
+
+    ``lines`` (doc_id, page_num, line_no, text, confidence) gives line
+    confidences; without it the text's own lines count as recognised at a
+    fixed confidence.
+    """
+    wide = with_fields(docs.select("doc_id", "doc_type", text), text, extra_rules)
     if lines is None:
-        seen = F.contains(F.lower("_t"), F.lower("needle")) & ~F.contains("needle", F.lit("\n"))
-        line_conf = F.when(seen, TEXT_LINE_CONFIDENCE).otherwise(NO_LINE_CONFIDENCE)
-        out = out.withColumn("confidence", F.when(F.col("cl"), line_conf).otherwise(F.col("cf")))
-    else:
-        out = line_confidence(out, lines, only=F.col("cl"))
-        out = out.withColumn("confidence", F.when(F.col("cl"), F.col("confidence")).otherwise(F.col("cf")))
+        return long_fields(wide)
+    out = wide.select("doc_id", "doc_type", F.explode("fields").alias("_f")).select("doc_id", "doc_type", "_f.*")
+    out = line_confidence(out.drop("confidence"), lines, only=F.col("cl"))
+    out = out.withColumn("confidence", F.when(F.col("cl"), F.col("confidence")).otherwise(F.col("cf")))
     return out.select("doc_id", "doc_type", "field", "value", "values", "confidence", F.lit("rule").alias("source"))
 
 

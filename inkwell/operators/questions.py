@@ -16,7 +16,7 @@ from inkwell.rules.signatures import TYPE_METADATA
 
 def _intent_sql(intents: list[Intent], q: str) -> str:
     """Ordered CASE: priority words, then each intent's keywords and patterns."""
-    whens = []
+    whens, outer, q = [], q, "r.q"
     for key, words in PRIORITY:
         whens.append("WHEN " + " OR ".join(f"contains({q}, {quote(w)})" for w in words) + f" THEN '{key}'")
     for intent in intents:
@@ -24,8 +24,10 @@ def _intent_sql(intents: list[Intent], q: str) -> str:
         tests = [f"rlike({q}, {quote(rx(rf'\b(?:{words})\b'))})"]
         tests += [f"rlike({q}, {quote(rx(r))})" for r in intent.regexes]
         whens.append(f"WHEN {' OR '.join(tests)} THEN '{intent.key}'")
-    whens.append(f"WHEN contains({q}, 'name') AND contains(lower(coalesce(doc_type, '')), 'pan') THEN 'account_holder'")
-    return f"CASE {' '.join(whens)} END"
+    whens.append(f"WHEN contains({q}, 'name') AND contains(lower(coalesce(r.doc_type, '')), 'pan') THEN 'account_holder'")
+    # a lambda keeps the long CASE out of the generated stage code
+    case = f"CASE {' '.join(whens)} END"
+    return f"element_at(transform(array(named_struct('q', {outer}, 'doc_type', doc_type)), r -> {case}), 1)"
 
 
 def detect_intents(questions: DataFrame, docs: DataFrame | None = None, intents: list[Intent] | None = None) -> DataFrame:

@@ -725,7 +725,7 @@ def _(t):
 @register("key_fields", with_views("type_docs") + o.KEY_FIELDS)
 def _(t):
     docs = t.type_docs.withColumnRenamed("expected_type", "doc_type")
-    return questions.key_fields(kyc_fields(t, "name", "pan_number", "ifsc"), docs).select("doc_id", "field", "label", "value", "rank")
+    return questions.key_fields(kyc_fields(t, "name", "pan_number", "ifsc"), docs)
 
 
 @register("normalise_model_outputs")

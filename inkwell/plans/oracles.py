@@ -431,12 +431,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY neg, t_ord)
 _META = f"meta AS (SELECT * FROM ({values([(t, n, i) for t, (n, i) in TYPE_METADATA.items()])}) m(doc_type, document_type, issuer))"
 
 
+# the first number of the text that looks like one, white space removed
+_UID_DIGITS = "regexp_replace(regexp_extract(full_text, '\\b[2-9][0-9]{3}\\s+[0-9]{4}\\s+[0-9]{4}\\b', 0), '\\s', '', 'g')"
+
+
 def classify_sql(min_margin: int) -> str:
     return _best(min_margin) + f"""
 , {_META}
 , bonus AS (
   SELECT d.doc_id, c.doc_type, c.np, c.ns, c.evidence, CASE c.doc_type
-    WHEN 'aadhaar' THEN CASE WHEN {_FOLD.replace('value', "replace(regexp_extract(full_text, '[2-9][0-9]{3} [0-9]{4} [0-9]{4}', 0), ' ', '')")} = 0 THEN 0.04 ELSE 0 END
+    WHEN 'aadhaar' THEN CASE WHEN {_FOLD.replace('value', _UID_DIGITS)} = 0 THEN 0.04 ELSE 0 END
     WHEN 'pan' THEN CASE WHEN regexp_matches(full_text, '\\b[A-Z]{{3}}[PCHFATBLJG][A-Z][0-9]{{4}}[A-Z]\\b') THEN 0.04 ELSE 0 END
     WHEN 'bank_statement' THEN CASE WHEN c.ns >= 2 THEN 0.04 ELSE 0 END ELSE 0 END AS b
   FROM type_docs d JOIN chosen c ON d.doc_id = c.doc_id),
@@ -482,6 +486,8 @@ FROM type_docs d LEFT JOIN chosen c ON d.doc_id = c.doc_id GROUP BY ALL
 
 _MASK = "repeat('X', greatest(6, length({a}) - 4)) || right({a}, 4)"
 _ACC = "substr(account_number, 1, 18)"
+# the holder pattern stops at these letters even inside a word
+_HOLDER = "regexp_extract(name, '^(.{3,}?)(?:CIF|$)', 1)"
 _FACTS = [
     ("pan", "pan_number", "pan_number", "0.96"), ("pan", "name", "name", "0.96"), ("pan", "dob", "dob", "0.96"),
     # white space in the number pattern spans lines: the year of birth is read as its first group
@@ -497,8 +503,8 @@ _FACTS = [
     ("bank_passbook", "raw_account_number", _ACC, "NULL"),
     ("bank_passbook", "account_number_masked", _MASK.format(a=_ACC), "0.96"),
     ("bank_passbook", "ifsc", "CASE WHEN substr(ifsc, 5, 1) = '0' THEN ifsc END", "0.96"),
-    ("bank_passbook", "raw_account_holder_name", "name", "NULL"),
-    ("bank_passbook", "account_holder_name_masked", "split_part(name, ' ', 1) || ' ' || substr(split_part(name, ' ', 2), 1, 1) || repeat('*', length(split_part(name, ' ', 2)) - 1)", "0.96"),
+    ("bank_passbook", "raw_account_holder_name", _HOLDER, "NULL"),
+    ("bank_passbook", "account_holder_name_masked", f"split_part({_HOLDER}, ' ', 1) || ' ' || substr(split_part({_HOLDER}, ' ', 2), 1, 1) || repeat('*', length(split_part({_HOLDER}, ' ', 2)) - 1)", "0.96"),
     ("passport", "passport_number", "'K' || lpad(CAST(doc_id AS VARCHAR), 7, '0')", "0.96"),
 ]
 _TYPE_OF = {"pan": 0, "aadhaar": 1, "bank_statement": 2, "bank_passbook": 3, "passport": 4}

@@ -1,15 +1,28 @@
-"""The vault pipeline as one DAG, and the verify-as-claimed pipeline."""
+"""The vault flow as one pass over the text, and the verify-as-claimed flow.
+
+Each flow reads and matches a text once.  What is kept of it (types, fields,
+checks) is small; it is checkpointed to the shared folder, so later joins
+neither repeat the matching nor drag its plan along.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators.classify import type_mismatch, with_classification
-from inkwell.operators.extract import extract_fields, minimise_pii
+from inkwell.operators.classify import with_classification, with_mismatch
+from inkwell.operators.extract import long_fields, minimise_pii, with_fields
 from inkwell.operators.integrity import all_findings, field_findings, qr_findings, risk_score
 from inkwell.operators.validate import validate_documents
 from inkwell.operators.vault import with_doc_status
+from inkwell.session import cut_lineage
+
+# Types whose rules read the text again, and whose issuer is a field.
+_TEXT_RULES = ["salary_slip", "payslip", "passport"]
+_ISSUER_FIELDS = {
+    "bank_statement": "bank_name", "salary_slip": "employer_name", "utility_bill": "utility_provider",
+    "income_certificate": "issuing_authority",
+}
 
 
 def vault_pipeline(docs: DataFrame, qr_fields: DataFrame | None = None, today=None) -> dict[str, DataFrame]:
@@ -18,25 +31,25 @@ def vault_pipeline(docs: DataFrame, qr_fields: DataFrame | None = None, today=No
     ``docs``: doc_id, full_text, average_confidence.  Validation and findings
     read the raw fields; minimisation comes last.
     """
-    classified = with_classification(docs.select("doc_id", "full_text", "average_confidence"))
-    fields = extract_fields(classified)
-    checks = validate_documents(fields)
-    sources = [field_findings(fields, classified, today=today)]
+    wide = with_fields(with_classification(docs.select("doc_id", "full_text", "average_confidence")))
+    wide = wide.withColumn("full_text", F.when(F.col("doc_type").isin(_TEXT_RULES), F.col("full_text")))
+    wide = cut_lineage(wide)
+    fields = long_fields(wide)
+    checks = validate_documents(fields).select("doc_id", "checksum_valid", "checksum_reason")
+    sources = [field_findings(fields, wide.select("doc_id", "doc_type", "full_text"), today=today)]
     if qr_fields is not None:
         sources.append(qr_findings(fields, qr_fields))
-    risk = risk_score(all_findings(*sources), classified)
+    risk = risk_score(all_findings(*sources), wide.select("doc_id", "doc_type")).drop("doc_type")
+    issuer_field = F.create_map(*[F.lit(x) for pair in _ISSUER_FIELDS.items() for x in pair])
+    own = F.get(
+        F.filter("fields", lambda f: f["field"] == F.try_element_at(issuer_field, F.col("doc_type"))), F.lit(0)
+    )["value"]
     summary = (
-        classified.select("doc_id", "document_type", "issuer", "confidence", "average_confidence")
-        .join(risk, "doc_id").join(checks.select("doc_id", "checksum_valid", "checksum_reason"), "doc_id", "left")
+        wide.select(
+            "doc_id", "doc_type", "document_type", F.coalesce(own, F.col("issuer")).alias("issuer"), "confidence", "average_confidence"
+        )
+        .join(risk, "doc_id").join(checks, "doc_id", "left")
     )
-    issuer_field = F.create_map(*[F.lit(x) for x in (
-        "bank_statement", "bank_name", "salary_slip", "employer_name", "utility_bill", "utility_provider",
-        "income_certificate", "issuing_authority",
-    )])
-    named = fields.filter(F.col("field") == F.try_element_at(issuer_field, F.col("doc_type"))).select(
-        "doc_id", F.col("value").alias("_issuer")
-    )
-    summary = summary.join(named, "doc_id", "left").withColumn("issuer", F.coalesce("_issuer", "issuer")).drop("_issuer")
     return {"documents": with_doc_status(summary), "fields": minimise_pii(fields), "raw_fields": fields}
 
 
@@ -45,11 +58,14 @@ def verify_pipeline(requests: DataFrame) -> DataFrame:
 
     ``requests``: doc_id, requested_type, full_text.
     """
-    verdict = type_mismatch(requests)
-    passed = requests.join(verdict.filter("NOT is_mismatch").select("doc_id", "requested_type"), ["doc_id", "requested_type"], "left_semi")
-    fields = extract_fields(passed.withColumn("doc_type", F.col("requested_type")))
-    checks = validate_documents(fields).select("doc_id", F.col("doc_type").alias("requested_type"), "checksum_valid", "checksum_reason")
-    out = verdict.join(checks, ["doc_id", "requested_type"], "left")
+    verdict = with_mismatch(requests.select("doc_id", "requested_type", "full_text"))
+    # a mismatch gets no rules, so nothing is extracted from it
+    claimed = verdict.withColumn("doc_type", F.when(~F.col("is_mismatch"), F.col("requested_type")))
+    wide = cut_lineage(with_fields(claimed).drop("full_text"))
+    checks = validate_documents(long_fields(wide)).select(
+        "doc_id", F.col("doc_type").alias("requested_type"), "checksum_valid", "checksum_reason"
+    )
+    out = wide.join(checks, ["doc_id", "requested_type"], "left")
     return out.select(
         "doc_id", "requested_type", "detected_type",
         F.when(F.col("is_mismatch"), "error").when(~F.coalesce("checksum_valid", F.lit(True)), "low_confidence").otherwise("success").alias("status"),
