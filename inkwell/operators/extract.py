@@ -586,7 +586,10 @@ def with_fields(docs: DataFrame, text: str = "full_text", extra_rules: dict[str,
 
 def long_fields(with_array: DataFrame) -> DataFrame:
     """Long form of the ``fields`` column."""
-    out = with_array.select("doc_id", "doc_type", F.explode("fields").alias("_f")).select("doc_id", "doc_type", "_f.*")
+    # rebuilt inside the generator: pruning of nested columns would otherwise
+    # push one copy of the whole extraction below it per kept column
+    kept = F.transform("fields", lambda f: F.struct(*[f[n].alias(n) for n in ("field", "value", "values", "confidence")]))
+    out = with_array.select("doc_id", "doc_type", F.explode(kept).alias("_f")).select("doc_id", "doc_type", "_f.*")
     return out.select("doc_id", "doc_type", "field", "value", "values", "confidence", F.lit("rule").alias("source"))
 
 

@@ -21,8 +21,9 @@ from inkwell.plans import oracles as o
 from inkwell.plans.fixtures import Tables, with_views
 from inkwell.plans.pipeline import vault_pipeline, verify_pipeline
 from inkwell.rules.signatures import SIGNATURES
-from inkwell.session import spread
+from inkwell.session import shared_folder, spread
 from inkwell.sources import encryption, files, logs
+from inkwell.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Query, str | None]] = {}
@@ -754,3 +755,69 @@ def _(t):
 def _(t):
     asked = F.when(F.col("doc_id") % 4 == 0, "gst_certificate").otherwise(F.col("expected_type"))
     return verify_pipeline(type_docs(t).filter("expected_type <> 'unknown'").withColumn("requested_type", asked).drop("expected_type"))
+
+
+# --------------------------------------------------------------- streams
+
+
+def streamed(t: Tables, table: str) -> DataFrame:
+    """A driver table read as a stream of its file."""
+    schema = t.spark.read.parquet(f"{t.sf_dir}/{table}.parquet").schema
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir)
+
+
+def drained(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Everything a stream emitted, written to the shared folder batch by batch."""
+    folder = shared_folder(t.spark)
+    out = f"{folder}/out"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # a batch replayed after a failure overwrites itself
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    jobs.drain(stream, write, f"{folder}/progress", mode)
+    return t.spark.read.parquet(out).drop("batch") if mode == "append" else t.spark.read.parquet(out)
+
+
+@register("rate_limit_stream")
+def _(t):
+    events = streamed(t, "events").selectExpr(
+        "event_id", "ts", "user_id AS client",
+        "CASE event_type WHEN 'purchase' THEN 'upload' WHEN 'click' THEN 'ai_chat' WHEN 'view' THEN 'ai_chat' ELSE 'cleanup' END AS bucket",
+    )
+    out = jobs.rate_limit_stream(events, {"upload": 3, "ai_chat": 3, "cleanup": 3}, window_seconds=86400)
+    return drained(t, out)
+
+
+@register("redact_stream", o.REDACT_STREAM)
+def _(t):
+    out = jobs.redact_stream(streamed(t, "conversations").select(F.col("text").alias("value")))
+    return drained(t, out).groupBy(F.md5("value").alias("text_md5")).agg(F.count("*").alias("copies"))
+
+
+@register("ingest_stream")
+def _(t):
+    folder = shared_folder(t.spark)
+    pages = streamed(t, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("full_text"))
+    jobs.ingest_stream(pages, folder, f"{folder}/progress").awaitTermination()
+    docs = t.spark.read.parquet(f"{folder}/documents")
+    return docs.groupBy("doc_type").agg(F.count("*").alias("documents"))
+
+
+@register("job_status_stream", o.JOB_STATUS)
+def _(t):
+    events = streamed(t, "events").selectExpr("CAST(user_id AS STRING) AS job_id", "ts", f"{o._JOB_STATUS} AS status")
+    updates = drained(t, jobs.job_status_stream(events), "update")
+    latest = updates.groupBy("job_id").agg(F.max_by(F.struct("status", "events"), F.struct("updated_at", "batch")).alias("_l"))
+    return latest.select("job_id", "_l.status", "_l.events")
+
+
+@register("audit_stream", with_views("audit") + o.AUDIT_STREAM)
+def _(t):
+    rows = streamed(t, "events").selectExpr(
+        "event_id AS job_id", "ts",
+        "CASE event_type WHEN 'purchase' THEN 'pan' WHEN 'click' THEN 'aadhaar' WHEN 'view' THEN 'bank_statement' ELSE 'unknown' END AS doc_type",
+        "CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'low_confidence' ELSE 'success' END AS status", "value AS duration_ms",
+    )
+    out = drained(t, jobs.audit_stream(rows))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "doc_type", "status", "rows")

@@ -833,6 +833,8 @@ MODEL_ANSWER = (
     "{\"field_name_1\": \"colour\", \"field_value_1\": \"red\", \"field_name_2\": \"size\", \"field_value_2\": \"none\"}} done' "
     "WHEN 2 THEN '{\"document_type\": \"something unknown\", \"evidence\": [\"a\", \"b\"]}' ELSE 'no json at all' END"
 )
+# the number as the extraction pattern reads it, see above
+_READ_UID = "(substr(dob, 7, 4) || substr(raw_aadhaar, 1, 8))"
 VERIFY = _best(1) + f"""
 , {_SIG_ROWS}
 , asked AS (
@@ -845,7 +847,7 @@ v AS (SELECT *, coalesce(detected <> requested_type AND score < 2, false) AS mis
 why AS (
   SELECT v.*, CASE requested_type
     WHEN 'pan' THEN {_PAN_WHY.format(p='k.pan_number')}
-    WHEN 'aadhaar' THEN CASE WHEN NOT regexp_matches(raw_aadhaar, '^[2-9][0-9]{{11}}$') OR {_FOLD.replace('value', 'raw_aadhaar')} <> 0 THEN 'invalid_aadhaar_checksum' END
+    WHEN 'aadhaar' THEN CASE WHEN NOT regexp_matches({_READ_UID}, '^[2-9][0-9]{{11}}$') OR {_FOLD.replace('value', _READ_UID)} <> 0 THEN 'invalid_aadhaar_checksum' END
     WHEN 'bank_statement' THEN CASE WHEN substr(ifsc, 5, 1) = '0' AND substr(ifsc, 1, 4) NOT IN {in_list(BANK_CODES)} THEN 'ifsc_needs_review' END
     WHEN 'bank_passbook' THEN CASE WHEN substr(ifsc, 5, 1) = '0' AND substr(ifsc, 1, 4) NOT IN {in_list(BANK_CODES)} THEN 'ifsc_needs_review' END END AS reason
   FROM v JOIN kyc k ON k.doc_id = v.doc_id)
@@ -853,3 +855,18 @@ SELECT doc_id, requested_type, CASE WHEN mis THEN detected END AS detected_type,
   CASE WHEN mis THEN 'error' WHEN reason IS NOT NULL THEN 'low_confidence' ELSE 'success' END AS status,
   CASE WHEN mis THEN 'doc_type_mismatch' ELSE reason END AS reason FROM why
 """
+
+# ----------------------------------------------------------------- streams
+
+_JOB_STATUS = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'completed' WHEN 'purchase' THEN 'low_confidence' ELSE 'error' END"
+JOB_STATUS = f"""
+SELECT CAST(user_id AS VARCHAR) AS job_id, arg_max({_JOB_STATUS}, ts) AS status, count(*) AS events FROM events GROUP BY user_id
+"""
+REDACT_STREAM = f"SELECT md5({_redacted('text')}) AS text_md5, count(*) AS copies FROM conversations GROUP BY 1"
+# windows still open when the input ends are not emitted
+AUDIT_STREAM = """
+, h AS (SELECT doc_type, status, date_trunc('minute', ts) AS w, CAST(round(duration_ms * 100) AS BIGINT) AS c FROM audit),
+last AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM audit)
+SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, doc_type, status, count(*) AS rows
+FROM h, last WHERE w + INTERVAL 1 MINUTE <= mark GROUP BY ALL
+"""

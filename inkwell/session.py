@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,21 +34,29 @@ def local_session(app: str = "inkwell", cores: str | int = "*", shuffle_partitio
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    The folder is read from the session.  Only where neither the setting nor a
-    checkpoint folder exists (tests, one machine) is a folder set here.
+    Only where the setting is absent (tests, one machine) is a folder chosen.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        configured = os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
+    return configured
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for one run's written tables, inside the shared folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: the plan restarts from files all executors see."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            configured = os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
-        sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
