@@ -20,6 +20,7 @@ from inkwell.functions.text import (
 )
 from inkwell.rules import extraction as rules
 from inkwell.rules.extraction import RULES, Rule
+from inkwell.session import built_once, cut_lineage
 
 NO_LINE_CONFIDENCE = 0.95
 TEXT_LINE_CONFIDENCE = 0.96
@@ -526,26 +527,9 @@ def _income_certificate(text: Column, digits: Column) -> Column:
     return F.transform(let(row, build), lambda o: o.withField("value", clean_value(o["value"])))
 
 
-def with_fields(docs: DataFrame, text: str = "full_text", extra_rules: dict[str, list[Rule]] | None = None) -> DataFrame:
-    """Add ``fields``, the array of a document's extracted fields, to its row.
-
-    ``docs`` carries doc_type and the text.  ``extra_rules`` go before the
-    built-in rules of their type.
-    """
-    base = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    base = base.withColumns({
-        # spaced numbers and Devanagari digits matter to some types only
-        "_d": F.when(
-            F.col("doc_type").isin("aadhaar", "salary_slip", "utility_bill", "bank_passbook", "income_certificate"),
-            ascii_digits(F.col("_t")),
-        ),
-        "_u": F.when(F.col("doc_type") == "bank_statement", F.upper("_t")),
-        "_ns": F.when(F.col("doc_type") == "gst_certificate", F.regexp_replace("_t", r"[ \t]+", "")),
-    }).withColumns({
-        "_du": F.when(F.col("doc_type") == "utility_bill", F.upper("_d")),
-        "_state": F.expr(_state_sql()),
-    })
-    base = base.withColumn("_c", F.expr(_candidates_sql(extra_rules)).cast(f"array<{_CANDIDATE}>"))
+@built_once
+def _value_columns() -> dict[str, Column]:
+    """Columns that turn candidates into accepted, cleaned, scored fields."""
 
     def handled(c: Column) -> Column:
         value = F.when(c["op"] == "raw", c["v"]).otherwise(clean_value(_apply(c["op"], c["v"])))
@@ -555,9 +539,7 @@ def with_fields(docs: DataFrame, text: str = "full_text", extra_rules: dict[str,
         return c.withField("needle", F.coalesce(c["n"], F.when(c["op"] == "clean", c["value"]).otherwise(c["v"])))
 
     present = F.filter(F.col("_c"), lambda c: c["v"].isNotNull())
-    base = base.withColumn("_v", F.transform(F.transform(present, handled), with_needle))
     accepted = F.filter(F.col("_v"), lambda c: F.coalesce(_passes(c["g"], c["value"]), F.lit(False)))
-    base = base.withColumn("_o", F.coalesce(F.flatten(F.transform(accepted, _outputs)), _none()))
     more = (
         F.when(F.col("doc_type") == "pan", _pan_positional(F.col("_t")))
         .when(F.col("doc_type") == "partnership_deed", _partners(F.col("_t")))
@@ -565,7 +547,6 @@ def with_fields(docs: DataFrame, text: str = "full_text", extra_rules: dict[str,
         .when(F.col("doc_type") == "income_certificate", _income_certificate(F.col("_t"), F.col("_d")))
         .otherwise(_none())
     )
-    base = base.withColumn("_o", F.filter(F.concat("_o", more), lambda o: o["value"] != ""))
     # first accepted value of a field wins
     first = F.filter(
         F.col("_o"),
@@ -580,16 +561,52 @@ def with_fields(docs: DataFrame, text: str = "full_text", extra_rules: dict[str,
 
         return F.transform(first, confidence)
 
+    return {
+        "values": F.transform(F.transform(present, handled), with_needle),
+        "outputs": F.coalesce(F.flatten(F.transform(accepted, _outputs)), _none()),
+        "complete": F.filter(F.concat("_o", more), lambda o: o["value"] != ""),
+        "fields": let(F.lower("_t"), scored),
+    }
+
+
+def with_fields(docs: DataFrame, text: str = "full_text", extra_rules: dict[str, list[Rule]] | None = None) -> DataFrame:
+    """Add ``fields``, the array of a document's extracted fields, to its row.
+
+    ``docs`` carries doc_type and the text.  ``extra_rules`` go before the
+    built-in rules of their type.
+    """
+    base = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    base = base.withColumns({
+        # spaced numbers and Devanagari digits matter to some types only
+        "_d": F.when(
+            F.col("doc_type").isin("aadhaar", "salary_slip", "utility_bill", "bank_passbook", "income_certificate"),
+            ascii_digits(F.col("_t")),
+        ),
+        "_u": F.when(F.col("doc_type") == "bank_statement", F.upper("_t")),
+        "_ns": F.when(F.col("doc_type") == "gst_certificate", F.regexp_replace("_t", r"[ \t]+", "")),
+    }).withColumns({
+        "_du": F.when(F.col("doc_type") == "utility_bill", F.upper("_d")),
+        "_state": F.expr(_state_sql()),
+    })
+    base = base.withColumn("_c", F.expr(_candidates_sql(extra_rules)).cast(f"array<{_CANDIDATE}>"))
+
+    made = _value_columns()
+    base = base.withColumn("_v", made["values"]).withColumn("_o", made["outputs"])
+    base = base.withColumn("_o", made["complete"])
     scratch = ["_t", "_d", "_u", "_ns", "_du", "_state", "_c", "_v", "_o"]
-    return base.withColumn("fields", let(F.lower("_t"), scored)).drop(*scratch)
+    return base.withColumn("fields", made["fields"]).drop(*scratch)
 
 
-def long_fields(with_array: DataFrame) -> DataFrame:
-    """Long form of the ``fields`` column."""
+def _exploded(with_array: DataFrame, names: list[str]) -> DataFrame:
     # rebuilt inside the generator: pruning of nested columns would otherwise
     # push one copy of the whole extraction below it per kept column
-    kept = F.transform("fields", lambda f: F.struct(*[f[n].alias(n) for n in ("field", "value", "values", "confidence")]))
-    out = with_array.select("doc_id", "doc_type", F.explode(kept).alias("_f")).select("doc_id", "doc_type", "_f.*")
+    kept = F.transform("fields", lambda f: F.struct(*[f[n].alias(n) for n in names]))
+    return with_array.select("doc_id", "doc_type", F.explode(kept).alias("_f")).select("doc_id", "doc_type", "_f.*")
+
+
+def long_fields(with_array: DataFrame) -> DataFrame:
+    """Long form of the ``fields`` column."""
+    out = _exploded(with_array, ["field", "value", "values", "confidence"])
     return out.select("doc_id", "doc_type", "field", "value", "values", "confidence", F.lit("rule").alias("source"))
 
 
@@ -604,8 +621,9 @@ def extract_fields(docs: DataFrame, lines: DataFrame | None = None, text: str =
     wide = with_fields(docs.select("doc_id", "doc_type", text), text, extra_rules)
     if lines is None:
         return long_fields(wide)
-    out = wide.select("doc_id", "doc_type", F.explode("fields").alias("_f")).select("doc_id", "doc_type", "_f.*")
-    out = line_confidence(out.drop("confidence"), lines, only=F.col("cl"))
+    # the small field rows are used twice below; the texts are matched once
+    out = cut_lineage(_exploded(wide, ["field", "value", "values", "needle", "cf", "cl"]))
+    out = line_confidence(out, lines, only=F.col("cl"))
     out = out.withColumn("confidence", F.when(F.col("cl"), F.col("confidence")).otherwise(F.col("cf")))
     return out.select("doc_id", "doc_type", "field", "value", "values", "confidence", F.lit("rule").alias("source"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import uuid
 
+from collections.abc import Callable
+
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
@@ -14,6 +17,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -34,6 +38,23 @@ def local_session(app: str = "inkwell", cores: str | int = "*", shuffle_partitio
     return spark
 
 
+def built_once(build: Callable[[], dict]) -> Callable[[], dict]:
+    """Keep the column expressions a function builds for the life of a context.
+
+    Column expressions name columns, not tables, so they can be used on any
+    DataFrame; large ones take seconds to assemble.
+    """
+    kept: list = []
+
+    def get() -> dict:
+        context = SparkContext._active_spark_context
+        if not kept or kept[0] is not context:
+            kept[:] = [context, build()]
+        return kept[1]
+
+    return get
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
