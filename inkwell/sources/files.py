@@ -46,8 +46,23 @@ def triage(df: DataFrame, name: str = "name", content: str = "content", length:
     return df.withColumn("ext", ext).withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull())
 
 
+def _location(path: Column) -> Column:
+    """Path with one slash after the scheme, as both listings can be compared."""
+    return F.regexp_replace(path, r"^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
 def triage_files(spark: SparkSession, path: str) -> DataFrame:
-    """S1 over a folder; the content column is dropped from the result."""
+    """S1 over a folder; the content column is dropped from the result.
+
+    The scan skips files of zero length, so those come from the file listing
+    the reader holds anyway (names only).
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    named = files.withColumn("name", F.url_decode(F.replace(F.substring_index("path", "/", -1), F.lit("+"), F.lit("%2B"))))
-    return triage(named).select("path", "name", "ext", "length", "accepted", "reject_reason")
+    columns = ["path", "name", "length", "content"]
+    scanned = files.withColumn("name", F.substring_index("path", "/", -1)).select(*columns)
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string")
+    listed = listed.withColumn("path", _location(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))))
+    missed = listed.join(files.select(_location(F.col("path")).alias("path")), "path", "left_anti").select(
+        "path", F.substring_index("path", "/", -1).alias("name"), F.lit(0).cast("bigint").alias("length"), F.lit(None).cast("binary").alias("content")
+    )
+    return triage(scanned.unionByName(missed)).select("path", "name", "ext", "length", "accepted", "reject_reason")
