@@ -64,15 +64,47 @@ def contains_any(text: Column, words: list[str]) -> Column:
 # text, which reaches the JVM in one call instead of one call per node.
 
 
-def contains_sql(text: str, words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains({text}, {quote(w)})" for w in words) + ")"
-
-
-def match_sql(text: str, pattern: str, group: int = 0, **flags: bool) -> str:
+def common_stems(literals: list[str], length: int = 4) -> dict[str, str]:
+    """Each literal's stem: a short piece, shared by as many literals as possible.
+
+    A text without the stem cannot hold the literal, so one scan per stem
+    rules out all literals that share it.
+    """
+    open_literals, stem_of = set(literals), {}
+    pieces: dict[str, set[str]] = {}
+    for literal in open_literals:
+        for i in range(max(1, len(literal) - length + 1)):
+            pieces.setdefault(literal[i:i + length], set()).add(literal)
+    while open_literals:
+        stem = max(sorted(pieces), key=lambda p: len(pieces[p] & open_literals))
+        for literal in pieces[stem] & open_literals:
+            stem_of[literal] = stem
+        open_literals -= pieces[stem]
+    return stem_of
+
+
+def contains_sql(text: str, words: list[str], stems: dict[str, str] | None = None) -> str:
+    """Any of the words; ``stems`` maps a word to a cheaper necessary test."""
+    tests = [
+        f"({stems[w]} AND contains({text}, {quote(w)}))" if stems and w in stems else f"contains({text}, {quote(w)})" for w in words
+    ]
+    return "(" + " OR ".join(tests) + ")"
+
+
+def match_sql(text: str, pattern: str, group: int = 0, stems: dict[str, str] | None = None, **flags: bool) -> str:
     """Trimmed match of ``pattern`` or NULL; guards first, pattern second."""
     hit = f"nullif(btrim(regexp_extract({text}, {quote(rx(pattern, **flags))}, {group}), ' \\t\\n\\r\\u000b\\f'), '')"
-    words = None if flags.get("ignore_case") else required_literals(pattern)
-    return f"CASE WHEN {contains_sql(text, words)} THEN {hit} END" if words else hit
+    if flags.get("ignore_case"):
+        return hit
+    words = required_literals(pattern)
+    if words:
+        return f"CASE WHEN {contains_sql(text, words, stems)} THEN {hit} END"
+    if r"\b" in pattern:
+        # word boundaries are costly at every position; the pattern without
+        # them matches wherever the full one does, and fails faster
+        loose = rx(pattern.replace(r"\b", ""), **flags)
+        return f"CASE WHEN rlike({text}, {quote(loose)}) THEN {hit} END"
+    return hit
 
 
 def rlike_sql(text: str, pattern: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.identifiers import pan_reason, verhoeff_ok
-from inkwell.functions.patterns import contains_any, match_sql, quote, rlike_sql
+from inkwell.functions.patterns import common_stems, contains_any, match_sql, quote, required_literals, rlike_sql
 from inkwell.functions.text import rx, strip
 from inkwell.operators.redact import normalise_text
 from inkwell.rules.signatures import PRIMARY_ANCHORS, SIGNATURES, TYPE_METADATA
@@ -34,6 +34,17 @@ def secondary_patterns(doc_type: str) -> list[str]:
     return [p for p in SIGNATURES.get(doc_type, []) if p not in PRIMARY_ANCHORS[doc_type]]
 
 
+def _stem_tests() -> tuple[list[str], dict[str, str]]:
+    """Stems of the anchors' words, and the column entry that tests each word's."""
+    words = [w for patterns in PRIMARY_ANCHORS.values() for p in patterns for w in (required_literals(p) or [])]
+    stem_of = common_stems(words)
+    stems = sorted(set(stem_of.values()))
+    return stems, {w: f"_stems[{stems.index(s)}]" for w, s in stem_of.items()}
+
+
+_STEMS, _STEM_OF = _stem_tests()
+
+
 def page_array(text: Column) -> Column:
     """``ARRAY<STRUCT<num, text>>``; text before the first marker is page 1."""
     marker = rx(PAGE_MARKER, ignore_case=True)
@@ -87,12 +98,12 @@ def _evidence(patterns: list[str]) -> str:
     if not patterns:
         return "CAST(array() AS ARRAY<STRING>)"
     tag = "IF(_multi, concat('[Page ', p.num, '] '), '')"
-    per_page = ", ".join(f"transform(_pages, p -> concat({tag}, {match_sql('p.text', x)}))" for x in patterns)
+    per_page = ", ".join(f"transform(_pages, p -> concat({tag}, {match_sql('p.text', x, stems=_STEM_OF)}))" for x in patterns)
     return f"array_distinct(array_compact(flatten(array({per_page}))))"
 
 
 def _whole_text_evidence(patterns: list[str]) -> str:
-    return f"array_distinct(array_compact(array({', '.join(match_sql('_upper', x) for x in patterns)})))"
+    return f"array_distinct(array_compact(array({', '.join(match_sql('_upper', x, stems=_STEM_OF) for x in patterns)})))"
 
 
 def _own_hits(upper: str, patterns: list[str]) -> str:
@@ -110,7 +121,8 @@ def with_classification(docs: DataFrame, min_margin: int = 0, text: str = "full_
         "_pages",
         F.transform(page_array(F.col("norm_text")), lambda p: F.struct(p["num"].alias("num"), F.upper(p["text"]).alias("text"))),
     )
-    base = base.withColumn("_multi", F.size("_pages") > 1)
+    stems = ", ".join(f"contains(_upper, {quote(stem)})" for stem in _STEMS)
+    base = base.withColumns({"_multi": F.size("_pages") > 1, "_stems": F.expr(f"array({stems})")})
     upper = F.col("_upper")
 
     # stage 1: primary anchors of all types
@@ -204,7 +216,7 @@ def with_classification(docs: DataFrame, min_margin: int = 0, text: str = "full_
         "n_secondary": F.when(known, ns),
     })
     scratch = [f"_p_{t}" for t in TYPES] + [
-        "_upper", "_pages", "_multi", "_uid_present", "_pan_alone", "_ranked", "_best", "_tied"
+        "_upper", "_pages", "_multi", "_stems", "_uid_present", "_pan_alone", "_ranked", "_best", "_tied"
     ] + [f"_barred_{t}" for t in barred]
     return out.drop(*scratch, *([] if normalised else ["norm_text"]))
 

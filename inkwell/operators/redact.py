@@ -91,8 +91,8 @@ def normalise_text(docs: DataFrame, text: str = "full_text", out: str = "norm_te
     """P8.  NFKC leaves ASCII unchanged, so only other texts reach Python workers."""
     t = F.col(text)
     staged = docs.withColumn("_nfkc", _nfkc(F.when(F.length(t) != F.octet_length(t), t)))
-    staged = staged.withColumn("_fold", _fold(F.coalesce("_nfkc", t, F.lit(""))))
-    merged = contains_any(F.upper("_fold"), _merged_word_guards())
+    staged = staged.withColumn("_fold", _fold(F.coalesce("_nfkc", t, F.lit("")))).withColumn("_up", F.upper("_fold"))
+    merged = contains_any(F.col("_up"), _merged_word_guards())
     return staged.withColumn(out, F.when(merged, _repair_merged(F.col("_fold"))).otherwise(F.col("_fold"))).drop(
-        "_nfkc", "_fold"
+        "_nfkc", "_fold", "_up"
     )
