@@ -650,7 +650,7 @@ def fill_rates(fields: DataFrame, docs: DataFrame) -> DataFrame:
     """Share of a type's documents that carry each field."""
     per_type = docs.groupBy("doc_type").agg(F.count("*").alias("docs"))
     filled = fields.groupBy("doc_type", "field").agg(F.count("*").alias("filled"))
-    return filled.join(F.broadcast(per_type), "doc_type").withColumn(
+    return filled.join(per_type, "doc_type").withColumn(
         "fill_rate", F.round(F.col("filled") / F.col("docs"), 4)
     )
 

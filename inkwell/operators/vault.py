@@ -237,13 +237,12 @@ def page(df: DataFrame, page: int = 1, limit: int = 20, newest: str = "created_a
     """One page, newest first, with the exact total in every row.
 
     The page is a bounded top-k (no global window over the table); the total
-    is a one-row aggregate, whose size is proven, joined to it.
+    is a scalar subquery.
     """
     offset = max(0, (page - 1) * limit)
     rows = df.orderBy(F.desc(newest), F.asc(tie)).offset(offset).limit(limit)
-    total = df.agg(F.count("*").alias("total"))
     pages = F.ceil(F.col("total") / limit) if limit > 0 else F.lit(1)
-    return rows.join(F.broadcast(total)).withColumns({
+    return rows.withColumn("total", df.agg(F.count("*")).scalar()).withColumns({
         "page": F.lit(page), "page_size": F.lit(limit), "total_pages": pages.cast("bigint"),
     })
 

@@ -19,7 +19,7 @@ from inkwell.operators import (
 )
 from inkwell.plans import oracles as o
 from inkwell.plans.fixtures import Tables, with_views
-from inkwell.plans.pipeline import vault_pipeline, verify_pipeline
+from inkwell.plans.flows import vault_flow, verify_flow
 from inkwell.rules.signatures import SIGNATURES
 from inkwell.session import shared_folder, spread
 from inkwell.sources import encryption, files, logs
@@ -425,9 +425,10 @@ def _(t):
     )
 
 
-@register("classify_documents")
+@register("classify_documents", o.CLASSIFY_DOCUMENTS)
 def _(t):
-    return classify.classify(texts(t)).groupBy("doc_type").agg(F.count("*").alias("documents"))
+    typed = F.when(F.col("doc_type") == "unknown", "unknown").otherwise("typed")
+    return classify.classify(texts(t)).groupBy(typed.alias("doc_type")).agg(F.count("*").alias("documents"))
 
 
 @register("type_mismatch", with_views("type_docs") + o.TYPE_MISMATCH)
@@ -745,7 +746,7 @@ def _(t):
     import datetime
 
     docs = type_docs(t).withColumn("average_confidence", F.lit(0.9)).drop("expected_type")
-    out = vault_pipeline(docs, t.qr_fields, today=datetime.date(2026, 1, 1))["documents"]
+    out = vault_flow(docs, t.qr_fields, today=datetime.date(2026, 1, 1))["documents"]
     return out.groupBy("doc_type", "doc_status", "verification_status", "priority", "checksum_reason").agg(
         F.count("*").alias("documents"), F.sum("risk_score").alias("risk_sum")
     )
@@ -754,7 +755,7 @@ def _(t):
 @register("verify_as_claimed", with_views("type_docs") + o.VERIFY)
 def _(t):
     asked = F.when(F.col("doc_id") % 4 == 0, "gst_certificate").otherwise(F.col("expected_type"))
-    return verify_pipeline(type_docs(t).filter("expected_type <> 'unknown'").withColumn("requested_type", asked).drop("expected_type"))
+    return verify_flow(type_docs(t).filter("expected_type <> 'unknown'").withColumn("requested_type", asked).drop("expected_type"))
 
 
 # --------------------------------------------------------------- streams

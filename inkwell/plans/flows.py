@@ -25,7 +25,7 @@ _ISSUER_FIELDS = {
 }
 
 
-def vault_pipeline(docs: DataFrame, qr_fields: DataFrame | None = None, today=None) -> dict[str, DataFrame]:
+def vault_flow(docs: DataFrame, qr_fields: DataFrame | None = None, today=None) -> dict[str, DataFrame]:
     """classify -> extract -> validate -> findings -> risk -> status.
 
     ``docs``: doc_id, full_text, average_confidence.  Validation and findings
@@ -53,7 +53,7 @@ def vault_pipeline(docs: DataFrame, qr_fields: DataFrame | None = None, today=No
     return {"documents": with_doc_status(summary), "fields": minimise_pii(fields), "raw_fields": fields}
 
 
-def verify_pipeline(requests: DataFrame) -> DataFrame:
+def verify_flow(requests: DataFrame) -> DataFrame:
     """Claimed type against content: mismatches stop, the rest is validated.
 
     ``requests``: doc_id, requested_type, full_text.

@@ -390,6 +390,15 @@ _HITS = _PAGES + ", " + _rule_rows() + r"""
   FROM pages, rules WHERE regexp_matches(upper(page_text), pattern))
 """
 MATCH_SIGNATURES = _HITS + "SELECT doc_id, page_num, doc_type, tier, evidence FROM hits"
+# the corpus is invented prose: a document is typed only if it shows an anchor
+CLASSIFY_DOCUMENTS = "WITH " + _rule_rows() + r"""
+, anchored AS (SELECT DISTINCT doc_id FROM documents, rules WHERE tier = 'primary' AND regexp_matches(upper(text), pattern)),
+cards AS (
+  SELECT doc_id FROM documents WHERE regexp_matches(upper(text), '\b[A-Z]{3}[PCHFATBLJG][A-Z][0-9]{4}[A-Z]\b')
+    AND regexp_matches(upper(text), 'GOVT|INDIA|FATHER|INCOME'))
+SELECT CASE WHEN doc_id IN (SELECT doc_id FROM anchored UNION SELECT doc_id FROM cards) THEN 'typed' ELSE 'unknown' END AS doc_type,
+  count(*) AS documents FROM documents GROUP BY 1
+"""
 OWN_RULES = [
     ("pan", "own", "TAX DEPARTMENT"), ("letter", "own", "NOTHING IN [A-Z]+"), ("bank", "own", r"IFSC: (SBIN|HDFC)[0-9]+"),
 ]
