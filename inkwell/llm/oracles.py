@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from inkwell.llm.secrets import BASE_RULES
+
 #: Word sizes, sources, targets by water-filling, and the Pareto order with its closing document.
 OP5 = r"""
 WITH sized AS (
@@ -47,4 +49,45 @@ SELECT doc_id, size, source_size, target,
 FROM sized JOIN lacking USING (key) LEFT JOIN fronts USING (key) LEFT JOIN closings USING (key)
 """
 
-ORACLES = {"op5_pareto_mix": OP5}
+def _op4() -> str:
+    """Every rule's matches with the text before them summed up, from the patterns as they stand."""
+    sides = []
+    for rank, rule in enumerate(BASE_RULES):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        sides.append(f"""
+SELECT id, {rank} AS rank, '{rule.kind}' AS kind, len(counted) >= {rule.least} AS good,
+       sum(len(gap) + len(whole)) OVER (PARTITION BY id ORDER BY i)::BIGINT AS stop, len(whole) AS size
+FROM (SELECT id, unnest(range(1, len(w) + 1)) AS i, unnest(g[1:len(w)]) AS gap, unnest(w) AS whole, unnest(c) AS counted
+      FROM (SELECT id, string_split_regex(text, {pattern}) AS g, regexp_extract_all(text, {pattern}) AS w,
+                   regexp_extract_all(text, {pattern}, {rule.group}) AS c FROM docs))""")
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({' UNION ALL '.join(sides)}),
+listed AS (
+    SELECT id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS k, count(*) FILTER (rank = 2) AS h,
+           string_agg(kind || ':' || (stop - size) || ':' || stop, ',' ORDER BY stop - size, rank) AS spans
+    FROM found WHERE good GROUP BY id
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (id)
+"""
+
+
+OP9 = r"""
+WITH split AS (
+    SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages
+), rules(rhost, rpath, verdict) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fitting AS (
+    SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+    FROM (SELECT DISTINCT host, path FROM split) JOIN rules
+         ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+    GROUP BY host, path
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN fitting USING (host, path)
+"""
+
+ORACLES = {"op4_secrets": _op4(), "op5_pareto_mix": OP5, "op9_url_filter": OP9}

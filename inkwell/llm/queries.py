@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, language, mixing, simhash, surrogates
+from inkwell.llm import bpe, language, mixing, secrets, simhash, surrogates, url_filter
 from inkwell.llm.common import table
 
 #: Key of the surrogates unless the session sets ``spark.inkwell.surrogateKey``.
@@ -30,6 +30,10 @@ def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.surrogate_texts(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,25 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the URL query as (host, path, verdict).
+URL_RULES = (
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select(F.col("page_id").cast("long"), "host", "path", "rule", "verdict")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
-QUERIES = {f.__name__: f for f in (op2_surrogates, op5_pareto_mix, op6_simhash, op8_language, op10_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op2_surrogates, op4_secrets, op5_pareto_mix, op6_simhash, op8_language, op9_url_filter, op10_bpe,
+)}
