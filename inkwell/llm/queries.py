@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, language, mixing, secrets, simhash, surrogates, url_filter
+from inkwell.llm import bpe, embedding_dedup, language, mixing, neighbours, secrets, simhash, surrogates, url_filter
 from inkwell.llm.common import table
 
 #: Key of the surrogates unless the session sets ``spark.inkwell.surrogateKey``.
@@ -26,6 +26,10 @@ def tokenizer_path(spark: SparkSession) -> str:
     return path
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.surrogate_texts(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
@@ -43,6 +47,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -67,5 +76,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_surrogates, op4_secrets, op5_pareto_mix, op6_simhash, op8_language, op9_url_filter, op10_bpe,
+    op1_embedding_dedup, op2_surrogates, op4_secrets, op5_pareto_mix, op6_simhash, op7_neighbours, op8_language,
+    op9_url_filter, op10_bpe,
 )}
