@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, embedding_dedup, language, mixing, neighbours, secrets, simhash, surrogates, url_filter
+from inkwell.llm import (
+    bpe,
+    embedding_dedup,
+    language,
+    mixing,
+    neighbours,
+    quality,
+    secrets,
+    simhash,
+    surrogates,
+    url_filter,
+)
 from inkwell.llm.common import table
 
 #: Key of the surrogates unless the session sets ``spark.inkwell.surrogateKey``.
@@ -34,6 +45,10 @@ def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.surrogate_texts(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
@@ -76,6 +91,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_embedding_dedup, op2_surrogates, op4_secrets, op5_pareto_mix, op6_simhash, op7_neighbours, op8_language,
-    op9_url_filter, op10_bpe,
+    op1_embedding_dedup, op2_surrogates, op3_quality, op4_secrets, op5_pareto_mix, op6_simhash, op7_neighbours,
+    op8_language, op9_url_filter, op10_bpe,
 )}
