@@ -97,6 +97,8 @@ def fit_labellers(votes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
     votes: patterns x labellers of 1, 0 and -1 (no opinion); counts: documents of each pattern.  Starts from the
     majority vote, so that class 1 is the one that the labellers call good.
     """
+    if not len(votes):
+        return np.zeros(0), np.full((2, votes.shape[1]), 0.5)
     given = votes >= 0
     ones = (votes == 1).astype(float)
     share = np.where(given.any(axis=1), ones.sum(axis=1) / np.maximum(given.sum(axis=1), 1), 0.5)

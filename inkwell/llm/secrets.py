@@ -120,7 +120,7 @@ def all_paths(versions: DataFrame, ledger: DataFrame, version: str = BASE_VERSIO
         F.col("blob").alias(blob), F.col("spans").alias(spans)
     )
     joined = versions.withColumn(blob, blob_id(F.col("text"))).join(found, blob, "left")
-    return joined.withColumn(spans, F.coalesce(F.col(spans), F.array().cast(_SPAN)))
+    return joined.select(*versions.columns, blob, F.coalesce(F.col(spans), F.array().cast(_SPAN)).alias(spans))
 
 
 def secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
