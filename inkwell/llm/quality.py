@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import written
 
 #: Buckets of the hashed features, and documents that the linear scorer is trained on.
-BUCKETS, SAMPLE = 1 << 14, 20_000
+BUCKETS, SAMPLE = 1 << 14, 8_000
 #: Value of a graded fact's feature; a text's words together have length 1.
 FACT_VALUE = 0.3
 #: Rounds of expectation-maximisation, and what is added to its counts.
@@ -223,12 +223,16 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             made = [_features().of(t, _facts_of(t)) for t in part["text"]]
-            yield pd.DataFrame({"h": part["h"], "places": [p for p, _ in made], "values": [v for _, v in made]})
+            places = [p.astype(np.uint16).tobytes() for p, _ in made]
+            yield pd.DataFrame({"h": part["h"], "places": places, "values": [v.astype(np.float32).tobytes() for _, v in made]})
 
-    rows = plain.where(F.col("h") <= F.lit(edge)).mapInPandas(featured, "h long, places array<int>, values array<float>")
+    rows = plain.where(F.col("h") <= F.lit(edge)).mapInPandas(featured, "h long, places binary, values binary")
     gathered = rows.toPandas().drop_duplicates("h").sort_values("h")  # the sample's features
     label_of = dict(zip(chosen["h"], chosen["posterior"], strict=True))
-    examples = list(zip(gathered["places"], gathered["values"], strict=True))
+    examples = [
+        (np.frombuffer(p, np.uint16), np.frombuffer(v, np.float32))
+        for p, v in zip(gathered["places"], gathered["values"], strict=True)
+    ]
     weights = spark.sparkContext.broadcast(fit_linear(examples, np.array([label_of[h] for h in gathered["h"]])))
     fact_names = [x.split()[0] for x in _FACTS.split(", ")]
 
