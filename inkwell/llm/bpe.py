@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose ids a worker remembers; the memory is emptied when it is full, nothing is lost.
-REMEMBERED = 600_000
+#: Pieces whose ids, and token pairs whose fit, a worker remembers; a full memory is emptied, nothing is lost.
+REMEMBERED, PAIRS = 150_000, 150_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
 
@@ -130,7 +130,7 @@ class Encoder:
                 pair = (last[start], token)
                 ok = compatible.get(pair)
                 if ok is None:
-                    if len(compatible) > 2_000_000:
+                    if len(compatible) >= PAIRS:
                         compatible.clear()
                     ok = compatible[pair] = fits(*pair)
                 if not ok:

@@ -68,13 +68,11 @@ def _sums(texts: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counts(texts: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(BUCKETS, np.int64)
-    for points in texts:
-        for size in SIZES:
-            for at in range(0, max(0, len(points) - size + 1), SLICE):
-                out += np.bincount(_hashed(points[at:at + SLICE + size - 1], size), minlength=BUCKETS)
-    return out
+def _count(points: np.ndarray, out: np.ndarray) -> None:
+    """Add the n-grams of a text to the counts by bucket."""
+    for size in SIZES:
+        for at in range(0, max(0, len(points) - size + 1), SLICE):
+            np.add.at(out, _hashed(points[at:at + SLICE + size - 1], size), 1)
 
 
 @dataclass(frozen=True)
@@ -110,11 +108,12 @@ def learn(labelled: DataFrame) -> LanguageModel:
         counts: dict[str, np.ndarray] = {}
         texts: dict[str, int] = {}
         for part in batches:
-            for lang, group in part.groupby("lang", sort=False):
-                plain = [p for p in map(_plain, group["text"]) if len(p) > 1]
-                if plain:
-                    counts[lang] = counts.get(lang, 0) + _counts(plain)
-                    texts[lang] = texts.get(lang, 0) + len(plain)
+            for lang, text in zip(part["lang"], part["text"], strict=True):
+                plain = _plain(text)
+                if len(plain) > 1:
+                    own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                    _count(plain, own)
+                    texts[lang] = texts.get(lang, 0) + 1
         for lang, found in counts.items():
             buckets = np.flatnonzero(found)
             yield pd.DataFrame({
@@ -144,8 +143,8 @@ def predictions(docs: DataFrame, model: LanguageModel):
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             names, score = [], []
-            for at in range(0, len(texts), 256):
-                some, probability = shared.value.scores(list(texts.iloc[at:at + 256]))
+            for at in range(0, len(texts), 32):
+                some, probability = shared.value.scores(list(texts.iloc[at:at + 32]))
                 names += some
                 score += probability.tolist()
             yield pd.DataFrame({"lang_pred": names, "score": score})

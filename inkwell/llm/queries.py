@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from inkwell.llm import (
     surrogates,
     url_filter,
 )
-from inkwell.llm.common import table
+from inkwell.llm.common import bounded_batches, table
 
 #: Key of the surrogates unless the session sets ``spark.inkwell.surrogateKey``.
 DEFAULT_KEY = "inkwell"
@@ -90,7 +93,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
-QUERIES = {f.__name__: f for f in (
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _bounded(f) for f in (
     op1_embedding_dedup, op2_surrogates, op3_quality, op4_secrets, op5_pareto_mix, op6_simhash, op7_neighbours,
     op8_language, op9_url_filter, op10_bpe,
 )}
