@@ -67,7 +67,7 @@ def mask_address(col: Column) -> Column:
             F.regexp_replace(c, rx(_UNIT_PREFIX, ignore_case=True), "XXXX "),
             lambda m: strip(
                 F.when(m != c, m)
-                .when(F.length(c) > 15, F.concat(F.lit("XXXX "), strip(F.substring(c, 11, 1 << 20))))
+                .when(F.length(c) > 15, F.concat(F.lit("XXXX "), strip(F.substr(c, F.lit(11)))))
                 .otherwise(F.lit("XXXX"))
             ),
         ),

@@ -92,7 +92,7 @@ def clean_value(col: Column) -> Column:
 
 
 def capitalise(col: Column) -> Column:
-    return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substring(col, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substr(col, F.lit(2))))
 
 
 def token_sorted(col: Column) -> Column:

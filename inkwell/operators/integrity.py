@@ -112,8 +112,13 @@ def overlap_findings(lines: DataFrame) -> DataFrame:
     return _one_per_doc(overlapping_documents(lines), entry)
 
 
-def label_findings(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """A primary label on two or more lines of a non-tabular document."""
+def _pages(lines: DataFrame, first_page_only: bool) -> DataFrame:
+    return lines.filter("page_num = 1") if first_page_only else lines
+
+
+def label_findings(lines: DataFrame, docs: DataFrame, first_page_only: bool = False) -> DataFrame:
+    """A primary label on two or more lines of a page of a non-tabular document."""
+    lines = _pages(lines, first_page_only)
     counts = []
     for i, (pattern, _, excluded) in enumerate(LABELS):
         t = F.lower(strip(F.col("text")))
@@ -121,7 +126,8 @@ def label_findings(lines: DataFrame, docs: DataFrame) -> DataFrame:
         for word in excluded:
             hit = hit & ~t.contains(word)
         counts.append(F.count_if(hit).alias(f"_c{i}"))
-    per_doc = lines.groupBy("doc_id").agg(*counts)
+    per_page = lines.groupBy("doc_id", "page_num").agg(*counts)
+    per_doc = per_page.groupBy("doc_id").agg(*[F.max(f"_c{i}").alias(f"_c{i}") for i in range(len(LABELS))])
     kind = F.lower(F.trim(F.coalesce("doc_type", F.lit(""))))
     tabular = kind.isin(TABULAR_TYPES) | kind.contains("statement") | kind.contains("invoice")
     rows = per_doc.join(docs.filter(~tabular).select("doc_id"), "doc_id", "left_semi")
@@ -138,39 +144,40 @@ def label_findings(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _upper_median(counts: DataFrame, value: str) -> DataFrame:
-    """Element at floor(n/2) per document, from (doc_id, value, _n) counts.
+    """Element at floor(n/2) per page, from (doc_id, page_num, value, _n) counts.
 
     Values are counted first, so the window sees distinct coordinates only.
     """
-    running = Window.partitionBy("doc_id").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("doc_id")
+    running = Window.partitionBy("doc_id", "page_num").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("doc_id", "page_num")
     ranked = counts.withColumns({"_cum": F.sum("_n").over(running), "_all": F.sum("_n").over(whole)})
     picked = F.when(F.col("_cum") > F.floor(F.col("_all") / 2), F.col(value))
     return ranked.withColumn("_median", F.min(picked).over(whole)).drop("_cum")
 
 
-def alignment_findings(lines: DataFrame) -> DataFrame:
-    """Three or more left edges slightly off the upper median."""
-    counts = lines.groupBy("doc_id", F.col("x0").alias("v")).agg(F.count("*").alias("_n"))
+def alignment_findings(lines: DataFrame, first_page_only: bool = False) -> DataFrame:
+    """Three or more left edges of a page slightly off its upper median; one finding per document."""
+    lines = _pages(lines, first_page_only)
+    counts = lines.groupBy("doc_id", "page_num", F.col("x0").alias("v")).agg(F.count("*").alias("_n"))
     shift = F.abs(F.col("v") - F.col("_median"))
     off = F.sum(F.when((shift > 5) & (shift < 25), F.col("_n")).otherwise(0))
-    docs = _upper_median(counts, "v").filter("_all >= 6").groupBy("doc_id").agg(off.alias("_off")).filter("_off >= 3")
+    pages = _upper_median(counts, "v").filter("_all >= 6").groupBy("doc_id", "page_num").agg(off.alias("_off"))
     return _one_per_doc(
-        docs, finding("abnormal_alignment", "layout", 10, "Unexpected field placement or abnormal text alignment detected.")
+        pages.filter("_off >= 3").select("doc_id").distinct(), finding("abnormal_alignment", "layout", 10, "Unexpected field placement or abnormal text alignment detected.")
     )
 
 
-def font_findings(lines: DataFrame) -> DataFrame:
-    """A10: two or more heights far from the upper median."""
-    heights = lines.withColumn("v", F.col("y1") - F.col("y0")).filter("v > 5")
-    counts = heights.groupBy("doc_id", "v").agg(F.count("*").alias("_n"))
+def font_findings(lines: DataFrame, first_page_only: bool = False) -> DataFrame:
+    """A10: two or more heights of a page far from its upper median; one finding per document."""
+    heights = _pages(lines, first_page_only).withColumn("v", F.col("y1") - F.col("y0")).filter("v > 5")
+    counts = heights.groupBy("doc_id", "page_num", "v").agg(F.count("*").alias("_n"))
     far = (F.col("v") > F.col("_median") * 2.5) | (F.col("v") < F.col("_median") * 0.4)
-    docs = (
+    pages = (
         _upper_median(counts, "v").filter("_all >= 5 AND _median > 10")
-        .groupBy("doc_id").agg(F.sum(F.when(far, F.col("_n")).otherwise(0)).alias("_far")).filter("_far >= 2")
+        .groupBy("doc_id", "page_num").agg(F.sum(F.when(far, F.col("_n")).otherwise(0)).alias("_far")).filter("_far >= 2")
     )
     return _one_per_doc(
-        docs, finding("font_size_inconsistency", "visual", 15, "Font size inconsistency detected across text fields.")
+        pages.select("doc_id").distinct(), finding("font_size_inconsistency", "visual", 15, "Font size inconsistency detected across text fields.")
     )
 
 
@@ -412,11 +419,11 @@ def external_findings(signals: DataFrame) -> DataFrame:
 
 
 def all_findings(*sources: DataFrame) -> DataFrame:
-    """Union in the given source order; ordinals keep that order."""
+    """Union in the given source order; ``ordinal`` (source, place) keeps that order."""
     out = None
     for rank, df in enumerate(sources):
         part = df.select(
-            "doc_id", (F.lit(rank).cast("bigint") * 1_000_000 + F.col("ordinal")).alias("ordinal"),
+            "doc_id", F.struct(F.lit(rank).alias("source"), F.col("ordinal").cast("bigint").alias("place")).alias("ordinal"),
             "signal", "category", F.col("score").cast("int").alias("score"), "description",
         )
         out = part if out is None else out.unionByName(part)

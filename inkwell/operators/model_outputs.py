@@ -40,6 +40,18 @@ def json_block(raw: Column) -> Column:
     return let(t, cut)
 
 
+def last_wins(entries: Column) -> Column:
+    """Map of (k, v) entries; a repeated key keeps its last value."""
+    later_has = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~later_has(e, i)))
+
+
+def _object(text: Column) -> Column:
+    """A JSON object as a map; a repeated key keeps its last value."""
+    entries = F.map_entries(F.from_json(text, _MAP))
+    return last_wins(F.transform(entries, lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))))
+
+
 def fold_pairs(fields: Column) -> Column:
     """``field_name_i`` / ``field_value_i`` pairs folded into one map."""
     keys = F.map_keys(fields)
@@ -58,15 +70,9 @@ def fold_pairs(fields: Column) -> Column:
     )
     named = F.filter(entries, lambda e: e["k"] != "")
 
-    def to_map(es: Column) -> Column:
-        # a repeated name keeps its last value
-        last = F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["k"] == e["k"]))
-        return F.map_from_entries(last)
-
-    folded = let(named, to_map)
-    trimmed = F.map_from_entries(
-        F.transform(F.map_entries(fields), lambda e: F.struct(strip(e["key"]).alias("k"), e["value"].alias("v")))
-    )
+    folded = let(named, last_wins)
+    stripped = F.transform(F.map_entries(fields), lambda e: F.struct(strip(e["key"]).alias("k"), e["value"].alias("v")))
+    trimmed = let(stripped, last_wins)
     return F.when(paired & (F.size(named) > 0), folded).otherwise(trimmed)
 
 
@@ -76,7 +82,7 @@ def normalise_model_outputs(raw: DataFrame, docs: DataFrame, rule_fields: DataFr
     ``raw``: doc_id, raw.  ``docs``: doc_id, full_text.  ``rule_fields``: long
     form; a non-empty rule value wins over the model's.
     """
-    answers = raw.select("doc_id", F.from_json(json_block(F.col("raw")), _MAP).alias("_m"))
+    answers = raw.select("doc_id", _object(json_block(F.col("raw"))).alias("_m"))
     part = lambda name: F.try_element_at(F.col("_m"), F.lit(name))
     staged = answers.join(docs.select("doc_id", "full_text"), "doc_id", "left").withColumns({
         "_summary": strip(F.coalesce(part("summary"), F.lit(""))),
@@ -87,7 +93,7 @@ def normalise_model_outputs(raw: DataFrame, docs: DataFrame, rule_fields: DataFr
             F.when(F.coalesce(part("evidence"), part("reasoning")).startswith("[") == F.lit(False),
                    F.array(F.coalesce(part("evidence"), part("reasoning")))),
         ),
-        "_model_fields": F.from_json(part("extracted_fields"), _MAP),
+        "_model_fields": _object(part("extracted_fields")),
     }).withColumn("_text", strip(F.concat(F.coalesce("full_text", F.lit("")), F.lit("\n"), F.col("_summary"))))
     staged = with_classification(staged, 0, "_text").withColumnsRenamed({
         "doc_type": "_dt", "document_type": "_title", "confidence": "_score", "confidence_level": "_level", "evidence": "_ev",
@@ -127,10 +133,9 @@ def normalise_model_outputs(raw: DataFrame, docs: DataFrame, rule_fields: DataFr
         F.when(F.size(given) > 0, given).otherwise(stand_in).alias("evidence"),
         fold_pairs(F.coalesce("_model_fields", F.expr("CAST(map() AS MAP<STRING,STRING>)"))).alias("_model"),
     )
-    # a document has few rule fields, one per field name
-    rules = rule_fields.filter("value <> ''").groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_set(F.struct("field", "value"))).alias("_rules")
-    )
+    # a document has few rule fields; of several values of one field the greatest is taken
+    single = rule_fields.filter("value <> ''").groupBy("doc_id", "field").agg(F.max("value").alias("value"))
+    rules = single.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_rules"))
     joined = head.join(rules, "doc_id", "left").withColumn(
         "_rules", F.coalesce("_rules", F.expr("CAST(map() AS MAP<STRING,STRING>)"))
     )

@@ -10,21 +10,21 @@ from inkwell.functions.patterns import quote
 from inkwell.functions.text import let, matched, rx, squeeze, strip
 from inkwell.operators.extract import summary_amount_sql
 
-# Shapes of statement lines.
+# Shapes of statement lines; amounts may have a sign where a word begins.
 ROW_DATE = r"(?:(\d{1,6})\s+)?(\d{2}[/\-\.]\d{2}[/\-\.]\d{2,4})\b"
 HEADER = (
     r"\b(?:Transaction\s*Details|ACCOUNT\s*SUMMARY|END\s*OF\s*REPORT|DISCLAIMER|DATE\s+TRAN|Guidelines\s+for|"
     r"Remember\s+that|Branch\s+Office|Customer\s+Address|Registered\s+Mobile|Account\s+Number|Nomination|"
     r"Account\s+Type|Customer\s+ID|IFSC|MICR)\b"
 )
-BLOCK_AMOUNTS = r"([\d,]+\.\d{2})\s+(CR|DR|Cr|Dr)\s+([\d,]+\.\d{2})"
+BLOCK_AMOUNTS = r"((?:(?<!\S)-)?[\d,]+\.\d{2})\s+(CR|DR|Cr|Dr)\s+(-?[\d,]+\.\d{2})"
 BLOCK_HEADER = r"Branch Name|Debit/Credit|Balance\(INR\)|Transaction\s+Date"
-EXPLICIT_ROW = r"^(.*?)\s+([\d,]+\.?\d*)\s+(CR|DR|Cr|Dr)\s*([\d,]+\.?\d*)?\s*$"
-TRAILING_BALANCE = r"([\d,]+\.\d{2})\s*(?:Cr\.?|Dr\.?|CR|DR)?\s*$"
-TRAILING_AMOUNT = r"([\d,]+\.\d{2})\s*$"
+EXPLICIT_ROW = r"^(.*?)\s+(-?[\d,]+\.?\d*)\s+(CR|DR|Cr|Dr)\s*(-?[\d,]+\.?\d*)?\s*$"
+TRAILING_BALANCE = r"((?:(?<!\S)-)?[\d,]+\.\d{2})\s*(?:Cr\.?|Dr\.?|CR|DR)?\s*$"
+TRAILING_AMOUNT = r"((?:(?<!\S)-)?[\d,]+\.\d{2})\s*$"
 CREDIT_WORDS = r"~CR~|\bCR\b|\bCREDIT\b|\bDEPOSIT\b|\bNEFT-IN\b"
-OPENING_LABEL = r"Opening\s*Balance[\s:]+(?:Rs\.?|INR)?\s*([\d,]+\.?\d*)"
-CLOSING_LABEL = r"(?<!Opening\s)\bClosing\s*Balance[\s:]+(?:Rs\.?|INR)?\s*([\d,]+\.?\d*)"
+OPENING_LABEL = r"Opening\s*Balance[\s:]+(?:Rs\.?|INR)?\s*(-?[\d,]+\.?\d*)"
+CLOSING_LABEL = r"(?<!Opening\s)\bClosing\s*Balance[\s:]+(?:Rs\.?|INR)?\s*(-?[\d,]+\.?\d*)"
 
 _GLUE = "\u0001"
 
@@ -49,7 +49,7 @@ def _block_rows(text: Column) -> Column:
 
         def part(line: Column) -> Column:
             amounts_at = F.regexp_instr(line, F.lit(rx(BLOCK_AMOUNTS)))
-            column = F.when(F.length(line) > 35, strip(F.substring(line, 36, 75))).otherwise(strip(line))
+            column = F.when(F.length(line) > 35, strip(F.substr(line, F.lit(36)))).otherwise(strip(line))
             return (
                 F.when(line.rlike(rx(BLOCK_HEADER, ignore_case=True)), "")
                 .when(amounts_at > 0, strip(line.substr(F.lit(1), amounts_at - 1)))

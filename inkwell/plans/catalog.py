@@ -203,7 +203,7 @@ def statement_pages(t: Tables) -> DataFrame:
         F.col("amount").cast("string"), F.col("balance").cast("string"),
     )
     wrapped = F.when(F.col("seq") % 4 == 0, F.concat(printed, F.lit("\nwrapped note"))).otherwise(printed)
-    rows = t.statement_lines.filter("balance >= 0").select("doc_id", F.year("txn_ts").alias("page_num"), "seq", wrapped.alias("line"))
+    rows = t.statement_lines.select("doc_id", F.year("txn_ts").alias("page_num"), "seq", wrapped.alias("line"))
     listed = F.array_sort(F.collect_list(F.struct("seq", "line")))
     page = F.concat(
         F.lit("Transaction Details\nDATE TRAN ID PARTICULARS AMOUNT BALANCE\n"),
@@ -574,7 +574,8 @@ def _(t):
 def _(t):
     b = boxed_lines(t)
     both = integrity.all_findings(integrity.alignment_findings(b), integrity.font_findings(b))
-    return both.select("doc_id", "ordinal", "signal", "category", "score", "description")
+    place = (F.col("ordinal.source") * 1_000_000 + F.col("ordinal.place")).alias("ordinal")
+    return both.select("doc_id", place, "signal", "category", "score", "description")
 
 
 def derived_findings(t: Tables) -> DataFrame:
@@ -820,5 +821,10 @@ def _(t):
         "CASE event_type WHEN 'purchase' THEN 'pan' WHEN 'click' THEN 'aadhaar' WHEN 'view' THEN 'bank_statement' ELSE 'unknown' END AS doc_type",
         "CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'low_confidence' ELSE 'success' END AS status", "value AS duration_ms",
     )
-    out = drained(t, jobs.audit_stream(rows))
-    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "doc_type", "status", "rows")
+    # every update of a window is written; its last one holds all of its rows
+    updates = drained(t, jobs.audit_stream(rows), "update")
+    last = updates.groupBy("window_start", "doc_type", "status").agg(
+        F.max_by(F.struct("rows", "mean_duration_ms"), "batch").alias("_l")
+    )
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start")
+    return last.select(start, "doc_type", "status", "_l.rows", "_l.mean_duration_ms")

@@ -49,7 +49,7 @@ SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o
 FROM orders
 """,
     "ocr_lines": r"""
-SELECT l_orderkey AS doc_id, 1 AS page_num, line_no,
+SELECT l_orderkey AS doc_id, CASE WHEN l_orderkey % 4 = 0 AND line_no > 3 THEN 2 ELSE 1 END AS page_num, line_no,
   CASE l_partkey % 5 WHEN 0 THEN 'Name' WHEN 1 THEN 'Date of Birth' WHEN 2 THEN 'Father''s Name' WHEN 3 THEN 'PAN No' ELSE 'line ' || CAST(l_partkey AS STRING) END AS text,
   1.0E0 - l_discount AS confidence,
   CAST(50 + (l_partkey % 4) * 6 AS DOUBLE) AS x0, CAST(line_no * 30 - (l_suppkey % 3) * 12 AS DOUBLE) AS y0,

@@ -222,12 +222,12 @@ SELECT doc_id, seq, coalesce(type, CASE WHEN CAST(balance AS DOUBLE) > prev THEN
 """
 CLOSING = _MARKED + r"""
 , last_known AS (SELECT doc_id, CAST(max_by(balance, seq) FILTER (balance IS NOT NULL) AS VARCHAR) AS b FROM marked GROUP BY doc_id)
-SELECT d.doc_id, nullif(regexp_extract(full_text, 'Opening Balance: ([0-9.]+)', 1), '') AS opening_balance, b AS closing_balance,
+SELECT d.doc_id, nullif(regexp_extract(full_text, 'Opening Balance: (-?[0-9.]+)', 1), '') AS opening_balance, b AS closing_balance,
   CASE WHEN b IS NOT NULL THEN 'running' END AS source
 FROM type_docs d LEFT JOIN last_known l ON d.doc_id = l.doc_id WHERE expected_type = 'bank_statement'
 """
 STATEMENT_ROWS = """
-, printed AS (SELECT * FROM statement_lines WHERE balance >= 0),
+, printed AS (SELECT * FROM statement_lines),
 prior AS (
   SELECT *, lag(balance) OVER (PARTITION BY doc_id ORDER BY seq) AS prev,
     year(txn_ts) AS page_num FROM printed)
@@ -635,9 +635,10 @@ WHERE i > 0 AND ar > 0 AND br > 0 AND (i / (ar + br - i) >= 0.15 OR i / least(ar
 """
 ORDER_TYPE = "CASE o_orderkey % 5 WHEN 0 THEN 'bank_statement' WHEN 1 THEN 'unknown' WHEN 2 THEN 'tax_invoice' WHEN 3 THEN 'pan' ELSE 'salary_slip' END"
 LABEL_FINDINGS = f"""
-, counted AS (
-  SELECT doc_id, count(*) FILTER (text = 'Name') AS name_n, count(*) FILTER (text = 'Father''s Name') AS father_n,
-    count(*) FILTER (text = 'Date of Birth') AS dob_n, count(*) FILTER (text = 'PAN No') AS pan_n FROM ocr_lines GROUP BY doc_id),
+, paged AS (
+  SELECT doc_id, page_num, count(*) FILTER (text = 'Name') AS name_n, count(*) FILTER (text = 'Father''s Name') AS father_n,
+    count(*) FILTER (text = 'Date of Birth') AS dob_n, count(*) FILTER (text = 'PAN No') AS pan_n FROM ocr_lines GROUP BY doc_id, page_num),
+counted AS (SELECT doc_id, max(name_n) AS name_n, max(father_n) AS father_n, max(dob_n) AS dob_n, max(pan_n) AS pan_n FROM paged GROUP BY doc_id),
 labels4 AS (
   SELECT doc_id, 'Name' AS l, name_n AS n FROM counted UNION ALL SELECT doc_id, 'Father''s Name', father_n FROM counted
   UNION ALL SELECT doc_id, 'Date of Birth', dob_n FROM counted UNION ALL SELECT doc_id, 'PAN', pan_n FROM counted),
@@ -646,18 +647,18 @@ SELECT doc_id, 'duplicate_field_label' AS signal, 20 AS score, 'Duplicate ' || l
 UNION ALL SELECT doc_id, 'abnormal_alignment', 10, 'Unexpected field position detected for ' || l || '.' FROM hit
 """
 _ALIGN = """
-SELECT doc_id FROM (
-  SELECT l.doc_id, x0, m FROM ocr_lines l JOIN (
-    SELECT doc_id, list_sort(list(x0))[CAST(count(*) // 2 + 1 AS INT)] AS m, count(*) AS n FROM ocr_lines GROUP BY doc_id) s
-  ON l.doc_id = s.doc_id WHERE n >= 6) t
-GROUP BY doc_id HAVING count(*) FILTER (abs(x0 - m) > 5 AND abs(x0 - m) < 25) >= 3
+SELECT DISTINCT doc_id FROM (
+  SELECT l.doc_id, l.page_num, x0, m FROM ocr_lines l JOIN (
+    SELECT doc_id, page_num, list_sort(list(x0))[CAST(count(*) // 2 + 1 AS INT)] AS m, count(*) AS n FROM ocr_lines GROUP BY doc_id, page_num) s
+  ON l.doc_id = s.doc_id AND l.page_num = s.page_num WHERE n >= 6) t
+GROUP BY doc_id, page_num HAVING count(*) FILTER (abs(x0 - m) > 5 AND abs(x0 - m) < 25) >= 3
 """
 _FONTS = """
-SELECT doc_id FROM (
-  SELECT l.doc_id, y1 - y0 AS h, m FROM ocr_lines l JOIN (
-    SELECT doc_id, list_sort(list(y1 - y0))[CAST(count(*) // 2 + 1 AS INT)] AS m, count(*) AS n FROM ocr_lines WHERE y1 - y0 > 5 GROUP BY doc_id) s
-  ON l.doc_id = s.doc_id WHERE n >= 5 AND m > 10 AND y1 - y0 > 5) t
-GROUP BY doc_id HAVING count(*) FILTER (h > m * 2.5 OR h < m * 0.4) >= 2
+SELECT DISTINCT doc_id FROM (
+  SELECT l.doc_id, l.page_num, y1 - y0 AS h, m FROM ocr_lines l JOIN (
+    SELECT doc_id, page_num, list_sort(list(y1 - y0))[CAST(count(*) // 2 + 1 AS INT)] AS m, count(*) AS n FROM ocr_lines WHERE y1 - y0 > 5 GROUP BY doc_id, page_num) s
+  ON l.doc_id = s.doc_id AND l.page_num = s.page_num WHERE n >= 5 AND m > 10 AND y1 - y0 > 5) t
+GROUP BY doc_id, page_num HAVING count(*) FILTER (h > m * 2.5 OR h < m * 0.4) >= 2
 """
 ALIGNMENT = f"SELECT doc_id, 'abnormal_alignment' AS signal, 10 AS score FROM ({_ALIGN}) a"
 FONT = f"SELECT doc_id, 'font_size_inconsistency' AS signal, 15 AS score FROM ({_FONTS}) a"
@@ -872,10 +873,8 @@ JOB_STATUS = f"""
 SELECT CAST(user_id AS VARCHAR) AS job_id, arg_max({_JOB_STATUS}, ts) AS status, count(*) AS events FROM events GROUP BY user_id
 """
 REDACT_STREAM = f"SELECT md5({_redacted('text')}) AS text_md5, count(*) AS copies FROM conversations GROUP BY 1"
-# windows still open when the input ends are not emitted
 AUDIT_STREAM = """
-, h AS (SELECT doc_type, status, date_trunc('minute', ts) AS w, CAST(round(duration_ms * 100) AS BIGINT) AS c FROM audit),
-last AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM audit)
-SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, doc_type, status, count(*) AS rows
-FROM h, last WHERE w + INTERVAL 1 MINUTE <= mark GROUP BY ALL
+SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS window_start, doc_type, status, count(*) AS rows,
+  round(avg(duration_ms), 4) AS mean_duration_ms
+FROM audit GROUP BY ALL
 """

@@ -31,6 +31,8 @@ def local_session(app: str = "inkwell", cores: str | int = "*", shuffle_partitio
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    if str(cores).isdigit():
+        builder = builder.config("spark.inkwell.scanPartitions", str(cores))
     for key, value in _DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -64,7 +66,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if configured is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     return configured
 
 
@@ -82,13 +84,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan of very few splits over the cores.
+    """A scan dealt over the partitions that the caller's session asks for; by default it stays as it is.
 
-    Text jobs are bound by pattern matching.  A large table has far more
-    splits than cores and passes through untouched; only a table so small
-    that most cores would idle is redistributed.
+    ``spark.inkwell.scanPartitions`` is for runs over one small file, which would be read by one core.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() < min(cores, 64):
-        return df.repartition(cores)
-    return df
+    wanted = df.sparkSession.conf.get("spark.inkwell.scanPartitions", None)
+    return df.repartition(int(wanted)) if wanted else df

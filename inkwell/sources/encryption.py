@@ -20,7 +20,7 @@ def _sealed(col: Column, key: Column) -> Column:
 
 
 def _opened(col: Column, key: Column) -> Column:
-    body = F.substring(col, len(HEADER) + 1, 1 << 30)
+    body = F.substr(col, F.lit(len(HEADER) + 1))
     return F.aes_decrypt(body, key, F.lit("GCM"), F.lit("DEFAULT"))
 
 
