@@ -46,16 +46,17 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Rows of an Arrow batch at most: texts may be long, and a batch of them is in memory several times over.
+#: Rows of an Arrow batch and of a Parquet reader's batch at most: texts may be long, and a batch of them is in memory
+#: several times over.
 BATCH_ROWS = 500
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Have the session send texts to Python in small batches; a lower setting stays."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(setting))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(setting, str(BATCH_ROWS))
+    """Have the session read texts and send them to Python in small batches; lower settings stay."""
+    for setting in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        now = int(spark.conf.get(setting))
+        if now <= 0 or now > BATCH_ROWS:
+            spark.conf.set(setting, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
