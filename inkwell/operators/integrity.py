@@ -468,6 +468,6 @@ def risk_score(findings: DataFrame, docs: DataFrame) -> DataFrame:
         F.when(~supported, "Unsupported document type.")
         .when(review & (risk >= 60), "Visible inconsistencies detected (High Priority).")
         .when(review, "Visible inconsistencies detected.").alias("human_review_reason"),
-        F.when(supported, F.transform(F.coalesce("_d", F.array().cast("array<struct<_o:bigint,description:string>>")), lambda d: d["description"]))
+        F.when(supported, F.coalesce(F.transform("_d", lambda d: d["description"]), F.array().cast("array<string>")))
         .otherwise(F.array().cast("array<string>")).alias("suspicious_signals"),
     )

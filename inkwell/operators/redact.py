@@ -57,6 +57,15 @@ def redact_nested_map(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.transform_values(F.col(col), entry))
 
 
+# Characters that NFKC leaves alone beside any other of this class: ASCII, Latin letters, quotes and dashes, Cyrillic,
+# Devanagari without the nukta and what it makes, kana without sound marks, CJK ideographs.
+NFKC_STABLE = (
+    r"\x00-\x7F\u00A1\u00A3\u00A7\u00AB\u00B0\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E"
+    r"\u0400-\u0481\u048A-\u04FF\u0904-\u0939\u093D-\u0950\u0966-\u097F\u2013\u2014\u2018\u2019\u201C\u201D\u20AC\u20B9"
+    r"\u3041-\u3096\u30A1-\u30FE\u4E00-\u9FFF"
+)
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
@@ -88,9 +97,9 @@ def _fold(col: Column) -> Column:
 
 
 def normalise_text(docs: DataFrame, text: str = "full_text", out: str = "norm_text") -> DataFrame:
-    """P8.  NFKC leaves ASCII unchanged, so only other texts reach Python workers."""
+    """P8.  Only texts with a character that NFKC may change reach Python workers."""
     t = F.col(text)
-    staged = docs.withColumn("_nfkc", _nfkc(F.when(F.length(t) != F.octet_length(t), t)))
+    staged = docs.withColumn("_nfkc", _nfkc(F.when(t.rlike(f"[^{NFKC_STABLE}]"), t)))
     staged = staged.withColumn("_fold", _fold(F.coalesce("_nfkc", t, F.lit("")))).withColumn("_up", F.upper("_fold"))
     merged = contains_any(F.col("_up"), _merged_word_guards())
     return staged.withColumn(out, F.when(merged, _repair_merged(F.col("_fold"))).otherwise(F.col("_fold"))).drop(

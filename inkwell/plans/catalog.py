@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.redaction import REDACTION_RULES
 from inkwell.operators import (
-    audit, chat, classify, crosscheck, extract, integrity, limits, lines, mining, model_outputs, questions, reconcile,
+    answers, audit, chat, classify, crosscheck, extract, integrity, limits, lines, mining, model_outputs, questions, reconcile,
     redact, retention, star, statements, validate, vault,
 )
 from inkwell.plans import oracles as o
@@ -731,6 +731,17 @@ def _(t):
     return questions.key_fields(kyc_fields(t, "name", "pan_number", "ifsc"), docs)
 
 
+@register("answers", with_views("type_docs", "dialogues") + o.ANSWERS)
+def _(t):
+    docs = t.type_docs.selectExpr(
+        "doc_id", "expected_type AS doc_type", "concat('doc_', doc_id, '.pdf') AS filename", "full_text",
+        "CASE WHEN doc_id % 5 = 0 THEN 'review_required' WHEN doc_id % 5 = 1 THEN 'unsupported' ELSE 'verified' END AS verification_status",
+        "CAST(0 AS INT) AS risk_score", "CAST(NULL AS STRING) AS signals",
+    )
+    out = answers.answers(t.dialogues, docs, kyc_fields(t, "name", "pan_number"))
+    return out.select("document_id", "turn", "rule", "answer")
+
+
 @register("normalise_model_outputs")
 def _(t):
     docs = type_docs(t)

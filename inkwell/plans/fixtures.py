@@ -90,6 +90,12 @@ UNION ALL SELECT doc_id, 'gender', CASE WHEN doc_id % 2 = 0 THEN 'Male' ELSE 'Fe
 """,
     "questions": r"""
 SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'What is the PAN number?' WHEN 1 THEN 'date of birth please' WHEN 2 THEN 'What is the IFSC code?' WHEN 3 THEN 'who is the account holder?' WHEN 4 THEN 'what is the gstin' ELSE 'tell me a story' END AS question FROM type_docs
+""",
+    "dialogues": r"""
+SELECT doc_id AS document_id, doc_id % 7 AS user_id, 0 AS turn, 'user' AS role, CASE CAST(floor(doc_id / 6) AS INT) % 8 WHEN 0 THEN 'Please summarize this' WHEN 1 THEN 'Is this document genuine?'
+  WHEN 2 THEN 'Extract key information' WHEN 3 THEN 'List all dates' WHEN 4 THEN 'find numbers' WHEN 5 THEN 'what is the employee name' WHEN 6 THEN 'What is the IFSC code?' ELSE 'tell me nothing in particular' END AS content FROM type_docs
+UNION ALL SELECT doc_id, doc_id % 7, 1, 'assistant', 'I could not find that in this document.' FROM type_docs
+UNION ALL SELECT doc_id, doc_id % 7, 2, 'user', 'Why?' FROM type_docs WHERE CAST(floor(doc_id / 6) AS INT) % 8 >= 6
 """,
     "retention_index": r"""
 SELECT o_orderkey AS document_id, o_custkey AS user_id, o_orderdate AS uploaded_at FROM orders
@@ -106,6 +112,7 @@ DEPENDS: dict[str, list[str]] = {
     "expected": ["kyc"],
     "qr_fields": ["kyc"],
     "questions": ["type_docs"],
+    "dialogues": ["type_docs"],
 }
 
 

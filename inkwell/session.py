@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import uuid
 
 from collections.abc import Callable
@@ -64,7 +64,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     return configured
@@ -76,11 +76,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the plan restarts from files all executors see."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write to the shared folder and read back: the plan restarts from columnar files that all executors see."""
+    path = f"{shared_folder(df.sparkSession)}/cut"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Identifiers, masking, dates, redaction, intents: literal cases."""
 
 import datetime
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from inkwell.functions.redaction import redact
 from inkwell.functions.similarity import with_similarity
 from inkwell.functions.text import clean_value
 from inkwell.operators.questions import detect_intents, lookup_fields
-from inkwell.operators.redact import normalise_text, redact_map, redact_nested_map
+from inkwell.operators.redact import NFKC_STABLE, normalise_text, redact_map, redact_nested_map
 from inkwell.operators.validate import load_bank_codes, validate_identifiers
 
 
@@ -142,3 +144,15 @@ def test_intents_and_lookup(spark):
     assert found == {
         0: (None, "prohibited"), 1: (None, "prohibited"), 2: ("27ABCPE1234F1Z5", "ocr"), 3: ("22 June 2007", "extracted"),
         4: ("XXXXX6789", "extracted")}
+
+
+def test_nfkc_leaves_its_stable_class_alone():
+    stable = re.compile(f"[{NFKC_STABLE}]")
+    chars = [chr(c) for c in range(0x10000) if stable.fullmatch(chr(c))]
+    assert [c for c in chars if unicodedata.normalize("NFKC", c) != c] == []
+    # the only mark among them keeps its place, and no two of them make one
+    assert [c for c in chars if unicodedata.combining(c)] == ["्"]
+    composed = {tuple(unicodedata.normalize("NFD", chr(c)))[-1] for c in range(0x110000)
+                if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFC", unicodedata.normalize("NFD", chr(c))) == chr(c)
+                and not 0xAC00 <= c <= 0xD7A3}
+    assert [c for c in chars if c in composed] == []
