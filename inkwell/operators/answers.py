@@ -1,6 +1,6 @@
 """Grounded answers: every user message is answered by the first rule that applies.
 
-The rule is found from the message and its context alone; each rule's material (summary, key fields, mined dates and
+The rule is found from the message and its context alone, and written to the shared folder with the message; each rule's material (summary, key fields, mined dates and
 amounts, looked-up values, lines) is then made only for the documents that some message asks it of, and joined once.
 """
 
@@ -16,6 +16,7 @@ from inkwell.operators import chat, mining, questions
 from inkwell.rules import answers as say
 from inkwell.rules.intents import INTENTS
 from inkwell.rules.signatures import TYPE_METADATA
+from inkwell.session import cut_lineage
 
 _KEY = ["user_id", "document_id", "turn"]
 _GUARDED = ["employee_name", "joining_date", "salary"]
@@ -75,7 +76,7 @@ def answers(messages: DataFrame, docs: DataFrame, fields: DataFrame) -> DataFram
     facts = fields.filter(F.col("field").isin(_GUARDED)).groupBy("doc_id").agg(
         *[F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in _GUARDED]
     )
-    rows = _with_rules(messages, docs.drop("full_text"), facts)
+    rows = cut_lineage(_with_rules(messages, docs.drop("full_text"), facts))
     plain = docs.select("doc_id", "doc_type", "full_text")
 
     def asked(rule: str) -> DataFrame:

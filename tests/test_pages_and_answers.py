@@ -1,5 +1,6 @@
 """Pages of a document apart from each other, repeated keys in model answers, signed balances, whole windows."""
 
+from inkwell.operators.answers import answers
 from inkwell.operators.integrity import alignment_findings, all_findings, font_findings, label_findings
 from inkwell.operators.model_outputs import normalise_model_outputs
 from inkwell.operators.statements import page_rows
@@ -56,3 +57,32 @@ def test_signed_amounts_are_read(spark):
     assert [(r.description, r.amount, r.balance) for r in rows] == [
         ("S1 TRANSFER", "100.00", "-500.00"), ("S2 NEFT-9", "50.00", "-450.00"), ("03-02-2024 S3 FEE", "20.00", "-470.00"),  # blocks keep the date
     ]
+
+
+def test_first_rule_that_applies_answers(spark):
+    docs = spark.createDataFrame(
+        [(1, "pan", "a.pdf", "Name: A B"), (2, "employment_contract", "b.pdf", "Salary: 5 lakh"), (3, None, None, None)],
+        "doc_id long, doc_type string, filename string, full_text string",
+    ).selectExpr("*", "'verified' AS verification_status", "45 AS risk_score", "'seal' AS signals")
+    fields = spark.createDataFrame(
+        [(2, "employee_name", "A 50%s"), (2, "joining_date", "1 May 2020"), (2, "salary", "5 lakh")], "doc_id long, field string, value string"
+    )
+    asked = [
+        (1, "employee name?", "employee_name", "I could not find an employee name in this document."),
+        (2, "employee name?", "employee_name", "According to b.pdf, the employee named is: **A 50%s**."),
+        (1, "the joining date", "joining_date", "I could not find a joining date in this document."),
+        (2, "the joining date", "joining_date", "According to b.pdf, the effective/joining date is: **1 May 2020**."),
+        (1, "what is the salary", "salary", "I could not find salary information in this document."),
+        (2, "what is the salary", "salary", "According to b.pdf, the stated compensation is: **5 lakh**."),
+        (2, "is it genuine, summary", "summary", None),
+        (2, "is it genuine", "authenticity", "Verification Status: Review Required. Visible inconsistencies detected: seal. Manual review is recommended."),
+        (3, "find dates", "dates", "No clear dates were found in the document."),
+        (3, None, "search", "I could not find information regarding your query in the document."),
+        (4, "zebra", "search", "I could not find information regarding your query in the document."),
+    ]
+    messages = spark.createDataFrame(
+        [(0, d, 2 * i, "user", m) for i, (d, m, _, _) in enumerate(asked)], "user_id int, document_id long, turn int, role string, content string"
+    )
+    got = {r.turn // 2: r for r in answers(messages, docs, fields).collect()}
+    assert [got[i].rule for i in range(len(asked))] == [rule for _, _, rule, _ in asked]
+    assert [got[i].answer for i, a in enumerate(asked) if a[3]] == [a[3] for a in asked if a[3]]
