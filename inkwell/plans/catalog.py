@@ -19,6 +19,7 @@ from inkwell.operators import (
 )
 from inkwell.plans import oracles as o
 from inkwell.plans.fixtures import Tables, with_views
+from inkwell.plans.forms import FORM_FACTS
 from inkwell.plans.flows import vault_flow, verify_flow
 from inkwell.rules.signatures import SIGNATURES
 from inkwell.session import shared_folder, spread
@@ -440,7 +441,7 @@ def _(t):
 
 @register("detection_matrix", with_views("type_docs") + o.DETECTION_MATRIX)
 def _(t):
-    return classify.detection_matrix(type_docs(t).filter("expected_type <> 'unknown'"))
+    return classify.detection_matrix(type_docs(t))
 
 
 @register("self_detection", with_views("type_docs") + o.SELF_DETECTION)
@@ -465,6 +466,17 @@ def _(t):
     return extract.minimise_pii(extract.extract_fields(classified_docs(t))).select("doc_id", "doc_type", "field", "value")
 
 
+@register("extract_forms", with_views("kyc") + FORM_FACTS)
+def _(t):
+    docs = spread(t.form_docs).withColumnRenamed("expected_type", "doc_type")
+    return extract.extract_fields(docs).select("doc_id", "doc_type", "field", "value")
+
+
+@register("form_detection", with_views("form_docs") + o.FORM_DETECTION)
+def _(t):
+    return classify.self_detection(spread(t.form_docs))
+
+
 @register("fill_rates", with_views("type_docs") + o.FILL_RATES)
 def _(t):
     docs = classified_docs(t)
@@ -517,7 +529,7 @@ def _(t):
 @register("parse_qr", with_views("kyc") + o.PARSE_QR)
 def _(t):
     rows = t.kyc.selectExpr("doc_id", f"{o.QR_TYPE} AS doc_type", f"{o.QR_PAYLOAD} AS payload")
-    return reconcile.parse_qr(rows).filter("field <> 'raw_qr'")
+    return reconcile.parse_qr(rows)
 
 
 @register("qr_findings", with_views("kyc", "qr_fields") + o.QR_FINDINGS)
@@ -698,7 +710,7 @@ def _(t):
     )
 
 
-@register("replay_limits")
+@register("replay_limits", o.replay_sql(with_views("requests"), 3, 86400))
 def _(t):
     return limits.replay_limits(t.requests, {"upload": 3, "ai_chat": 3, "cleanup": 3}, window_seconds=86400).select(
         "event_id", "client", "bucket", "accepted", "retry_after"
@@ -767,7 +779,8 @@ def _(t):
 @register("verify_as_claimed", with_views("type_docs") + o.VERIFY)
 def _(t):
     asked = F.when(F.col("doc_id") % 4 == 0, "gst_certificate").otherwise(F.col("expected_type"))
-    return verify_flow(type_docs(t).filter("expected_type <> 'unknown'").withColumn("requested_type", asked).drop("expected_type"))
+    requests = type_docs(t).withColumn("requested_type", asked).drop("expected_type")
+    return verify_flow(requests)["documents"].drop("confidence")
 
 
 # --------------------------------------------------------------- streams
@@ -792,7 +805,7 @@ def drained(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
     return t.spark.read.parquet(out).drop("batch") if mode == "append" else t.spark.read.parquet(out)
 
 
-@register("rate_limit_stream")
+@register("rate_limit_stream", o.replay_sql(with_views("requests"), 3, 86400))
 def _(t):
     events = streamed(t, "events").selectExpr(
         "event_id", "ts", "user_id AS client",
@@ -808,13 +821,17 @@ def _(t):
     return drained(t, out).groupBy(F.md5("value").alias("text_md5")).agg(F.count("*").alias("copies"))
 
 
-@register("ingest_stream")
+@register("ingest_stream", with_views("form_docs") + o.INGESTED)
 def _(t):
     folder = shared_folder(t.spark)
-    pages = streamed(t, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("full_text"))
+    schema = t.form_docs.select("doc_id", "full_text")
+    # several files, a few per micro-batch
+    schema.repartition(8, "doc_id").write.parquet(f"{folder}/pages")
+    pages = jobs.file_stream(t.spark, f"{folder}/pages", schema.schema, files_per_batch=4)
     jobs.ingest_stream(pages, folder, f"{folder}/progress").awaitTermination()
-    docs = t.spark.read.parquet(f"{folder}/documents")
-    return docs.groupBy("doc_type").agg(F.count("*").alias("documents"))
+    docs, fields = (t.spark.read.parquet(f"{folder}/{name}") for name in ("documents", "fields"))
+    counts = fields.groupBy("doc_type").agg(F.count("*").alias("fields"), F.countDistinct("doc_id").alias("with_fields"))
+    return docs.groupBy("doc_type").agg(F.count("*").alias("documents")).join(counts, "doc_type", "left")
 
 
 @register("job_status_stream", o.JOB_STATUS)

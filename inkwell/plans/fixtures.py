@@ -5,8 +5,12 @@ The same SQL text runs on Spark and on the checking database.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from inkwell.plans.forms import FORM_DOCS
+
 DRIVER_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -41,6 +45,7 @@ SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'pan' WHEN 1 THEN 'aadhaar' WHEN 2 TH
     || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '--- Page 2 ---' || chr(10) || 'END OF DOCUMENT' ELSE '' END AS full_text
 FROM kyc
 """,
+    "form_docs": FORM_DOCS,
     "statement_lines": r"""
 SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, o_orderdate AS txn_ts,
   CASE WHEN o_orderstatus = 'O' THEN 'CR' ELSE 'DR' END AS type, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
@@ -109,6 +114,7 @@ UNION ALL SELECT DISTINCT l_orderkey + 100000000 FROM lineitem WHERE l_orderkey
 # Views each view builds on.
 DEPENDS: dict[str, list[str]] = {
     "type_docs": ["kyc"],
+    "form_docs": ["kyc"],
     "expected": ["kyc"],
     "qr_fields": ["kyc"],
     "questions": ["type_docs"],
@@ -149,7 +155,8 @@ class Tables:
             return self.driver(name)
         if name not in VIEWS:
             raise AttributeError(name)
-        for table in DRIVER_TABLES:
-            if table in "".join(VIEWS[n] for n in _closure((name,))):
-                self.driver(table).createOrReplaceTempView(table)
-        return self.spark.sql(with_views(name) + f"SELECT * FROM {name}")
+        # tables are handed to the statement itself, so folders read side by side do not meet in the session's catalogue
+        words = set(re.findall(r"\w+", "".join(VIEWS[n] for n in _closure((name,)))))
+        tables = {f"src_{table}": self.driver(table) for table in DRIVER_TABLES if table in words}
+        named = ",\n".join(f"{source.removeprefix('src_')} AS (SELECT * FROM {{{source}}})" for source in tables)
+        return self.spark.sql(f"WITH {named},\n" + with_views(name).removeprefix("WITH ") + f"SELECT * FROM {name}", **tables)

@@ -12,6 +12,7 @@ from inkwell.functions.identifiers import BASE36
 from inkwell.functions.redaction import REDACTION_RULES
 from inkwell.operators.mining import DATE_CONTEXT
 from inkwell.operators.validate import BANK_CODES
+from inkwell.plans.forms import FORM_FACTS
 from inkwell.rules.extraction import CORE_FIELDS, LANGUAGE_FIELDS, PII_ALLOWED
 from inkwell.rules.intents import FIELD_LABELS, INTENTS, PRIORITY
 from inkwell.rules.signatures import PRIMARY_ANCHORS, SIGNATURES, TYPE_METADATA
@@ -479,7 +480,7 @@ _MISMATCH_PAIRS = _best(1) + f"""
 , {_SIG_ROWS}
 , pairs AS (
   SELECT d.doc_id, d.expected_type, c.doc_type AS detected, s.requested_type, count(*) FILTER (regexp_matches(upper(full_text), pattern)) AS score
-  FROM type_docs d LEFT JOIN chosen c ON d.doc_id = c.doc_id, sigs s WHERE d.expected_type <> 'unknown' GROUP BY ALL),
+  FROM type_docs d LEFT JOIN chosen c ON d.doc_id = c.doc_id, sigs s GROUP BY ALL),
 verdicts AS (SELECT *, coalesce(detected <> requested_type AND score < 2, false) AS mis FROM pairs)
 """
 DETECTION_MATRIX = _MISMATCH_PAIRS + "SELECT expected_type, " + ", ".join(
@@ -491,6 +492,11 @@ SELECT d.expected_type, coalesce(c.doc_type, 'unknown') AS detected_type, count(
 FROM type_docs d LEFT JOIN chosen c ON d.doc_id = c.doc_id GROUP BY ALL
 """
 
+# every form shows the anchors of its own type and of no other one
+FORM_DETECTION = """
+SELECT expected_type, expected_type AS detected_type, count(*) AS samples, true AS passed FROM form_docs GROUP BY 1
+"""
+
 # -------------------------------------------------------------- extraction
 
 _MASK = "repeat('X', greatest(6, length({a}) - 4)) || right({a}, 4)"
@@ -589,13 +595,14 @@ QR_PAYLOAD = (
     "WHEN 1 THEN 'https://example.org/verify?urn=udyam-mh-01-' || lpad(CAST(doc_id AS STRING), 7, '0') "
     "ELSE 'licence ' || lpad(CAST(doc_id AS STRING), CAST(13 + doc_id % 2 AS INT), '1') || ' valid' END"
 )
-PARSE_QR = """
+PARSE_QR = f"""
 SELECT doc_id, 'aadhaar' AS doc_type, 'aadhaar_number' AS field, raw_aadhaar AS value FROM kyc WHERE doc_id % 3 = 0
 UNION ALL SELECT doc_id, 'aadhaar', 'name', name FROM kyc WHERE doc_id % 3 = 0
 UNION ALL SELECT doc_id, 'aadhaar', 'dob', dob FROM kyc WHERE doc_id % 3 = 0
 UNION ALL SELECT doc_id, 'aadhaar', 'gender', CASE WHEN doc_id % 2 = 0 THEN 'Female' ELSE 'Male' END FROM kyc WHERE doc_id % 3 = 0
 UNION ALL SELECT doc_id, 'udyam', 'udyam_registration_number', 'UDYAM-MH-01-' || lpad(CAST(doc_id AS VARCHAR), 7, '0') FROM kyc WHERE doc_id % 3 = 1
 UNION ALL SELECT doc_id, 'fssai', 'fssai_licence_number', lpad(CAST(doc_id AS VARCHAR), 14, '1') FROM kyc WHERE doc_id % 3 = 2 AND doc_id % 2 = 1
+UNION ALL SELECT doc_id, {QR_TYPE}, 'raw_qr', {QR_PAYLOAD} FROM kyc
 """
 QR_FINDINGS = """
 , pairs AS (
@@ -876,10 +883,10 @@ VERIFY = _best(1) + f"""
 , {_SIG_ROWS}
 , asked AS (
   SELECT d.doc_id, full_text, CASE WHEN d.doc_id % 4 = 0 THEN 'gst_certificate' ELSE expected_type END AS requested_type, c.doc_type AS detected
-  FROM type_docs d LEFT JOIN chosen c ON d.doc_id = c.doc_id WHERE expected_type <> 'unknown'),
+  FROM type_docs d LEFT JOIN chosen c ON d.doc_id = c.doc_id),
 own AS (
   SELECT a.doc_id, a.requested_type, a.detected, count(*) FILTER (regexp_matches(upper(full_text), pattern)) AS score
-  FROM asked a JOIN sigs s ON s.requested_type = a.requested_type GROUP BY ALL),
+  FROM asked a LEFT JOIN sigs s ON s.requested_type = a.requested_type GROUP BY ALL),
 v AS (SELECT *, coalesce(detected <> requested_type AND score < 2, false) AS mis FROM own),
 why AS (
   SELECT v.*, CASE requested_type
@@ -893,6 +900,28 @@ SELECT doc_id, requested_type, CASE WHEN mis THEN detected END AS detected_type,
   CASE WHEN mis THEN 'doc_type_mismatch' ELSE reason END AS reason FROM why
 """
 
+# The limiter one request after the other: step n holds the n-th request of every key and the key's accepted times.
+REPLAY_STEPS = """
+, numbered AS (
+  SELECT event_id, client, bucket, epoch_us(ts) AS us, row_number() OVER (PARTITION BY bucket, client ORDER BY ts, event_id) AS n FROM requests),
+steps AS (
+  SELECT n, event_id, client, bucket, us, CAST([] AS BIGINT[]) AS held FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT r.n, r.event_id, r.client, r.bucket, r.us,
+    list_filter(CASE WHEN len(s.held) < {limit} THEN list_append(s.held, s.us) ELSE s.held END, x -> x > r.us - {window})
+  FROM steps s JOIN numbered r ON r.bucket = s.bucket AND r.client = s.client AND r.n = s.n + 1)
+SELECT event_id, client, bucket, len(held) < {limit} AS accepted,
+  CASE WHEN len(held) >= {limit} THEN greatest(1, CAST(trunc(({window} - (us - held[1])) / 1000000.0) AS BIGINT)) END AS retry_after
+FROM steps
+"""
+
+
+def replay_sql(requests: str, limit: int, window_seconds: int) -> str:
+    """``requests``: the WITH prefix that defines the view of that name."""
+    steps = REPLAY_STEPS.format(limit=limit, window=window_seconds * 1_000_000)
+    return requests.replace("WITH ", "WITH RECURSIVE ", 1) + steps
+
+
 # ----------------------------------------------------------------- streams
 
 _JOB_STATUS = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'completed' WHEN 'purchase' THEN 'low_confidence' ELSE 'error' END"
@@ -900,6 +929,15 @@ JOB_STATUS = f"""
 SELECT CAST(user_id AS VARCHAR) AS job_id, arg_max({_JOB_STATUS}, ts) AS status, count(*) AS events FROM events GROUP BY user_id
 """
 REDACT_STREAM = f"SELECT md5({_redacted('text')}) AS text_md5, count(*) AS copies FROM conversations GROUP BY 1"
+_FORM_KEPT = " AND ".join(
+    [f"(doc_type <> '{t}' OR field IN {in_list(allowed)})" for t, allowed in PII_ALLOWED.items()]
+    + [f"(doc_type IN {in_list(PII_ALLOWED)} OR (field NOT LIKE 'raw!_%' ESCAPE '!' AND field <> 'partner_names'))"]
+)
+INGESTED = f"""
+, kept AS (SELECT doc_type, count(*) AS fields, count(DISTINCT doc_id) AS with_fields FROM ({FORM_FACTS}) x WHERE {_FORM_KEPT} GROUP BY 1)
+SELECT expected_type AS doc_type, count(*) AS documents, any_value(fields) AS fields, any_value(with_fields) AS with_fields
+FROM form_docs LEFT JOIN kept ON doc_type = expected_type GROUP BY 1
+"""
 AUDIT_STREAM = """
 SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS window_start, doc_type, status, count(*) AS rows,
   round(avg(duration_ms), 4) AS mean_duration_ms
