@@ -14,7 +14,16 @@ from inkwell.functions.text import token_sorted
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+    known: dict[tuple[str, str], float] = {}  # pairs of one Arrow batch
+
+    def ratio(a: str | None, b: str | None) -> float | None:
+        if not (isinstance(a, str) and isinstance(b, str)):
+            return None
+        if (a, b) not in known:
+            known[a, b] = SequenceMatcher(None, a, b).ratio()
+        return known[a, b]
+
+    return pd.Series([ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
 def similarity(left: Column, right: Column) -> Column:
@@ -23,17 +32,12 @@ def similarity(left: Column, right: Column) -> Column:
 
 
 def with_similarity(df: DataFrame, left: str, right: str, out: str = "score") -> DataFrame:
-    """Add the ratio of two columns, computed once per distinct unequal pair.
+    """Add the ratio of two columns, row by row and without a shuffle.
 
-    Equal pairs never leave the JVM.  The pair table is shuffled on the pair,
-    so copies of a popular pair cost one comparison.
+    Equal pairs and pairs with a NULL are settled in the JVM and reach Python
+    as NULLs; a popular pair is compared once per Arrow batch.
     """
     keyed = df.withColumn("_l", token_sorted(F.col(left))).withColumn("_r", token_sorted(F.col(right)))
-    unequal = (
-        keyed.filter("_l IS NOT NULL AND _r IS NOT NULL AND _l <> _r")
-        .select("_l", "_r").distinct()
-        .withColumn("_ratio", _ratio("_l", "_r"))
-    )
-    scored = keyed.join(unequal, ["_l", "_r"], "left")
-    value = F.when(F.col("_l") == F.col("_r"), F.lit(1.0)).otherwise(F.col("_ratio"))
-    return scored.withColumn(out, value).drop("_l", "_r", "_ratio")
+    unequal = F.col("_l") != F.col("_r")
+    keyed = keyed.withColumn("_ratio", _ratio(F.when(unequal, F.col("_l")), F.when(unequal, F.col("_r"))))
+    return keyed.withColumn(out, F.when(F.col("_l") == F.col("_r"), F.lit(1.0)).otherwise(F.col("_ratio"))).drop("_l", "_r", "_ratio")

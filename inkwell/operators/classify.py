@@ -246,32 +246,25 @@ def type_mismatch(requests: DataFrame, text: str = "full_text", min_score: int =
     return with_mismatch(requests.select("doc_id", "requested_type", text), text, min_score, min_margin).drop(text)
 
 
-def detection_pairs(samples: DataFrame, text: str = "full_text", min_score: int = 2) -> DataFrame:
-    """Every sample against every type it could be claimed as."""
-    found = with_classification(samples, 1, text).withColumn("_u", F.upper(text))
-    scores = ", ".join(
-        f"named_struct('requested_type', '{t}', 'score', {_own_hits('_u', patterns)})" for t, patterns in SIGNATURES.items()
-    )
-    pairs = found.select(
-        "expected_type", F.col("doc_type").alias("detected_type"), F.expr(f"explode(array({scores}))").alias("r")
-    )
-    pairs = pairs.select("expected_type", "detected_type", "r.requested_type", "r.score")
-    other = (F.col("detected_type") != "unknown") & (F.col("detected_type") != F.col("requested_type"))
-    pairs = pairs.withColumn("is_mismatch", other & (F.col("score") < min_score))
-    wrong = F.when(F.col("expected_type") == F.col("requested_type"), F.col("is_mismatch")).otherwise(
-        ~(F.col("is_mismatch") & (F.col("detected_type") == F.col("expected_type")))
-    )
-    return pairs.withColumn("is_failure", wrong)
+def detection_matrix(samples: DataFrame, text: str = "full_text", min_score: int = 2) -> DataFrame:
+    """One row per actual type, one column of mismatch counts per claim, and the number of wrong verdicts.
 
-
-def detection_matrix(samples: DataFrame, text: str = "full_text") -> DataFrame:
-    """One row per actual type, one column of mismatch counts per claim."""
-    pairs = detection_pairs(samples, text)
-    return (
-        pairs.groupBy("expected_type")
-        .pivot("requested_type", list(SIGNATURES))
-        .agg(F.count_if("is_mismatch"))
-        .join(pairs.groupBy("expected_type").agg(F.count_if("is_failure").alias("failures")), "expected_type")
+    Each text is classified once; its verdicts for all claims are one array, and a single aggregate counts them.
+    """
+    found = with_classification(samples, 1, text).withColumn("_u", F.upper(text))
+    scores = ", ".join(_own_hits("_u", patterns) for patterns in SIGNATURES.values())
+    scored = found.select("expected_type", "doc_type", F.expr(f"array({scores})").alias("_s"))
+    verdicts = F.array(*[
+        (F.col("doc_type") != "unknown") & (F.col("doc_type") != t) & (F.get("_s", F.lit(i)) < min_score) for i, t in enumerate(SIGNATURES)
+    ])
+    judged = scored.select("expected_type", "doc_type", verdicts.alias("_m"))
+    wrong = F.lit(0)
+    for i, t in enumerate(SIGNATURES):
+        mismatch = F.get("_m", F.lit(i))
+        failure = F.when(F.col("expected_type") == t, mismatch).otherwise(~(mismatch & (F.col("doc_type") == F.col("expected_type"))))
+        wrong = wrong + failure.cast("int")
+    return judged.groupBy("expected_type").agg(
+        *[F.count_if(F.get("_m", F.lit(i))).alias(t) for i, t in enumerate(SIGNATURES)], F.sum(wrong).alias("failures")
     )
 
 

@@ -97,12 +97,18 @@ def overlapping_documents(lines: DataFrame) -> DataFrame:
     settled = equal.unionByName(pairs.filter("b_x0 IS NOT NULL").filter(hit).select("doc_id")).distinct()
 
     open_boxes = boxes.join(settled, "doc_id", "left_anti").withColumn("_id", F.struct(*side))
-    spread = open_boxes.withColumn(
-        "_band", F.explode(F.sequence(F.floor(F.col("y0") / CELL), F.floor(F.col("y1") / CELL)))
-    )
-    left = spread.select("doc_id", "page_num", "_band", F.col("_id").alias("a_id"), *[F.col(s).alias(f"a_{s}") for s in side])
-    right = spread.select("doc_id", "page_num", "_band", F.col("_id").alias("b_id"), *[F.col(s).alias(f"b_{s}") for s in side])
-    met = left.join(right, ["doc_id", "page_num", "_band"]).filter(F.col("a_id") < F.col("b_id")).filter(hit)
+    wide = 8 * CELL
+
+    def cells(low: str, high: str, size: float) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size)))
+
+    spread = open_boxes.withColumn("_cy", cells("y0", "y1", CELL)).withColumn("_cx", cells("x0", "x1", wide))
+    keys = ["doc_id", "page_num", "_cy", "_cx"]
+    left = spread.select(*keys, F.col("_id").alias("a_id"), *[F.col(s).alias(f"a_{s}") for s in side])
+    right = spread.select(*keys, F.col("_id").alias("b_id"), *[F.col(s).alias(f"b_{s}") for s in side])
+    # a pair is compared once: in the cell of the corner where its intersection starts
+    corner = (F.floor(F.greatest("a_y0", "b_y0") / CELL) == F.col("_cy")) & (F.floor(F.greatest("a_x0", "b_x0") / wide) == F.col("_cx"))
+    met = left.join(right, keys).filter(corner & (F.col("a_id") < F.col("b_id"))).filter(hit)
     return settled.unionByName(met.select("doc_id").distinct())
 
 

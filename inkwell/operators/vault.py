@@ -247,6 +247,24 @@ def page(df: DataFrame, page: int = 1, limit: int = 20, newest: str = "created_a
     })
 
 
+def page_after(df: DataFrame, after: tuple | None = None, limit: int = 20, newest: str = "created_at",
+               tie: str = "document_id") -> DataFrame:
+    """W4 at any depth: the ``limit`` rows that follow ``after``, the (newest, tie) values of the last row seen.
+
+    The bound is a filter on the scan, so a deep page costs what the first one does.  Rows without a ``newest``
+    value come last.
+    """
+    if after is not None:
+        value, key = after
+        later = F.col(tie) > F.lit(key)
+        if value is None:
+            df = df.filter(F.col(newest).isNull() & later)
+        else:
+            same = (F.col(newest) == F.lit(value)) & later
+            df = df.filter((F.col(newest) < F.lit(value)) | same | F.col(newest).isNull())
+    return df.orderBy(F.desc(newest), F.asc(tie)).limit(limit)
+
+
 def first_child(child: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First row per parent; pre-aggregated, so a hot parent costs one row per task."""
     rest = [c for c in child.columns if c != key]
@@ -267,17 +285,23 @@ def document_view(docs: DataFrame, ocr: DataFrame, fields: DataFrame, ai: DataFr
 
 
 def cascade_delete(tables: dict[str, DataFrame], ids: DataFrame | None = None, owner=None) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Remove documents (listed, or all of an owner) from every table."""
+    """Remove documents (listed, or all of an owner) from every table.
+
+    Gives the kept rows of each table, and one row per table with the numbers
+    deleted and kept, counted together in one pass over the table.
+    """
     parent = tables["documents"]
     doomed = parent.join(ids.select("document_id").distinct(), "document_id", "left_semi") if ids is not None else parent
     if owner is not None:
         doomed = doomed.filter(F.col("user_id") == F.lit(owner))
     doomed = doomed.select("document_id").distinct()
     kept = {name: df.join(doomed, "document_id", "left_anti") for name, df in tables.items()}
-    counts = None
+    rows = None
     for name, df in tables.items():
-        n = df.join(doomed, "document_id", "left_semi").agg(F.count("*").alias("deleted")).select(F.lit(name).alias("table_name"), "deleted")
-        counts = n if counts is None else counts.unionByName(n)
+        part = df.select("document_id", F.lit(name).alias("table_name"))
+        rows = part if rows is None else rows.unionByName(part)
+    marked = rows.join(doomed.withColumn("_gone", F.lit(True)), "document_id", "left")
+    counts = marked.groupBy("table_name").agg(F.count("_gone").alias("deleted"), F.count_if(F.col("_gone").isNull()).alias("kept"))
     return kept, counts
 
 

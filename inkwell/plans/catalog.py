@@ -300,6 +300,11 @@ def _(t):
     return vault.page(t.vault, page=3, limit=20, newest="file_size").select("document_id", "file_size", "total", "page", "page_size", "total_pages")
 
 
+@register("vault_page_after", with_views("vault") + o.PAGE_AFTER)
+def _(t):
+    return vault.page_after(t.vault, (o.SEEN_SIZE, o.SEEN_ID), limit=20, newest="file_size").select("document_id", "file_size")
+
+
 def child_tables(t: Tables) -> dict[str, DataFrame]:
     v = t.vault
     return {
@@ -322,12 +327,7 @@ def _(t):
 @register("cascade_delete", with_views("vault") + o.CASCADE)
 def _(t):
     ids = t.labels.filter("toxic = 1").select(F.col("doc_id").alias("document_id"))
-    kept, counts = vault.cascade_delete(child_tables(t), ids)
-    left = None
-    for name, df in kept.items():
-        n = df.agg(F.count("*").alias("kept")).select(F.lit(name).alias("table_name"), "kept")
-        left = n if left is None else left.unionByName(n)
-    return counts.join(left, "table_name")
+    return vault.cascade_delete(child_tables(t), ids)[1]
 
 
 @register("upsert_profiles", o.PROFILES)
@@ -336,7 +336,7 @@ def _(t):
     existing = c.filter("c_custkey % 3 <> 0").selectExpr(
         "c_custkey AS id", "concat(lower(c_mktsegment), c_custkey, '@old.example') AS email", "c_name AS full_name", "'user' AS role"
     )
-    incoming = c.filter("c_custkey % 2 = 0").selectExpr(
+    incoming = c.filter("c_custkey % 2 = 0 OR c_custkey % 3 = 0").selectExpr(
         "c_custkey AS id", "concat('u', c_custkey, '@new.example') AS email",
         "CASE WHEN c_custkey % 4 = 0 THEN '' ELSE upper(c_name) END AS full_name", "CAST(NULL AS STRING) AS role",
     )

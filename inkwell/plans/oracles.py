@@ -302,6 +302,11 @@ SELECT document_id, file_size, total, 3 AS page, 20 AS page_size, CAST(ceil(tota
   SELECT document_id, file_size, count(*) OVER () AS total, row_number() OVER (ORDER BY file_size DESC, document_id) AS r FROM vault) x
 WHERE r > 40 AND r <= 60
 """
+SEEN_SIZE, SEEN_ID = 500, 100
+PAGE_AFTER = f"""
+SELECT document_id, file_size FROM vault WHERE file_size < {SEEN_SIZE} OR (file_size = {SEEN_SIZE} AND document_id > {SEEN_ID})
+ORDER BY file_size DESC, document_id LIMIT 20
+"""
 DOCUMENT_VIEW = """
 SELECT document_id, CASE WHEN verification_status = 'unsupported' THEN 'verified' ELSE verification_status END AS verification_status,
   CAST(risk_score AS DOUBLE) AS risk_score, md5(extracted_text) || '-1' AS text_md5,
@@ -322,7 +327,7 @@ WITH e AS (
   SELECT c_custkey AS id, lower(c_mktsegment) || c_custkey || '@old.example' AS email, c_name AS full_name FROM customer WHERE c_custkey % 3 <> 0),
 n AS (
   SELECT c_custkey AS id, 'u' || c_custkey || '@new.example' AS email, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE upper(c_name) END AS full_name
-  FROM customer WHERE c_custkey % 2 = 0),
+  FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0),
 j AS (
   SELECT coalesce(e.id, n.id) AS id, coalesce(n.email, e.email) AS email, coalesce(nullif(n.full_name, ''), e.full_name, '') AS full_name
   FROM e FULL OUTER JOIN n ON e.id = n.id)
@@ -908,7 +913,7 @@ steps AS (
   SELECT n, event_id, client, bucket, us, CAST([] AS BIGINT[]) AS held FROM numbered WHERE n = 1
   UNION ALL
   SELECT r.n, r.event_id, r.client, r.bucket, r.us,
-    list_filter(CASE WHEN len(s.held) < {limit} THEN list_append(s.held, s.us) ELSE s.held END, x -> x > r.us - {window})
+    list_filter(CASE WHEN len(s.held) < {limit} THEN list_append(s.held, s.us) ELSE s.held END, lambda x: x > r.us - {window})
   FROM steps s JOIN numbered r ON r.bucket = s.bucket AND r.client = s.client AND r.n = s.n + 1)
 SELECT event_id, client, bucket, len(held) < {limit} AS accepted,
   CASE WHEN len(held) >= {limit} THEN greatest(1, CAST(trunc(({window} - (us - held[1])) / 1000000.0) AS BIGINT)) END AS retry_after
