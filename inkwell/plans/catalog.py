@@ -754,12 +754,12 @@ def _(t):
     return out.select("document_id", "turn", "rule", "answer")
 
 
-@register("normalise_model_outputs")
+@register("normalise_model_outputs", with_views("type_docs") + o.MODEL_OUTPUTS)
 def _(t):
     docs = type_docs(t)
     raw = t.kyc.selectExpr("doc_id", f"{o.MODEL_ANSWER} AS raw")
     out = model_outputs.normalise_model_outputs(raw, docs, kyc_fields(t, "name", "pan_number"))
-    return out.withColumn("extracted_fields", F.to_json("extracted_fields")).withColumn("evidence", F.array_join("evidence", "|"))
+    return out.withColumn("extracted_fields", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("extracted_fields"))))).withColumn("evidence", F.array_join("evidence", "|"))
 
 
 # ------------------------------------------------------------ whole flows

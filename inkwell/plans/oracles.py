@@ -510,16 +510,15 @@ _ACC = "substr(account_number, 1, 18)"
 _HOLDER = "regexp_extract(name, '^(.{3,}?)(?:CIF|$)', 1)"
 _FACTS = [
     ("pan", "pan_number", "pan_number", "0.96"), ("pan", "name", "name", "0.96"), ("pan", "dob", "dob", "0.96"),
-    # white space in the number pattern spans lines: the year of birth is read as its first group
-    ("aadhaar", "raw_aadhaar", "substr(dob, 7, 4) || substr(raw_aadhaar, 1, 8)", "NULL"),
-    ("aadhaar", "aadhaar_number", "'XXXXXXXX' || substr(raw_aadhaar, 5, 4)", "0.96"),
-    ("aadhaar", "aadhaar_number_masked", "'XXXXXXXX' || substr(raw_aadhaar, 5, 4)", "0.96"),
+    ("aadhaar", "raw_aadhaar", "raw_aadhaar", "NULL"),
+    ("aadhaar", "aadhaar_number", "'XXXXXXXX' || right(raw_aadhaar, 4)", "0.96"),
+    ("aadhaar", "aadhaar_number_masked", "'XXXXXXXX' || right(raw_aadhaar, 4)", "0.96"),
     ("aadhaar", "name", "name", "0.96"), ("aadhaar", "dob", "dob", "0.96"),
     ("bank_statement", "account_number_masked", _MASK.format(a=_ACC), "0.96"),
     ("bank_statement", "account_number", _MASK.format(a=_ACC), "0.96"),
     ("bank_statement", "ifsc", "CASE WHEN substr(ifsc, 5, 1) = '0' THEN ifsc END", "0.96"),
     ("bank_statement", "ifsc_code", "CASE WHEN substr(ifsc, 5, 1) = '0' THEN ifsc END", "0.96"),
-    ("bank_statement", "opening_balance", "CASE WHEN acctbal >= 0 THEN CAST(acctbal AS VARCHAR) END", "0.96"),
+    ("bank_statement", "opening_balance", "CAST(acctbal AS VARCHAR)", "0.96"),
     ("bank_passbook", "raw_account_number", _ACC, "NULL"),
     ("bank_passbook", "account_number_masked", _MASK.format(a=_ACC), "0.96"),
     ("bank_passbook", "ifsc", "CASE WHEN substr(ifsc, 5, 1) = '0' THEN ifsc END", "0.96"),
@@ -882,8 +881,24 @@ MODEL_ANSWER = (
     "{\"field_name_1\": \"colour\", \"field_value_1\": \"red\", \"field_name_2\": \"size\", \"field_value_2\": \"none\"}} done' "
     "WHEN 2 THEN '{\"document_type\": \"something unknown\", \"evidence\": [\"a\", \"b\"]}' ELSE 'no json at all' END"
 )
-# the number as the extraction pattern reads it, see above
-_READ_UID = "(substr(dob, 7, 4) || substr(raw_aadhaar, 1, 8))"
+_JSON_ENTRIES = """CASE doc_id % 4 WHEN 0 THEN '"city":"Pune",' WHEN 1 THEN '"colour":"red",' ELSE '' END"""
+MODEL_OUTPUTS = ", typed AS (WITH " + classify_sql(0).strip().removeprefix(",") + """)
+, stated AS (
+  SELECT doc_id, doc_type <> 'unknown' AS known, confidence_level, typed.confidence AS score, evidence,
+    CASE WHEN doc_type <> 'unknown' THEN document_type WHEN doc_id % 4 = 0 THEN 'Letter' WHEN doc_id % 4 = 1 THEN 'Pan Card' ELSE 'Unknown Document' END AS document_type
+  FROM typed)
+SELECT s.doc_id, document_type,
+  CASE WHEN s.doc_id % 4 = 1 THEN 'high' WHEN known THEN confidence_level WHEN s.doc_id % 4 = 0 THEN 'high' ELSE 'low' END AS confidence,
+  CASE WHEN known THEN score WHEN s.doc_id % 4 = 0 THEN 0.9 WHEN s.doc_id % 4 = 1 THEN 0.95 END AS confidence_score,
+  CASE WHEN s.doc_id % 4 = 0 THEN 'A plain letter text.' WHEN document_type <> 'Unknown Document' THEN 'This document was analyzed and identified as a ' || document_type || '.'
+    ELSE 'This document could not be reliably classified into a recognized document type based on its visible content.' END AS summary,
+  CASE WHEN known THEN evidence
+    WHEN document_type <> 'Unknown Document' THEN 'Document structure matches ' || document_type || '|Contains verified text tokens and layout features'
+    WHEN s.doc_id % 4 = 2 THEN 'a|b'
+    ELSE 'No standard institutional headings or classification markers recognized|Visible text lacks defining structural fields of supported document classes' END AS evidence,
+  '{' || """ + _JSON_ENTRIES.replace("doc_id", "s.doc_id") + """ || '"name":"' || name || '","pan_number":"' || pan_number || '"}' AS extracted_fields
+FROM stated s JOIN kyc k ON k.doc_id = s.doc_id
+"""
 VERIFY = _best(1) + f"""
 , {_SIG_ROWS}
 , asked AS (
@@ -896,7 +911,7 @@ v AS (SELECT *, coalesce(detected <> requested_type AND score < 2, false) AS mis
 why AS (
   SELECT v.*, CASE requested_type
     WHEN 'pan' THEN {_PAN_WHY.format(p='k.pan_number')}
-    WHEN 'aadhaar' THEN CASE WHEN NOT regexp_matches({_READ_UID}, '^[2-9][0-9]{{11}}$') OR {_FOLD.replace('value', _READ_UID)} <> 0 THEN 'invalid_aadhaar_checksum' END
+    WHEN 'aadhaar' THEN CASE WHEN NOT regexp_matches(raw_aadhaar, '^[2-9][0-9]{{11}}$') OR {_FOLD.replace('value', 'raw_aadhaar')} <> 0 THEN 'invalid_aadhaar_checksum' END
     WHEN 'bank_statement' THEN CASE WHEN substr(ifsc, 5, 1) = '0' AND substr(ifsc, 1, 4) NOT IN {in_list(BANK_CODES)} THEN 'ifsc_needs_review' END
     WHEN 'bank_passbook' THEN CASE WHEN substr(ifsc, 5, 1) = '0' AND substr(ifsc, 1, 4) NOT IN {in_list(BANK_CODES)} THEN 'ifsc_needs_review' END END AS reason
   FROM v JOIN kyc k ON k.doc_id = v.doc_id)

@@ -150,12 +150,15 @@ RULES: dict[str, list[Rule]] = {
         ),
     ],
     "aadhaar": [
+        # the groups stand on one line: a year that ends the line above is not part of the number
         Rule(
-            "raw_aadhaar", r"\b(\d{4}\s\d{4}\s\d{4}|\d{12})\b", source="digits", flags="", op="compact",
+            "raw_aadhaar", r"\b(\d{4}[ \t]\d{4}[ \t]\d{4}|\d{12})\b", source="digits", flags="", op="compact",
             masked=("aadhaar_number,aadhaar_number_masked", "uid"),
             line_pattern=r"(\d{4}[ \t]\d{4}[ \t]\d{4}|\d{12})",
         ),
-        Rule("aadhaar_number", r"\b([X\d]{4}\s[X\d]{4}\s\d{4})\b", source="digits", op="upper", copies=("aadhaar_number_masked",)),
+        Rule(
+            "aadhaar_number", r"\b([X\d]{4}[ \t][X\d]{4}[ \t]\d{4})\b", source="digits", op="upper", copies=("aadhaar_number_masked",),
+        ),
         Rule(
             "name",
             r"(?:Name|नाव|नाम)[\s:]*(?:\r?\n)?[\s:]*([A-Za-z\u0900-\u097F][A-Za-z\u0900-\u097F \t.'-]{1,35}?)"
@@ -293,9 +296,9 @@ RULES: dict[str, list[Rule]] = {
             "branch", r"BRANCH\s+ADDRESS\s*[-:]\s*([^\n\r~]+(?:~[^\n\r]+)?)", op="tilde", confidence=0.95,
             copies=("branch_name",),
         ),
-        Rule("opening_balance", r"Opening\s*Balance[\s:]+(?:Rs\.?|INR)?\s*([\d,]+\.?\d*)", op="amount"),
+        Rule("opening_balance", r"Opening\s*Balance[\s:]+(?:Rs\.?|INR)?\s*(-?[\d,]+\.?\d*)", op="amount"),
         Rule(
-            "closing_balance", r"(?<!Opening\s)\bClosing\s*Balance[\s:]+(?:Rs\.?|INR)?\s*([\d,]+\.?\d*)", op="amount",
+            "closing_balance", r"(?<!Opening\s)\bClosing\s*Balance[\s:]+(?:Rs\.?|INR)?\s*(-?[\d,]+\.?\d*)", op="amount",
         ),
     ],
     "salary_slip": [
@@ -724,3 +727,9 @@ CORE_FIELDS: dict[str, list[str]] = {
     "bank_passbook": ["account_number_masked", "bank_name"],
     "income_certificate": ["certificate_number", "applicant_name", "annual_income"],
 }
+
+#: Number groups that may stand on different lines; ``extra_rules={"aadhaar": [UID_ACROSS_LINES]}`` reads them first.
+UID_ACROSS_LINES = Rule(
+    "raw_aadhaar", r"\b(\d{4}\s\d{4}\s\d{4}|\d{12})\b", source="digits", flags="", op="compact",
+    masked=("aadhaar_number,aadhaar_number_masked", "uid"),
+)
