@@ -87,7 +87,7 @@ def _(t):
     return rows.select("doc_id", F.explode("m"))
 
 
-@register("normalise_text")
+@register("normalise_text", o.NORMALISE)
 def _(t):
     out = redact.normalise_text(texts(t))
     return out.select("doc_id", F.md5("norm_text").alias("norm_md5"), F.length("norm_text").alias("norm_chars"))
@@ -640,7 +640,7 @@ def _(t):
     return lines.reading_order(boxed_lines(t)).select("doc_id", "line_no", "reading_pos")
 
 
-@register("merge_passes")
+@register("merge_passes", with_views("ocr_lines").replace("WITH ", "WITH RECURSIVE ", 1) + o.MERGE_PASSES)
 def _(t):
     en = boxed_lines(t).withColumn("line_no", F.col("line_no").cast("int"))
     dev = en.selectExpr(

@@ -16,7 +16,7 @@ from inkwell.plans.forms import FORM_FACTS
 from inkwell.rules.extraction import CORE_FIELDS, LANGUAGE_FIELDS, PII_ALLOWED
 from inkwell.rules.intents import FIELD_LABELS, INTENTS, PRIORITY
 from inkwell.rules.signatures import PRIMARY_ANCHORS, SIGNATURES, TYPE_METADATA
-from inkwell.rules.text_values import PLACE_SPELLINGS
+from inkwell.rules.text_values import MERGED_WORDS, PLACE_SPELLINGS
 
 
 def q(text: str) -> str:
@@ -39,6 +39,22 @@ def values(rows) -> str:
 # ------------------------------------------------------------- text and PII
 
 
+def _normalised(col: str) -> str:
+    """The corpus holds no character that NFKC changes and NFC does not."""
+    sql = f"translate(translate(nfc_normalize({col}), chr(8203) || chr(65279), ''), '“”‘’', '\"\"' || chr(39) || chr(39))"
+    sql = f"translate(regexp_replace({sql}, '[—–]', ' - ', 'g'), '०१२३४५६७८९', '0123456789')"
+    # the next match may begin in what a match has used up: twice
+    for pattern, gap in (("([A-Za-z])[.]([A-Za-z]{2,})", ". "), ("([A-Za-z]):([A-Za-z0-9])", ": ")):
+        for _ in range(2):
+            sql = f"regexp_replace({sql}, '{pattern}', '\\1{gap}\\2', 'g')"
+    for pattern, repair in MERGED_WORDS:
+        sql = f"regexp_replace({sql}, {q(portable(pattern))}, {q(repair.replace('$', chr(92)))}, 'gi')"
+    return sql
+
+
+NORMALISE = f"SELECT doc_id, md5(n) AS norm_md5, length(n) AS norm_chars FROM (SELECT doc_id, {_normalised('text')} AS n FROM documents) x"
+
+
 def _redacted(col: str) -> str:
     sql = col
     for _, pattern, fold, replacement in REDACTION_RULES:
@@ -747,6 +763,43 @@ READING_ORDER = """
 SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY round_even(y0 / 15, 0), x0, line_no) AS reading_pos FROM ocr_lines
 """
 
+_MERGE_BOXES = "doc_id, page_num, line_no, text, confidence, x0, y0, x1, y1"
+# pairs of a page one after the other: a pair is taken if neither of its lines is
+MERGE_PASSES = f"""
+, en AS (SELECT {_MERGE_BOXES} FROM ocr_lines),
+dev AS (
+  SELECT doc_id, page_num, line_no, CASE WHEN line_no % 2 = 0 THEN 'नाव ' || text ELSE text END AS text, confidence - 0.01 AS confidence,
+    x0 + 1 AS x0, y0 + CASE WHEN line_no % 3 = 0 THEN 400 ELSE 2 END AS y0, x1 + 1 AS x1, y1 + CASE WHEN line_no % 3 = 0 THEN 400 ELSE 2 END AS y1
+  FROM ocr_lines),
+met AS (
+  SELECT a.doc_id, a.page_num, a.line_no AS an, b.line_no AS bn, (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb,
+    greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i
+  FROM en a JOIN dev b ON a.doc_id = b.doc_id AND a.page_num = b.page_num),
+numbered AS (
+  SELECT doc_id, page_num, an, bn, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY an, i / least(sa, sb) DESC, bn) AS n FROM met
+  WHERE i > 0 AND sa > 0 AND sb > 0 AND (i / (sa + sb - i) >= 0.35 OR i / least(sa, sb) >= 0.5)),
+steps AS (
+  SELECT n, doc_id, page_num, an, bn, true AS took, [an] AS ta, [bn] AS tb FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT r.n, r.doc_id, r.page_num, r.an, r.bn, NOT list_contains(s.ta, r.an) AND NOT list_contains(s.tb, r.bn),
+    CASE WHEN list_contains(s.ta, r.an) OR list_contains(s.tb, r.bn) THEN s.ta ELSE list_append(s.ta, r.an) END,
+    CASE WHEN list_contains(s.ta, r.an) OR list_contains(s.tb, r.bn) THEN s.tb ELSE list_append(s.tb, r.bn) END
+  FROM steps s JOIN numbered r ON r.doc_id = s.doc_id AND r.page_num = s.page_num AND r.n = s.n + 1),
+pairs AS (SELECT doc_id, page_num, an, bn FROM steps WHERE took),
+won AS (
+  SELECT p.*, CASE WHEN b.line_no % 2 = 0 THEN b.confidence >= 0.5 OR b.confidence >= a.confidence - 0.2 ELSE b.confidence > a.confidence END AS dev_wins
+  FROM pairs p JOIN en a ON a.doc_id = p.doc_id AND a.page_num = p.page_num AND a.line_no = p.an
+  JOIN dev b ON b.doc_id = p.doc_id AND b.page_num = p.page_num AND b.line_no = p.bn),
+merged AS (
+  SELECT en.*, 'en' AS source_pass FROM en LEFT JOIN won w ON w.doc_id = en.doc_id AND w.page_num = en.page_num AND w.an = en.line_no
+  WHERE coalesce(NOT dev_wins, true)
+  UNION ALL
+  SELECT dev.*, 'dev' FROM dev LEFT JOIN won w ON w.doc_id = dev.doc_id AND w.page_num = dev.page_num AND w.bn = dev.line_no
+  WHERE coalesce(dev_wins, true))
+SELECT {_MERGE_BOXES}, source_pass,
+  row_number() OVER (PARTITION BY doc_id, page_num ORDER BY round_even(y0 / 15, 0), x0, line_no) AS reading_pos FROM merged
+"""
+
 # ------------------------------------------------ governance, chat, questions
 
 _RETAIN = """
