@@ -1,8 +1,8 @@
 """Registered queries: every operator over the whole driver tables.
 
 Each entry pairs a Spark job with the SQL that must give the same rows, or
-with ``None`` where the operator cannot be said in SQL (text similarity,
-Unicode folding, sequential limits, greedy pairing).
+with ``None`` where the operator cannot be said in SQL (text similarity and
+the flow built on all of it).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from inkwell.operators import (
     redact, retention, star, statements, validate, vault,
 )
 from inkwell.plans import oracles as o
+from inkwell.plans.checked import CHECKED, CHECKED_FIELDS, RULE_FINDINGS
 from inkwell.plans.fixtures import Tables, with_views
 from inkwell.plans.forms import FORM_FACTS
 from inkwell.plans.flows import vault_flow, verify_flow
@@ -582,6 +583,17 @@ def _(t):
     return out.select("doc_id", "signal", "score", "description")
 
 
+@register("rule_findings", with_views("kyc") + RULE_FINDINGS)
+def _(t):
+    rows = t.spark.sql("WITH kyc AS (SELECT * FROM {source})" + CHECKED + "SELECT * FROM checked", source=t.kyc)
+    entries = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("field"), F.col(name).alias("value"))
+        for kind, names in CHECKED_FIELDS.items() for name in names
+    ])
+    fields = rows.select("doc_id", "doc_type", F.explode(entries).alias("_e")).filter("_e.kind = doc_type").select("doc_id", "_e.field", "_e.value")
+    return integrity.field_findings(fields, rows.select("doc_id", "doc_type", "full_text")).select("doc_id", "signal", "score", "description")
+
+
 @register("all_findings", with_views("ocr_lines") + o.ALL_FINDINGS)
 def _(t):
     b = boxed_lines(t)
