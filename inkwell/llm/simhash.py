@@ -14,7 +14,7 @@ block against block, and a block pair gives back a spanning forest of its links
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -182,10 +182,15 @@ def one_of_each(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
     """
     kept = near_duplicates(docs, bits, width)
     first = kept.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).count()
-    return _first_rows(docs, first.select("component_id", "own"), width)
 
+    def signed(text: bytes | None) -> int:
+        return int(np.uint64(fingerprint(text, width)).view(np.int64))
 
-def _first_rows(docs: DataFrame, first: DataFrame, width: int) -> DataFrame:
+    return first_rows(docs, first.select("component_id", "own"), signed)
+
+
+def first_rows(docs: DataFrame, first: DataFrame, key_of: Callable[[bytes | None], int]) -> DataFrame:
+    """The rows whose doc_id is a ``component_id`` of ``first``, and one row without id for each ``own`` that is a text's key."""
     columns = docs.columns
     key = free_name(docs, "inkwell_key")
     no_id = docs.where(F.col("doc_id").isNull())
@@ -195,10 +200,10 @@ def _first_rows(docs: DataFrame, first: DataFrame, width: int) -> DataFrame:
     one = kept.groupBy(key).agg(*(F.first(c).alias(c) for c in columns)).select(*columns)
     fps = first.where(F.col("component_id").isNull()).select(F.col("own").alias(key))
 
-    def fp_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def keys_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            yield pd.Series(np.array([fingerprint(t, width) for t in part], np.uint64).view(np.int64))
+            yield pd.Series([key_of(t) for t in part], dtype="int64")
 
-    hashed = F.pandas_udf(fp_of, "long")(F.col("text").cast("binary"))
+    hashed = F.pandas_udf(keys_of, "long")(F.col("text").cast("binary"))
     nameless = no_id.withColumn(key, hashed).join(fps, key, "left_semi")
     return one.union(nameless.groupBy(key).agg(*(F.first(c).alias(c) for c in columns)).select(*columns))
