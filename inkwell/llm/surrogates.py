@@ -42,20 +42,36 @@ _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 _PERSON = re.compile(
     rf"\b(?P<title>{'|'.join(sorted(map(re.escape, _GENDER), key=len, reverse=True))})\b\.?[  ]+(?P<name>{_NAME}(?:[  ]{_NAME}){{0,2}})"
 )
+#: What may not stand around a number: letters, or digits that go on after a point or hyphen.
+_BEFORE, _AFTER = r"(?<![\w+])(?<!\d[.-])", r"(?!\w|[.-]\d)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _PATTERNS = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)")),
-    ("ssn", re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)")),
+    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?= ?[A-Z0-9])")),  # where one may start, see _ibans
+    ("card", re.compile(r"\d(?:[ -]?\d){12,}")),  # a run that may hold some, see _cards
+    ("ssn", re.compile(rf"{_BEFORE}\d{{3}}-\d{{2}}-\d{{4}}{_AFTER}")),
     ("phone", re.compile(
-        r"(?<![\w.+-])(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?![\w-]|\.\d)"
-        r"|(?<![\w.+-])(?:\+?1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]|\.\d)"
-        r"|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?![\w-]|\.\d)"
+        rf"{_BEFORE}(?:\+?1[ .-]?)?\(\d{{3}}\)[ .-]?\d{{3}}[ .-]?\d{{4}}{_AFTER}"
+        rf"|{_BEFORE}(?:\+?1[ .-])?\d{{3}}[.-]\d{{3}}[.-]\d{{4}}{_AFTER}"
+        rf"|{_BEFORE}\+\d{{1,3}}(?:[ .-]?\(?\d{{1,4}}\)?){{2,6}}{_AFTER}"
     )),
-    ("ip", re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)")),
+    ("ip", re.compile(rf"(?<!\w)(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)")),
 )
 _DIGITS = re.compile(r"[0-9@]")
+_GROUP = re.compile(r"\d+")
+_CARD_END = re.compile(r"(?!\w|\.\d)")
+_IBAN_RUN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
+#: Lengths of the countries' IBANs.
+_IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 
 @dataclass(frozen=True)
@@ -92,7 +108,8 @@ def _canonical(kind: str, text: str) -> str | None:
         return ".".join(str(int(o)) for o in text.split("."))
     if kind == "iban":
         value = text.replace(" ", "")
-        return value if 15 <= len(value) <= 34 and _mod97(value) == 1 else None
+        fits = len(value) == _IBAN_LENGTHS.get(value[:2], len(value)) and 15 <= len(value) <= 34
+        return value if fits and _mod97(value) == 1 else None
     value = _digits(text)
     if kind == "card":
         return value if 13 <= len(value) <= 19 and _luhn(value) and len(set(value)) > 1 else None
@@ -103,6 +120,55 @@ def _canonical(kind: str, text: str) -> str | None:
     return value
 
 
+def _cards(text: str, run: re.Match, taken: set[int]) -> Iterator[tuple[int, int]]:
+    """Cards in a run of digit groups: from the left, the longest row of whole groups with a right check digit."""
+    groups = [g.span() for g in _GROUP.finditer(text, *run.span())]
+    first = run.start()
+    before = text[max(0, first - 2):first]
+    apart = not before or not (before[-1] == "+" or before[-1] == "_" or before[-1].isalnum())
+    apart = apart and not (len(before) == 2 and before[0].isdigit() and before[1] == ".")
+    at = 0 if apart else 1
+    while at < len(groups):
+        ends, n = [], 0
+        for last in range(at, len(groups)):
+            n += groups[last][1] - groups[last][0]
+            if n > 19:
+                break
+            if n >= 13:
+                ends.append(last)
+        start = groups[at][0]
+        for last in reversed(ends):
+            end = groups[last][1]
+            whole = last + 1 < len(groups) or _CARD_END.match(text, end)
+            if whole and start not in taken and end - 1 not in taken and _canonical("card", text[start:end]):
+                yield start, end
+                at = last
+                break
+        at += 1
+
+
+def _ibans(text: str, start: re.Match) -> Iterator[tuple[int, int]]:
+    """The IBAN that begins at a place: of the country's length, or the longest one that passes for other countries."""
+    run = _IBAN_RUN.match(text, start.start())
+    if not run:
+        return
+    for end in range(run.end(), run.start() + 14, -1):
+        if text[end - 1] != " " and not (end < len(text) and text[end].isascii() and text[end].isalnum()):
+            if _canonical("iban", text[run.start():end]):
+                yield run.start(), end
+                return
+
+
+def _spans(text: str, kind: str, pattern: re.Pattern, taken: set[int]) -> Iterator[tuple[int, int]]:
+    for m in pattern.finditer(text):
+        if kind == "card":
+            yield from _cards(text, m, taken)
+        elif kind == "iban":
+            yield from _ibans(text, m)
+        else:
+            yield m.span()
+
+
 def mentions(text: str | None) -> list[Mention]:
     """Personal data in a text, left to right, not overlapping; ``end`` is exclusive, in code points."""
     found: list[Mention] = []
@@ -113,11 +179,11 @@ def mentions(text: str | None) -> list[Mention]:
         for kind, pattern in _PATTERNS:
             if kind == "email" and "@" not in text:
                 continue
-            for m in pattern.finditer(text):
-                value = _canonical(kind, m.group())
-                if value and m.start() not in taken and m.end() - 1 not in taken:
-                    taken.update(range(m.start(), m.end()))
-                    found.append(Mention(m.start(), m.end(), kind, value))
+            for start, end in _spans(text, kind, pattern, taken):
+                value = _canonical(kind, text[start:end])
+                if value and start not in taken and end - 1 not in taken:
+                    taken.update(range(start, end))
+                    found.append(Mention(start, end, kind, value))
     found += _names(text, taken)
     return sorted(found, key=lambda m: m.start)
 

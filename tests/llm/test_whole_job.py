@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from inkwell.llm import minhash
+import pytest
+from inkwell.llm import minhash, surrogates
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
@@ -59,3 +60,26 @@ def test_near_copies_over_blocks_and_chains(spark, monkeypatch):
     assert sorted(i for i in kept if i is not None) == plain_firsts(rows)
     empty = docs.where("false")
     assert minhash.one_of_each(empty).count() == 0
+
+
+@pytest.mark.parametrize(("text", "kind", "value"), [
+    ("pay 4111 1111 1111 1111 12/25 now", "card", "4111111111111111"),
+    ("pay 4111 1111 1111 1111 123", "card", "4111111111111111"),
+    ("2 4111 1111 1111 1111", "card", "4111111111111111"),
+    ("No.4111 1111 1111 1111-", "card", "4111111111111111"),
+    ("visa -4111-1111-1111-1111", "card", "4111111111111111"),
+    ("4111 1111 1111 1111 5500 0000 0000 0004", "card", "4111111111111111"),
+    ("BE68 5390 0754 7034 BIC KREDBEBB", "iban", "BE68539007547034"),
+    ("DE89370400440532013000 EUR", "iban", "DE89370400440532013000"),
+    ("BE68 5390 0754 7034 4111 1111 1111 1111", "iban", "BE68539007547034"),
+    ("BE68 5390 0754 7034 4111 1111 1111 1111", "card", "4111111111111111"),
+    ("SSN.078-05-1120", "ssn", "078051120"),
+    ("Tel.212-555-0199", "phone", "+12125550199"),
+])
+def test_numbers_among_other_groups_are_found(text, kind, value):
+    assert (kind, value) in [(m.kind, m.value) for m in surrogates.mentions(text)]
+
+
+@pytest.mark.parametrize("text", ["1234567890123456", "0.4111111111111111", "x4111111111111111", "4111111111111111.5"])
+def test_other_numbers_stay(text):
+    assert not surrogates.mentions(text)
