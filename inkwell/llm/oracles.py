@@ -90,4 +90,19 @@ WITH split AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN fitting USING (host, path)
 """
 
-ORACLES = {"op4_secrets": _op4(), "op5_pareto_mix": OP5, "op9_url_filter": OP9}
+OP13 = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(split) AS line, unnest(range(len(split))) AS pos
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS split FROM documents)
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), repeated AS (
+    SELECT key, min(doc_id) AS first_id FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (coalesce(first_id <> doc_id, false))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT coalesce(first_id <> doc_id, false)), '')) AS kept_sha256
+FROM keyed LEFT JOIN repeated USING (key) GROUP BY doc_id
+"""
+
+ORACLES = {"op13_line_dedup": OP13, "op4_secrets": _op4(), "op5_pareto_mix": OP5, "op9_url_filter": OP9}

@@ -12,6 +12,7 @@ from inkwell.llm import (
     bpe,
     embedding_dedup,
     language,
+    line_dedup,
     mixing,
     neighbours,
     quality,
@@ -93,6 +94,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,5 +109,5 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {f.__name__: _bounded(f) for f in (
     op1_embedding_dedup, op2_surrogates, op3_quality, op4_secrets, op5_pareto_mix, op6_simhash, op7_neighbours,
-    op8_language, op9_url_filter, op10_bpe,
+    op8_language, op9_url_filter, op10_bpe, op13_line_dedup,
 )}
