@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import (
+    alignment,
     bpe,
     embedding_dedup,
     language,
@@ -31,16 +32,25 @@ def surrogate_key(spark: SparkSession) -> str:
     return spark.conf.get("spark.inkwell.surrogateKey", DEFAULT_KEY)
 
 
-def tokenizer_path(spark: SparkSession) -> str:
-    """Tokenizer file: ``spark.inkwell.tokenizer``, or the public byte-level vocabulary that is installed."""
-    path = spark.conf.get("spark.inkwell.tokenizer", None)
+def _public_file(spark: SparkSession, setting: str, name: str) -> str:
+    path = spark.conf.get(setting, None)
     if path is None:
         import public_tokenizers
 
-        path = public_tokenizers.path("byte_bpe_50k.json")
+        path = public_tokenizers.path(name)
     return path
 
 
+def tokenizer_path(spark: SparkSession) -> str:
+    """Tokenizer file: ``spark.inkwell.tokenizer``, or the public byte-level vocabulary that is installed."""
+    return _public_file(spark, "spark.inkwell.tokenizer", "byte_bpe_50k.json")
+
+
+def piece_model_path(spark: SparkSession) -> str:
+    """Sentencepiece model: ``spark.inkwell.pieceModel``, or the public one that is installed."""
+    return _public_file(spark, "spark.inkwell.pieceModel", "piece_bpe_32k.model")
+
+
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -94,6 +104,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_path(spark), piece_model_path(spark))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -109,5 +123,5 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {f.__name__: _bounded(f) for f in (
     op1_embedding_dedup, op2_surrogates, op3_quality, op4_secrets, op5_pareto_mix, op6_simhash, op7_neighbours,
-    op8_language, op9_url_filter, op10_bpe, op13_line_dedup,
+    op8_language, op9_url_filter, op10_bpe, op12_alignment, op13_line_dedup,
 )}
