@@ -105,4 +105,40 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (coalesce(first_id <
 FROM keyed LEFT JOIN repeated USING (key) GROUP BY doc_id
 """
 
-ORACLES = {"op13_line_dedup": OP13, "op4_secrets": _op4(), "op5_pareto_mix": OP5, "op9_url_filter": OP9}
+#: All phrases counted as they stand, then cuts and longer phrases by joins.
+OP11 = r"""
+WITH pieces AS (
+    SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents)
+), worded AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), starts AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded
+), spans AS (
+    SELECT lang, w, i, unnest(range(1, 5)) AS words FROM starts
+), phrases AS (
+    SELECT lang, array_to_string(w[i:i + words - 1], ' ') AS phrase, words, count(*) AS f FROM spans
+    WHERE i + words - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
+), candidates AS (
+    SELECT lang, phrase, string_split(phrase, ' ') AS w, words, f AS a FROM phrases WHERE words > 1
+), cuts AS (
+    SELECT lang, phrase, w, words, a, unnest(range(1, words)) AS k FROM candidates
+), scored AS (
+    SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+    FROM cuts c JOIN phrases x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+                JOIN phrases y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+    SELECT * FROM lowest s WHERE NOT EXISTS (
+        SELECT 1 FROM candidates d WHERE d.lang = s.lang AND d.phrase <> s.phrase
+        AND contains(' ' || d.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * d.a >= 80 * s.a)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op11_collocations": OP11, "op13_line_dedup": OP13, "op4_secrets": _op4(), "op5_pareto_mix": OP5, "op9_url_filter": OP9}

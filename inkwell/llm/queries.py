@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import (
     alignment,
     bpe,
+    collocations,
     embedding_dedup,
     language,
     line_dedup,
@@ -104,6 +105,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_path(spark), piece_model_path(spark))
 
@@ -123,5 +128,6 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {f.__name__: _bounded(f) for f in (
     op1_embedding_dedup, op2_surrogates, op3_quality, op4_secrets, op5_pareto_mix, op6_simhash, op7_neighbours,
-    op8_language, op9_url_filter, op10_bpe, op12_alignment, op13_line_dedup,
+    op8_language, op9_url_filter, op10_bpe, op11_collocations,
+    op12_alignment, op13_line_dedup,
 )}
