@@ -7,7 +7,7 @@ need; a phrase belongs to the chunk that owns its first word, and so is counted
 holds how often each occurs in the parse; phrases are counted inside distinct chunks, weighted by that.
 
 A phrase is frequent only if all phrases in it are.  Words and then pairs are first counted under 64-bit hashes; a Bloom
-filter of at most ``MOST_BITS`` bits holds those that may be frequent, and only phrases made of them are counted under
+filter of bounded size (``key_filter``) holds those that may be frequent, and only phrases made of them are counted under
 their own text.  Hashes that meet and a filter that is full let more phrases through to that count, never fewer.
 """
 
@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.llm import key_filter
 from inkwell.llm.common import written
 
 #: Words a chunk owns on average.
@@ -30,8 +31,6 @@ EVERY = 32
 LONGEST, LEAST, COVERED, TOP = 4, 30, 80, 2000
 #: Words that are counted at once in a task.
 STEP = 1 << 20
-#: Bits of a filter for each entry, at least and at most (16 MB); bits of a page of it.
-BITS, FEWEST_BITS, MOST_BITS, PAGE = 16, 1 << 16, 1 << 27, 1 << 15
 
 #: Ends of pieces become line feeds, tabs become spaces.
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -165,39 +164,9 @@ def _keyed(keys: np.ndarray, times: np.ndarray) -> pd.DataFrame:
 
 
 def _maybe_frequent(counts: DataFrame, least: int) -> np.ndarray:
-    """Bloom filter (as bytes) of the keys that occur ``least`` times or more; bounded by ``MOST_BITS``."""
-    frequent = written(counts.groupBy("key").agg(F.sum("times").alias("n")).where(F.col("n") >= least).select("key"), "frequent")
-    bits = FEWEST_BITS
-    while bits < min(MOST_BITS, BITS * frequent.count()):
-        bits *= 2
-    places = F.explode(F.array(*(F.shiftrightunsigned("key", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 32))))
-    placed = frequent.select(places.alias("place"))
-    pages = placed.groupBy(F.shiftright("place", 15).alias("page")).agg(
-        F.collect_set(F.col("place").bitwiseAND(F.lit(PAGE - 1)).cast("int")).alias("set")
-    )
-
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            out = []
-            for set_bits in part["set"]:
-                page = np.zeros(PAGE, np.uint8)
-                page[set_bits] = 1
-                out.append(np.packbits(page, bitorder="little").tobytes())
-            yield pd.DataFrame({"page": part["page"], "bits": out})
-
-    found = np.zeros(bits // 8, np.uint8)
-    for row in pages.mapInPandas(packed, "page long, bits binary").toLocalIterator():
-        found[row["page"] * PAGE // 8:(row["page"] + 1) * PAGE // 8] = np.frombuffer(row["bits"], np.uint8)
-    return found
-
-
-def _among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
-    last = np.uint64(len(found) * 8 - 1)
-    held = np.ones(len(keys), bool)
-    for shift in (0, 32):
-        place = ((keys >> np.uint64(shift)) & last).astype(np.int64)
-        held &= (found[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
-    return held
+    """Filter of the keys that occur ``least`` times or more."""
+    frequent = counts.groupBy("key").agg(F.sum("times").alias("n")).where(F.col("n") >= least).select("key")
+    return key_filter.build(written(frequent, "frequent"))
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -213,15 +182,15 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     words = spark.sparkContext.broadcast(_maybe_frequent(_per_step(chunked, of_words, "key long, times long"), least))
 
     def of_pairs(some: _Words) -> Iterator[pd.DataFrame]:
-        known = _among(some.word_keys(), words.value)
+        known = key_filter.among(some.word_keys(), words.value)
         here = some.own[:-1] & some.pairs() & known[:-1] & known[1:]
         yield _keyed(some.pair_keys()[here], some.times[:-1][here])
 
     pairs = spark.sparkContext.broadcast(_maybe_frequent(_per_step(chunked, of_pairs, "key long, times long"), least))
 
     def of_phrases(some: _Words) -> Iterator[pd.DataFrame]:
-        start = np.flatnonzero(some.own & _among(some.word_keys(), words.value))
-        linked = np.append(some.pairs() & _among(some.pair_keys(), pairs.value), False)
+        start = np.flatnonzero(some.own & key_filter.among(some.word_keys(), words.value))
+        linked = np.append(some.pairs() & key_filter.among(some.pair_keys(), pairs.value), False)
         codes = some.lang_at[start] * len(some.names) + some.at[start]
         for size in range(1, longest + 1):
             if size > 1:  # go on where the next pair may be frequent too

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm import collocations, line_dedup
+from inkwell.llm import collocations, key_filter, line_dedup
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, at string, h1 string, key string"
@@ -190,7 +190,7 @@ def test_filter_holds_all_frequent_keys(spark):
     keys = np.random.default_rng(1).integers(-1 << 63, 1 << 63, 5000)
     counts = spark.createDataFrame([(int(k), 2 + i % 3) for i, k in enumerate(keys)], "key long, times long")
     found = collocations._maybe_frequent(counts, 3)
-    held = collocations._among(keys.view(np.uint64), found)
+    held = key_filter.among(keys.view(np.uint64), found)
     frequent = np.arange(5000) % 3 > 0
     assert held[frequent].all() and held[~frequent].mean() < 0.05
     assert len(found) * 8 >= 16 * frequent.sum()
