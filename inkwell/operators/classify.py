@@ -13,6 +13,7 @@ from inkwell.functions.identifiers import pan_reason, verhoeff_ok
 from inkwell.functions.patterns import common_stems, contains_any, match_sql, quote, required_literals, rlike_sql
 from inkwell.functions.text import rx, strip
 from inkwell.operators.redact import normalise_text
+from inkwell.operators.rule_match import possible_rules
 from inkwell.rules.signatures import PRIMARY_ANCHORS, SIGNATURES, TYPE_METADATA
 
 # Page marker, weights and confidence steps, exclusion words.
@@ -72,16 +73,20 @@ def match_signatures(pages: DataFrame, signatures: DataFrame | None = None, text
     """Every page x every signature that occurs, with the matched text.
 
     The built-in patterns are constants of one projection (compiled once per
-    task).  Rules given as a table are joined instead; that table is small by
-    nature and its size is checked by the optimizer before broadcasting.
+    task).  Of rules given as a table an automaton picks those that a page may
+    match, and only these are tried (see ``rule_match``); a table beyond its
+    size bound is joined.
     """
     upper = pages.withColumn("_u", F.upper(text))
     if signatures is not None:
-        # page text is untouched on the stream side; a pattern column is
-        # recompiled per row, the price of user-supplied rules
-        joined = upper.join(signatures, F.expr("rlike(_u, concat('(?d)', pattern))"))
-        evidence = F.expr(r"btrim(regexp_extract(_u, concat('(?d)', pattern), 0), ' \t\n\r')")
-        return joined.select(*[c for c in pages.columns if c != text], "doc_type", "tier", evidence.alias("evidence"))
+        evidence = r"btrim(regexp_extract(_u, concat('(?d)', _r.pattern), 0), ' \t\n\r')"
+        kept = [c for c in pages.columns if c != text]
+        narrowed = possible_rules(upper, signatures, "_u", "_rules")
+        if narrowed is not None:
+            tried = narrowed.withColumn("_r", F.explode("_rules")).where("rlike(_u, concat('(?d)', _r.pattern))")
+        else:  # more rules than every task should hold: each page against each rule
+            tried = upper.join(signatures.select(F.struct("doc_type", "tier", "pattern").alias("_r")), F.expr("rlike(_u, concat('(?d)', _r.pattern))"))
+        return tried.select(*kept, "_r.doc_type", "_r.tier", F.expr(evidence).alias("evidence"))
     hits = [
         f"named_struct('doc_type', '{t}', 'tier', '{tier}', 'evidence', {match_sql('_u', p)})"
         for t in TYPES

@@ -56,11 +56,17 @@ def resolve(fields: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def cross_check(fields: DataFrame, expected: DataFrame) -> DataFrame:
+def cross_check_verdicts(fields: DataFrame, expected: DataFrame) -> DataFrame:
+    """The verdicts of ``cross_check`` without scores: only pairs that bounds leave open are compared in Python."""
+    return cross_check(fields, expected, scores=False)
+
+
+def cross_check(fields: DataFrame, expected: DataFrame, scores: bool = True) -> DataFrame:
     """Verdict per (document, key).
 
     ``fields``: doc_id, field, value, values (NULL unless list-valued).
     ``expected``: doc_id, key, value, and optionally values.
+    ``scores``: whether the exact scores are wanted too.
     """
     if "values" not in fields.columns:
         fields = fields.withColumn("values", F.lit(None).cast("array<string>"))
@@ -93,7 +99,7 @@ def cross_check(fields: DataFrame, expected: DataFrame) -> DataFrame:
         .select("doc_id", "key", "_i", strip(F.col("_e")).alias("_e"), F.posexplode("_ext_items").alias("_j", "_x"))
         .withColumn("_x", strip(F.col("_x")))
     )
-    scored = with_similarity(items, "_x", "_e", "_s")
+    scored = with_similarity(items, "_x", "_e", "_s", None if scores else THRESHOLD)
     # best extracted item of each expected item, earlier one on a tie
     best = scored.groupBy("doc_id", "key", "_i").agg(
         F.max("_s").alias("_s"), F.max_by("_x", F.struct(F.col("_s"), -F.col("_j"))).alias("_x")
@@ -112,7 +118,7 @@ def cross_check(fields: DataFrame, expected: DataFrame) -> DataFrame:
         .when(F.col("extracted_values").isNotNull(), joined_list)
         .otherwise(F.col("extracted"))
     )
-    return out.select(
+    judged = out.select(
         "doc_id", "key",
         F.when(dated & F.col("found"), F.col("_want"))
         .when(F.col("expected_values").isNotNull(), F.array_join("expected_values", ", ")).otherwise(F.col("expected")).alias("expected"),
@@ -122,3 +128,4 @@ def cross_check(fields: DataFrame, expected: DataFrame) -> DataFrame:
         .otherwise(F.round("_avg", 4)).alias("score"),
         F.when(~F.col("found"), "field_not_found_in_document").when(empty_list, "empty_list_in_field").alias("reason"),
     )
+    return judged if scores else judged.drop("score")

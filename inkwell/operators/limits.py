@@ -32,13 +32,13 @@ def decide(recent: deque, now: int, limit: int, window: int) -> tuple[bool, int
 
 def _replayer(window: int):
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows arrive sorted by key and time; state is one deque, not a group
+        # rows arrive sorted by key, run and time; state is one deque, not a group
         key, recent = None, deque()
         for pdf in batches:
             accepted, retry = [], []
-            for bucket, client, us, limit, certain in zip(pdf["bucket"], pdf["client"], pdf["_us"], pdf["_limit"], pdf["_certain"]):
-                if key != (bucket, client):
-                    key, recent = (bucket, client), deque()
+            for *row_key, us, limit, certain in zip(*(pdf[c] for c in ("bucket", "client", "_run", "_us", "_limit", "_certain"))):
+                if key != row_key:
+                    key, recent = row_key, deque()
                 if certain:
                     recent.append(us)
                     ok, wait = True, None
@@ -54,6 +54,25 @@ def _replayer(window: int):
     return replay
 
 
+def _in_runs(rows: DataFrame, stretch: int) -> DataFrame:
+    """Add ``_run``, the time from which on a row's run goes.
+
+    Runs over a stretch's border are found on one row for each stretch, not on the requests.
+    """
+    keys = ["bucket", "client", "_chunk"]
+    by_chunk = Window.partitionBy("bucket", "client").orderBy("_chunk")
+    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.groupBy(*keys).agg(F.max("_rested").alias("_last"))
+    alone = F.coalesce(F.lag("_chunk").over(by_chunk) < F.col("_chunk") - 1, F.lit(True))
+    chunks = chunks.withColumn("_island", F.when(alone, F.col("_chunk") * stretch))
+    carried = F.greatest(F.max("_island").over(by_chunk), F.max("_last").over(before))
+    chunks = chunks.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), carried.alias("_carried"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    so_far = Window.partitionBy(*keys).orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(chunks, same)
+    return joined.withColumn("_run", F.greatest("_carried", F.max("_rested").over(so_far)))
+
+
 def replay_limits(requests: DataFrame, limits: dict[str, int] | None = None, window_seconds: float = 60) -> DataFrame:
     """Accept a request if fewer than N accepted ones lie in the last window.
 
@@ -62,6 +81,12 @@ def replay_limits(requests: DataFrame, limits: dict[str, int] | None = None, win
     (key, stretch of time) settles those in the JVM, spread over the cluster.
     Only stretches holding an unsettled request, and the stretch before each,
     go through Python, streamed in key order with constant state.
+
+    A client's requests are cut into runs where nothing happened for a window,
+    or where stretches are left out; runs are independent and go to tasks of
+    their own.  Only a client that keeps on sending beyond its limit, never
+    resting for a window, is one run: that is walked by one task in constant
+    memory, as each verdict hangs on the one before.
     """
     table = {**LIMITS, **(limits or {})}
     window = int(window_seconds * 1_000_000)
@@ -80,16 +105,19 @@ def replay_limits(requests: DataFrame, limits: dict[str, int] | None = None, win
     )
     frame = Window.partitionBy("bucket", "client", "_at").orderBy("_us").rangeBetween(-window, 0)
     counted = spread.withColumn("_n", F.count("*").over(frame)).filter("_at = _chunk").drop("_at")
-    counted = counted.withColumn("_certain", F.col("_n") - 1 < F.col("_limit")).drop("_n")
+    # a request alone in its window starts anew
+    counted = counted.withColumns({
+        "_certain": F.col("_n") - 1 < F.col("_limit"), "_rested": F.when(F.col("_n") == 1, F.col("_us")),
+    }).drop("_n")
 
     keys = ["bucket", "client", "_chunk"]
     open_chunks = counted.filter("NOT _certain").select(
         "bucket", "client", F.explode(F.array(F.col("_chunk") - 1, F.col("_chunk"))).alias("_chunk")
     ).distinct()
+    replayed = _in_runs(counted.join(open_chunks, keys, "left_semi"), stretch)
     replayed = (
-        counted.join(open_chunks, keys, "left_semi")
-        .select("event_id", "ts", "client", "bucket", "_us", "_limit", "_certain")
-        .repartition("bucket", "client").sortWithinPartitions("bucket", "client", "_us", "event_id")
+        replayed.select("event_id", "ts", "client", "bucket", "_us", "_limit", "_certain", "_run")
+        .repartition("bucket", "client", "_run").sortWithinPartitions("bucket", "client", "_run", "_us", "event_id")
     )
     schema = ", ".join(f"{c} {t}" for c, t in requests.select("event_id", "ts", "client", "bucket").dtypes)
     replayed = replayed.mapInPandas(_replayer(window), schema + ", accepted boolean, retry_after int")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Baseline integrity row and storage labels.
@@ -71,6 +75,58 @@ def write_star(tables: dict[str, DataFrame], path: str, mode: str = "append") ->
         writer.parquet(f"{path.rstrip('/')}/{name}")
 
 
+def _manifests(spark: SparkSession, path: str) -> tuple:
+    """File system, folder and numbers of the manifests of a published star."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_manifests")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+    return system, folder, sorted(int(n[:-5]) for n in names if re.fullmatch(r"[0-9]+[.]json", n))
+
+
+def manifest(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Folders of each table of the version that readers see now; empty before the first one."""
+    _system, folder, numbers = _manifests(spark, path)
+    if not numbers:
+        return {}
+    lines = spark.read.text(f"{folder}/{numbers[-1]:012d}.json").collect()
+    return json.loads("".join(r.value for r in lines))
+
+
+def publish_star(spark: SparkSession, tables: dict[str, DataFrame], path: str, mode: str = "append") -> int:
+    """Write the child tables so that all of them become visible together; the number of the new version.
+
+    Tables go to folders of their own, which no reader knows of; then one file, written under another name and renamed,
+    says which folders make up the star.  A run that fails before the renaming leaves the old version as it is, and of two
+    writers that start from one version the second fails.  ``read_star`` reads what the newest file says.
+    """
+    system, folder, numbers = _manifests(spark, path)
+    number, run = (numbers[-1] + 1 if numbers else 1), uuid.uuid4().hex
+    known = manifest(spark, path) if mode == "append" else {}
+    for name, df in tables.items():
+        new = f"{name}/run-{run}"
+        writer = df.write.partitionBy("doc_type") if name == "documents" else df.write
+        writer.parquet(f"{path.rstrip('/')}/{new}")
+        known[name] = [*known.get(name, []), new]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    staged, final = hadoop(folder, f"_{run}"), hadoop(folder, f"{number:012d}.json")
+    out = system.create(staged, False)
+    out.write(bytearray(json.dumps(known).encode()))
+    out.close()
+    if system.exists(final) or not system.rename(staged, final):
+        raise RuntimeError(f"version {number} of {path} was published by another writer")
+    return number
+
+
+def read_star(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One table of the newest published version."""
+    base = path.rstrip("/")
+    parts = [spark.read.option("basePath", f"{base}/{f}").parquet(f"{base}/{f}") for f in manifest(spark, path)[name]]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def migrate(legacy: DataFrame, target: DataFrame, default_owner) -> tuple[DataFrame, DataFrame]:
     """Rows to append and the (total, migrated, skipped) summary.
 

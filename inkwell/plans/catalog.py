@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.redaction import REDACTION_RULES
+from inkwell.functions.similarity import stage
+from inkwell.functions.text import token_sorted
 from inkwell.operators import (
     answers, audit, chat, classify, crosscheck, extract, integrity, limits, lines, mining, model_outputs, questions, reconcile,
     redact, retention, star, statements, validate, vault,
@@ -22,10 +24,12 @@ from inkwell.plans.checked import CHECKED, CHECKED_FIELDS, RULE_FINDINGS
 from inkwell.plans.fixtures import Tables, with_views
 from inkwell.plans.forms import FORM_FACTS
 from inkwell.plans.flows import vault_flow, verify_flow
-from inkwell.rules.signatures import SIGNATURES
+from inkwell.rules.signatures import PRIMARY_ANCHORS, SIGNATURES
 from inkwell.session import shared_folder, spread
-from inkwell.sources import encryption, files, logs
+from inkwell.sources import encryption, files, logs, store
+from inkwell.sources.vault_index import read_vault_index
 from inkwell.streaming import jobs
+from inkwell.streaming.limiter import rate_limit_stream, state_on_disk
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Query, str | None]] = {}
@@ -306,6 +310,13 @@ def _(t):
     return vault.page_after(t.vault, (o.SEEN_SIZE, o.SEEN_ID), limit=20, newest="file_size").select("document_id", "file_size")
 
 
+@register("page_deep", with_views("vault") + o.PAGE_DEEP)
+def _(t):
+    middle = t.vault.count() // 2 // 20 + 1
+    out = vault.deep_page(t.vault, page=middle, limit=20, newest="risk_score", ranges=16, small=50)
+    return out.select("document_id", "risk_score", "total", "page", "page_size", "total_pages")
+
+
 def child_tables(t: Tables) -> dict[str, DataFrame]:
     v = t.vault
     return {
@@ -359,6 +370,64 @@ def _(t):
     return rows["documents"].select("document_id", "original_filename", "doc_type", "checksum_sha256", "storage_path")
 
 
+def star_tables(t: Tables) -> dict[str, DataFrame]:
+    rows = t.vault.withColumns({
+        "content": F.encode("extracted_text", "UTF-8"),
+        "fields": F.expr("CASE WHEN document_id % 3 = 0 THEN map('filename', filename, 'lang', lang) WHEN document_id % 3 = 1 THEN map() END"),
+        "ai": F.expr(
+            "CASE WHEN mode = 'ai' THEN named_struct('provider', CASE WHEN document_id % 2 = 0 THEN 'p' || user_id END, "
+            "'model', CAST(NULL AS STRING), 'summary', filename, 'classification', CASE WHEN document_id % 5 = 0 THEN 'other' END) END"
+        ),
+        "confidence": F.expr("CASE WHEN document_id % 4 > 0 THEN (document_id % 101) / 100.0 END").cast("double"),
+        "page_count": F.expr("CASE WHEN document_id % 6 > 0 THEN CAST(document_id % 6 AS INT) END"),
+    })
+    return star.fan_out(rows)
+
+
+@register("fan_out_files", with_views("vault") + o.FAN_OUT_FILES)
+def _(t):
+    return star_tables(t)["document_files"]
+
+
+@register("fan_out_ocr", with_views("vault") + o.FAN_OUT_OCR)
+def _(t):
+    rows = star_tables(t)["ocr_results"]
+    return rows.select("document_id", F.md5("raw_text").alias("text_md5"), "detected_type", F.col("confidence").cast("double").alias("confidence"), "page_count")
+
+
+@register("fan_out_checks", with_views("vault") + o.FAN_OUT_CHECKS)
+def _(t):
+    return star_tables(t)["authenticity_checks"]
+
+
+@register("fan_out_fields", with_views("vault") + o.FAN_OUT_FIELDS)
+def _(t):
+    rows = star_tables(t)["extracted_fields"]
+    return rows.select("document_id", "verification_status", F.explode("fields").alias("field", "value"))
+
+
+@register("fan_out_ai", with_views("vault") + o.FAN_OUT_AI)
+def _(t):
+    return star_tables(t)["ai_analyses"]
+
+
+@register("star_published", with_views("vault") + o.STAR_PUBLISHED)
+def _(t):
+    folder = f"{shared_folder(t.spark)}/star"
+    tables = star_tables(t)
+    halves = [{name: df.where(F.col("document_id") % 2 == i) for name, df in tables.items()} for i in (0, 1)]
+    for half in halves:
+        star.publish_star(t.spark, half, folder)
+    counts = [
+        star.read_star(t.spark, folder, name).agg(F.lit(name).alias("child"), F.count("*").alias("rows"), F.count_distinct("document_id").alias("documents"))
+        for name in tables
+    ]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.union(more)
+    return out
+
+
 @register("migrate_summary", with_views("vault") + o.MIGRATE)
 def _(t):
     legacy = t.vault.withColumn("document_id", F.when(F.col("document_id") % 50 != 49, F.col("document_id")))
@@ -405,6 +474,40 @@ def _(t):
     return out.select("doc_id", "ext", "accepted", "reject_reason")
 
 
+@register("triage_folder", o.TRIAGE_FOLDER)
+def _(t):
+    folder = f"{shared_folder(t.spark)}/uploads"
+    name = F.concat_ws("_", F.lit("u"), "doc_id", F.replace(F.expr(o.TRIAGE_NAME), F.lit("../etc/"), F.lit("..")))
+    rows = spread(t.documents).select(
+        F.concat(F.lit("lot="), F.pmod("doc_id", F.lit(5)), F.lit("/part="), F.pmod("doc_id", F.lit(3)), F.lit("/"), name).alias("path"),
+        F.expr(o.TRIAGE_CONTENT).alias("content"),
+    )
+    store.write_files(rows, folder)
+    out = files.triage_files(t.spark, folder)
+    doc_id = F.split("name", "_")[1].cast("long").alias("doc_id")
+    return out.select(doc_id, "ext", "length", "accepted", "reject_reason")
+
+
+@register("vault_index", with_views("vault") + o.VAULT_INDEX)
+def _(t):
+    folder = f"{shared_folder(t.spark)}/index"
+    record = F.struct(
+        F.when(F.col("document_id") % 4 > 0, F.col("document_id").cast("string")).alias("document_id"),
+        F.col("document_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id"), "filename", "doc_type", "mode",
+        "status", "verification_status", "risk_score", "ocr_required", "file_size", F.array("extracted_text", F.lit('"}, {[')).alias("suspicious_signals"),
+    )
+    # index files of some hundred records each, whole arrays
+    lots = t.vault.select(F.floor(F.col("document_id") / 500).alias("lot"), F.to_json(record).alias("record"))
+    arrays = lots.groupBy("lot").agg(F.concat(F.lit("[\n  "), F.array_join(F.collect_list("record"), ",\n  "), F.lit("\n]\n")).alias("text"))
+    store.write_files(arrays.select(F.concat(F.lit("lot"), "lot", F.lit(".json")).alias("path"), F.encode("text", "UTF-8").alias("content")), folder)
+    out = read_vault_index(t.spark, folder, split=100_000)
+    return out.select(
+        F.col("document_id").cast("long").alias("document_id"), "user_id", "filename", "doc_type", "mode", "status", "verification_status",
+        F.col("risk_score").cast("long").alias("risk_score"), "ocr_required", "file_size",
+        F.md5(F.concat_ws("|", "suspicious_signals")).alias("signals_md5"),
+    )
+
+
 # -------------------------------------------------------- classification
 
 
@@ -413,6 +516,16 @@ def _(t):
     return classify.match_signatures(classify.split_pages(type_docs(t))).select("doc_id", "page_num", "doc_type", "tier", "evidence")
 
 
+@register("match_rule_table", with_views("type_docs") + o.MATCH_SIGNATURES)
+def _(t):
+    rules = t.spark.createDataFrame(
+        [(d, tier, p) for d in PRIMARY_ANCHORS for tier, some in (("primary", PRIMARY_ANCHORS[d]), ("secondary", classify.secondary_patterns(d))) for p in some],
+        "doc_type string, tier string, pattern string",
+    )
+    found = classify.match_signatures(classify.split_pages(type_docs(t)), rules)
+    return found.select("doc_id", "page_num", "doc_type", "tier", "evidence")
+
+
 @register("match_signature_table", with_views("type_docs") + o.MATCH_RULES)
 def _(t):
     rules = t.spark.createDataFrame(o.OWN_RULES, "doc_type string, tier string, pattern string")
@@ -515,6 +628,23 @@ def _(t):
     return out.groupBy("key", "reason").agg(F.count("*").alias("checks"), F.count_if(F.col("score") == 1.0).alias("exact"))
 
 
+@register("cross_check_lists", with_views("kyc") + o.CROSS_CHECK_LISTS)
+def _(t):
+    fields = kyc_fields(t).withColumn("values", F.lit(None).cast("array<string>")).unionByName(
+        t.kyc.select("doc_id", F.lit("partner_names").alias("field"), F.lit(None).cast("string").alias("value"), F.expr(o.PARTNERS).alias("values"))
+    )
+    key = F.expr("CASE WHEN doc_id % 8 = 7 THEN 'partner_names' ELSE 'partners' END").alias("key")
+    expected = t.kyc.select("doc_id", key, F.lit(None).cast("string").alias("value"), F.expr(o.EXPECTED_PARTNERS).alias("values"))
+    return crosscheck.cross_check_verdicts(fields, expected).select("doc_id", "key", "matched", "reason")
+
+
+@register("similarity_stages", with_views("kyc") + o.SIMILARITY_STAGES)
+def _(t):
+    pairs = t.kyc.select(token_sorted(F.col("name")).alias("one"), token_sorted(F.expr(o.OTHER_NAME)).alias("two"))
+    by = stage(F.col("one"), F.col("two"), crosscheck.THRESHOLD)
+    return pairs.groupBy(by.alias("stage")).agg(F.count("*").alias("pairs"))
+
+
 @register("reconcile_qr", with_views("kyc", "qr_fields") + o.RECONCILE_QR)
 def _(t):
     merged, _d = reconcile.reconcile_qr(kyc_fields(t, "pan_number", "name", "dob"), t.qr_fields)
@@ -819,12 +949,23 @@ def drained(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
 
 @register("rate_limit_stream", o.replay_sql(with_views("requests"), 3, 86400))
 def _(t):
-    events = streamed(t, "events").selectExpr(
-        "event_id", "ts", "user_id AS client",
-        "CASE event_type WHEN 'purchase' THEN 'upload' WHEN 'click' THEN 'ai_chat' WHEN 'view' THEN 'ai_chat' ELSE 'cleanup' END AS bucket",
+    folder = shared_folder(t.spark)
+    events = t.requests.select("event_id", "ts", "client", "bucket").withColumn("client", F.col("client").cast("string"))
+    # five sets of files after one another, of six days each, with some requests up to two hours late
+    arrival = F.unix_timestamp(F.col("ts").cast("timestamp")) + F.pmod("event_id", F.lit(7)) * 1200
+    days = F.floor((arrival - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / (6 * 86400 + 1))
+    slices = events.withColumn("slice", F.greatest(F.lit(0), F.least(F.lit(4), days)))
+    # at the end a clock's request, late enough that all others are over
+    clock = events.agg(F.max("ts").alias("ts")).select(
+        F.lit(None).cast("long").alias("event_id"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 10 DAYS")).alias("ts"),
+        F.lit("clock").alias("client"), F.lit("clock").alias("bucket"),
     )
-    out = jobs.rate_limit_stream(events, {"upload": 3, "ai_chat": 3, "cleanup": 3}, window_seconds=86400)
-    return drained(t, out)
+    for part in [*(slices.where(F.col("slice") == i).drop("slice") for i in range(5)), clock]:
+        part.withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(f"{folder}/in")
+    stream = jobs.file_stream(t.spark, f"{folder}/in", "event_id long, ts timestamp, client string, bucket string", files_per_batch=2)
+    with state_on_disk(t.spark):
+        verdicts = drained(t, rate_limit_stream(stream, {"upload": 3, "ai_chat": 3, "cleanup": 3}, 86400, watermark="7 days"))
+    return verdicts.select("event_id", F.col("client").cast("long").alias("client"), "bucket", "accepted", "retry_after")
 
 
 @register("redact_stream", o.REDACT_STREAM)
@@ -846,6 +987,23 @@ def _(t):
     return docs.groupBy("doc_type").agg(F.count("*").alias("documents")).join(counts, "doc_type", "left")
 
 
+@register("ingest_once", with_views("form_docs") + o.INGESTED)
+def _(t):
+    folder = shared_folder(t.spark)
+    start = F.lit("2024-01-01").cast("timestamp")
+    at = F.timestamp_seconds(F.unix_timestamp(start) + F.pmod("doc_id", F.lit(3000)))
+    rows = t.form_docs.select("doc_id", "full_text", at.alias("delivered_at"))
+    again = rows.where("doc_id % 3 = 0").withColumn("delivered_at", F.col("delivered_at") + F.expr("INTERVAL 10 MINUTES"))
+    # all documents, two of some within one delivery, and a third of them in later files
+    for part in (rows.union(rows.where("doc_id % 7 = 0")), again):
+        part.repartition(4, "doc_id").write.mode("append").parquet(f"{folder}/pages")
+    pages = jobs.file_stream(t.spark, f"{folder}/pages", rows.schema, files_per_batch=4)
+    jobs.ingest_stream(jobs.once(pages), folder, f"{folder}/progress").awaitTermination()
+    docs, fields = (t.spark.read.parquet(f"{folder}/{name}") for name in ("documents", "fields"))
+    counts = fields.groupBy("doc_type").agg(F.count("*").alias("fields"), F.countDistinct("doc_id").alias("with_fields"))
+    return docs.groupBy("doc_type").agg(F.count("*").alias("documents")).join(counts, "doc_type", "left")
+
+
 @register("job_status_stream", o.JOB_STATUS)
 def _(t):
     events = streamed(t, "events").selectExpr("CAST(user_id AS STRING) AS job_id", "ts", f"{o._JOB_STATUS} AS status")

@@ -358,6 +358,28 @@ FAN_OUT_DOCS = """
 SELECT document_id, filename AS original_filename, doc_type, sha256(extracted_text) AS checksum_sha256,
   'documents/' || user_id || '/' || document_id || '/' || document_id || '.enc' AS storage_path FROM vault
 """
+FAN_OUT_FILES = """
+SELECT document_id, user_id, 'documents' AS bucket_name, 'documents/' || user_id || '/' || document_id || '/' || document_id || '.enc' AS storage_path,
+  'AES-256-GCM' AS encryption_algorithm, file_size FROM vault
+"""
+FAN_OUT_OCR = """
+SELECT document_id, md5(extracted_text) AS text_md5, doc_type AS detected_type, CASE WHEN document_id % 4 > 0 THEN (document_id % 101) / 100 ELSE 0 END AS confidence,
+  CASE WHEN document_id % 6 > 0 THEN document_id % 6 ELSE 1 END AS page_count FROM vault WHERE extracted_text IS NOT NULL
+"""
+FAN_OUT_CHECKS = "SELECT document_id, user_id, risk_score, verification_status FROM vault"
+FAN_OUT_FIELDS = """
+SELECT document_id, verification_status, 'filename' AS field, filename AS value FROM vault WHERE document_id % 3 = 0
+UNION ALL SELECT document_id, verification_status, 'lang', lang FROM vault WHERE document_id % 3 = 0
+"""
+FAN_OUT_AI = """
+SELECT document_id, user_id, CASE WHEN document_id % 2 = 0 THEN 'p' || user_id ELSE 'unknown' END AS provider, 'unknown' AS model, filename AS summary,
+  CASE WHEN document_id % 5 = 0 THEN 'other' ELSE doc_type END AS classification FROM vault WHERE mode = 'ai'
+"""
+STAR_PUBLISHED = """
+, counted AS (SELECT count(*) AS n, count(*) FILTER (extracted_text IS NOT NULL) AS texts, count(*) FILTER (document_id % 3 = 0) AS fields, count(*) FILTER (mode = 'ai') AS ai FROM vault)
+SELECT unnest(['documents', 'document_files', 'ocr_results', 'authenticity_checks', 'document_integrity_checks', 'extracted_fields', 'ai_analyses']) AS child,
+  unnest([n, n, texts, n, n, fields, ai]) AS rows, unnest([n, n, texts, n, n, fields, ai]) AS documents FROM counted
+"""
 MIGRATE = """
 SELECT count(*) AS total, count(*) FILTER (document_id % 50 <> 49 AND document_id % 4 <> 0) AS migrated,
   count(*) FILTER (document_id % 50 <> 49 AND document_id % 4 = 0) AS skipped FROM vault
@@ -386,6 +408,19 @@ SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' WHEN 2 THEN
 FROM documents
 """
 
+#: The same files in folders; names keep their odd dots, and each has the length of its bytes.
+TRIAGE_FOLDER = f"""
+SELECT t.doc_id, CASE d.doc_id % 9 WHEN 8 THEN '.pdf' ELSE t.ext END AS ext, strlen(coalesce(text, '')) + CASE d.doc_id % 9
+   WHEN 0 THEN CASE WHEN d.doc_id % 2 = 0 THEN 14 ELSE 8 END WHEN 1 THEN 8 WHEN 2 THEN 4 WHEN 3 THEN 12 WHEN 6 THEN -strlen(coalesce(text, '')) ELSE 0 END AS length,
+  t.accepted, CASE d.doc_id % 9 WHEN 8 THEN 'bad_magic_bytes' ELSE t.reject_reason END AS reject_reason
+FROM documents d JOIN ({TRIAGE}) t ON t.doc_id = d.doc_id
+"""
+VAULT_INDEX = """
+SELECT document_id, CAST(user_id AS VARCHAR) AS user_id, filename, doc_type, mode, status, verification_status, CAST(risk_score AS BIGINT) AS risk_score,
+  ocr_required, file_size, md5(concat_ws('|', extracted_text, '"}, {[')) AS signals_md5
+FROM vault
+"""
+
 # ----------------------------------------------------------- classification
 
 _PAGES = r"""
@@ -595,6 +630,31 @@ CROSS_CHECK = """
   FROM expected e)
 SELECT key, reason, count(*) AS checks, count(*) FILTER (exact) AS exact FROM verdicts GROUP BY key, reason
 """
+#: Two partners of a document and what is expected of them: turned round, turned within, a letter more, a letter changed,
+#: somebody else beside one of them, one of them alone, and nothing where there are none.
+PARTNERS = "CASE WHEN doc_id % 8 = 7 THEN array() ELSE array(name, concat('PARTNER ', father_name)) END"
+EXPECTED_PARTNERS = """CASE doc_id % 8
+  WHEN 0 THEN array(concat('partner ', father_name), name) WHEN 1 THEN array(concat(substring_index(name, ' ', -1), ', ', substring_index(name, ' ', 1)))
+  WHEN 2 THEN array(concat(name, 'X'), name) WHEN 3 THEN array(concat(left(name, 4), '7', substr(name, 6)))
+  WHEN 4 THEN array(name, '0123456789 55') WHEN 5 THEN array('Q') WHEN 6 THEN array(name, concat('PARTNER ', father_name)) ELSE array(name) END"""
+CROSS_CHECK_LISTS = """
+SELECT doc_id, CASE WHEN doc_id % 8 = 7 THEN 'partner_names' ELSE 'partners' END AS key, doc_id % 8 NOT IN (4, 5, 7) AS matched, CASE WHEN doc_id % 8 = 7 THEN 'empty_list_in_field' END AS reason FROM kyc
+"""
+#: A name beside another: itself turned round, a longer one, a short one, its letters backwards, and digits.
+OTHER_NAME = """CASE doc_id % 6 WHEN 0 THEN lower(name) WHEN 1 THEN concat(name, ' X') WHEN 2 THEN left(name, 5) WHEN 3 THEN 'MOTSUCER'
+  WHEN 4 THEN reverse(name) ELSE '1122334455667788' END"""
+_SORTED = "array_to_string(list_sort(string_split_regex(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')), '\\s+')), ' ')"
+SIMILARITY_STAGES = f"""
+, pairs AS (SELECT {_SORTED.format('name')} AS one, {_SORTED.format(OTHER_NAME)} AS two FROM kyc),
+lettered AS (
+  SELECT one, two, length(one) + length(two) AS total,
+    list_sum([least(length(one) - length(replace(one, c, '')), length(two) - length(replace(two, c, ''))) FOR c IN list_distinct(string_split(one, ''))]) AS shared
+  FROM pairs)
+SELECT CASE WHEN one = two THEN 'equal' WHEN contains(one, two) OR contains(two, one) THEN 'contained'
+    WHEN 2.0 * least(length(one), length(two)) / total < 0.82 THEN 'length' WHEN 2.0 * shared / total < 0.82 THEN 'letters' ELSE 'compared' END AS stage,
+  count(*) AS pairs
+FROM lettered GROUP BY 1
+"""
 _OCR3 = "SELECT doc_id, 'pan_number' AS field, pan_number AS value FROM kyc UNION ALL SELECT doc_id, 'name', name FROM kyc UNION ALL SELECT doc_id, 'dob', dob FROM kyc"
 RECONCILE_QR = f"""
 , ocr AS ({_OCR3})
@@ -973,6 +1033,12 @@ SELECT doc_id, requested_type, CASE WHEN mis THEN detected END AS detected_type,
   CASE WHEN mis THEN 'doc_type_mismatch' ELSE reason END AS reason FROM why
 """
 
+PAGE_DEEP = """
+, ranked AS (SELECT document_id, risk_score, row_number() OVER (ORDER BY risk_score DESC, document_id) AS rn, count(*) OVER () AS total FROM vault)
+SELECT document_id, risk_score, total, total // 2 // 20 + 1 AS page, 20 AS page_size, CAST(ceil(total / 20.0) AS BIGINT) AS total_pages
+FROM ranked WHERE rn > total // 2 // 20 * 20 AND rn <= total // 2 // 20 * 20 + 20
+"""
+
 # The limiter one request after the other: step n holds the n-th request of every key and the key's accepted times.
 REPLAY_STEPS = """
 , numbered AS (

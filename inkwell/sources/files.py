@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.sources.store import list_files, with_heads
+
 # Accepted extensions, size limits, leading bytes.
 EXTENSIONS = [".pdf", ".png", ".jpg", ".jpeg", ".webp"]
 MAX_IMAGE, MAX_PDF = 20 * 1024 * 1024, 50 * 1024 * 1024
@@ -41,28 +43,20 @@ def triage(df: DataFrame, name: str = "name", content: str = "content", length:
         .when(size == 0, "empty_file")
         .when((ext != ".pdf") & (size > MAX_IMAGE), "too_large")
         .when((ext == ".pdf") & (size > MAX_PDF), "too_large")
-        .when(~magic, "bad_magic_bytes")
+        .when(~magic, "bad_magic_bytes")  # not known, and no reason, without content
     )
     return df.withColumn("ext", ext).withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull())
 
 
-def _location(path: Column) -> Column:
-    """Path with one slash after the scheme, as both listings can be compared."""
-    return F.regexp_replace(path, r"^([A-Za-z0-9+.-]+):/+", "$1:/")
-
-
 def triage_files(spark: SparkSession, path: str) -> DataFrame:
-    """S1 over a folder; the content column is dropped from the result.
+    """S1 over a folder, of any number of files of any size.
 
-    The scan skips files of zero length, so those come from the file listing
-    the reader holds anyway (names only).
+    Names and lengths come from listings made by tasks; only files that no rule on name or length rejects are opened,
+    and of these the first bytes alone are read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    columns = ["path", "name", "length", "content"]
-    scanned = files.withColumn("name", F.substring_index("path", "/", -1)).select(*columns)
-    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string")
-    listed = listed.withColumn("path", _location(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))))
-    missed = listed.join(files.select(_location(F.col("path")).alias("path")), "path", "left_anti").select(
-        "path", F.substring_index("path", "/", -1).alias("name"), F.lit(0).cast("bigint").alias("length"), F.lit(None).cast("binary").alias("content")
-    )
-    return triage(scanned.unionByName(missed)).select("path", "name", "ext", "length", "accepted", "reject_reason")
+    listed = list_files(spark, path).withColumn("content", F.lit(None).cast("binary"))
+    open_to = triage(listed).where("reject_reason IS NULL")
+    settled = triage(listed).where("reject_reason IS NOT NULL")
+    read = with_heads(open_to.select("path", "name", "length"), PDF_SCAN)
+    judged = triage(read, content="head").unionByName(settled, allowMissingColumns=True)
+    return judged.select("path", "name", "ext", "length", "accepted", "reject_reason")

@@ -1,62 +1,21 @@
-"""Structured Streaming jobs: ST1-ST5."""
+"""Structured Streaming jobs: ST2-ST5 (ST1 is in ``limiter``)."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkwell.functions.redaction import redact
 from inkwell.operators.classify import with_classification
 from inkwell.operators.extract import extract_fields, minimise_pii
-from inkwell.operators.limits import DEFAULT_LIMIT, LIMITS, decide
 from inkwell.sources.logs import log_lines, parse_log
 
 # States of a job, from first to last.
 JOB_STATES = ["pending", "processing", "completed", "low_confidence", "error", "failed"]
 
 
-def rate_limit_stream(requests: DataFrame, limits: dict[str, int] | None = None, window_seconds: float = 60,
-                      watermark: str = "2 minutes") -> DataFrame:
-    """ST1: the replay rule on a live stream.
-
-    State per (bucket, client) is the accepted times of the last window, at
-    most the limit; it expires by event time once the watermark has passed.
-    """
-    table = {**LIMITS, **(limits or {})}
-    window = int(window_seconds * 1_000_000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = deque(state.get[0]) if state.exists else deque()
-        limit = table.get(key[0], DEFAULT_LIMIT)
-        # a key's rows of one micro-batch; ordered here because input is not
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["us", "event_id"])
-        verdicts = [decide(recent, int(us), limit, window) for us in pdf["us"]]
-        if recent:
-            state.update((list(recent),))
-            state.setTimeoutTimestamp(max(recent[-1] // 1000 + int(window_seconds * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({
-            "event_id": pdf["event_id"], "bucket": key[0], "client": key[1],
-            "accepted": [ok for ok, _ in verdicts],
-            "retry_after": pd.array([wait for _, wait in verdicts], dtype="Int32"),
-        })
-
-    rows = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    rows = rows.select("event_id", "ts", "client", "bucket", F.unix_micros("ts").alias("us"))
-    client_type = dict(rows.dtypes)["client"]
-    return rows.groupBy("bucket", "client").applyInPandasWithState(
-        step, f"event_id long, bucket string, client {client_type}, accepted boolean, retry_after int",
-        "times array<long>", "append", GroupStateTimeout.EventTimeTimeout,
-    )
-
-
 def redact_stream(log: DataFrame, col: str = "value") -> DataFrame:
     """ST2: JSON log lines redacted by key and text; other lines by text."""
     is_json = F.from_json(F.col(col), "map<string,string>").isNotNull()
@@ -72,11 +31,25 @@ def ingest_batch(pages: DataFrame, min_margin: int = 0) -> tuple[DataFrame, Data
     return classified.drop("full_text"), fields
 
 
+def once(pages: DataFrame, key: str = "doc_id", time: str = "delivered_at", within: str = "1 hour") -> DataFrame:
+    """Documents without repeated deliveries: of those with one ``key`` whose times lie ``within`` of each other the first one met.
+
+    The keys seen are kept in the state store until the watermark has passed them, so the state is bounded by the documents
+    of that time; a delivery after that counts anew.  Deliveries later than the watermark are left out as repeats are; rows
+    without a time or key go on.
+    """
+    timed = pages.withColumn(time, F.col(time).cast("timestamp"))
+    whole = F.col(time).isNotNull() & F.col(key).isNotNull()
+    kept = timed.where(whole).withWatermark(time, within).dropDuplicatesWithinWatermark([key])
+    return kept.unionByName(timed.where(~whole))
+
+
 def ingest_stream(pages: DataFrame, out: str, checkpoint: str, available_now: bool = True):
     """ST3: classify -> extract -> minimise -> append, once per micro-batch.
 
     A batch is written under its own number, so a batch replayed after a lost
-    executor or driver overwrites itself instead of adding rows twice.
+    executor or driver overwrites itself instead of adding rows twice.  Put
+    ``once`` before it where documents are delivered more than once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators.chat import followup_context
 from inkwell.operators.integrity import field_findings, font_findings, label_findings, overlap_findings, risk_score
-from inkwell.operators.limits import replay_limits
+from inkwell.operators.limits import _in_runs, replay_limits
 from inkwell.operators.lines import join_pages, merge_passes, text_layer_report, with_corners
 from inkwell.operators.retention import retention_plan
 from inkwell.operators.star import fan_out, migrate, write_star
@@ -22,6 +22,7 @@ from inkwell.sources.images import blur_findings, image_quality
 from inkwell.sources.logs import read_log, write_log
 from inkwell.sources.vault_index import read_vault_index
 from inkwell.streaming import jobs
+from inkwell.streaming.limiter import rate_limit_stream, state_on_disk
 
 BOX = "doc_id long, page_num int, line_no int, text string, confidence double, x0 double, y0 double, x1 double, y1 double"
 
@@ -185,11 +186,45 @@ def test_limits_equal_brute_force_and_stream(spark, tmp_path):
     got = replay_limits(frame, caps).collect()
     assert {r.event_id: r.accepted for r in got} == want and not all(want.values())
     assert all((r.retry_after is None) == r.accepted and (r.accepted or 1 <= r.retry_after <= 60) for r in got)
-    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    # three batches, rows of the second up to half a minute late, and a clock that passes the watermark
+    parts = [[r for r in rows if int((r[1] + (r[0] % 3) * 15) // 1400) == k] for k in range(3)] + [[(None, 9000.0, 0, "clock")]]
+    for part in parts:
+        requests_frame(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     out = []
-    stream = jobs.rate_limit_stream(jobs.file_stream(spark, str(tmp_path / "in"), REQUESTS), caps)
-    jobs.drain(stream, lambda df, _: out.extend(df.collect()), str(tmp_path / "cp"))
+    stream = rate_limit_stream(jobs.file_stream(spark, str(tmp_path / "in"), REQUESTS, files_per_batch=1), caps)
+    with state_on_disk(spark):
+        jobs.drain(stream, lambda df, _: out.extend(df.collect()), str(tmp_path / "cp"))
     assert {r.event_id: r.accepted for r in out} == want
+    assert {r.event_id: r.retry_after for r in out} == {r.event_id: r.retry_after for r in got}
+
+
+def test_a_client_is_cut_into_runs(spark):
+    """A client that rests goes to many tasks; one that never does, and one whose stretches are left out, stay right."""
+    rnd = random.Random(8)
+    rows, event = [], 0
+    for client, pauses in ((1, 70), (2, 0), (3, 2000)):
+        now = 0.0
+        for burst in range(40):
+            for _ in range(6):
+                now += rnd.choice([0, 1, 5.5])
+                rows.append((event, round(now, 3), client, "upload"))
+                event += 1
+            now += pauses * rnd.random() + (pauses > 0) * 55
+    want = replay(rows, 3, 60)
+    got = replay_limits(requests_frame(spark, rows), {"upload": 3})
+    assert {r.event_id: r.accepted for r in got.collect()} == want
+    frame = requests_frame(spark, rows).selectExpr(
+        "event_id", "bucket", "client", "unix_micros(ts) AS _us", "CAST(floor(unix_micros(ts) / 1200000000) AS BIGINT) AS _chunk"
+    )
+    alone = {}
+    for e, t, c, _ in rows:
+        alone[e] = not any(c == c2 and e != e2 and t - 60 <= t2 <= t for e2, t2, c2, _ in rows)
+    flagged = frame.join(spark.createDataFrame(list(alone.items()), "event_id long, alone boolean"), "event_id")
+    runs = _in_runs(flagged.selectExpr("*", "CASE WHEN alone THEN _us END AS _rested"), 1_200_000_000)
+    per = {r.client: r.n for r in runs.groupBy("client").agg(F.countDistinct("_run").alias("n")).collect()}
+    starts = {c: sum(alone[e] for e, _, c2, _ in rows if c2 == c) for c in (1, 2, 3)}
+    # first requests that come together start no run of their own, but their stretch does
+    assert per[1] >= starts[1] > 10 and per[2] == 1 and per[3] >= starts[3] > 25
 
 
 def test_refused_requests_do_not_count(spark):
