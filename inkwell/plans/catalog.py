@@ -925,6 +925,26 @@ def _(t):
     return verify_flow(requests)["documents"].drop("confidence")
 
 
+@register("verify_whole", with_views("type_docs") + o.VERIFY_WHOLE)
+def _(t):
+    asked = F.when(F.col("doc_id") % 4 == 0, "gst_certificate").otherwise(F.col("expected_type"))
+    requests = type_docs(t).withColumns({
+        "requested_type": asked, "average_confidence": F.when(F.col("doc_id") % 11 == 0, 0.0).otherwise(0.9),
+        "job_id": F.col("doc_id"), "customer_id": F.col("doc_id") % 97, "duration_ms": F.col("doc_id") % 50,
+    }).drop("expected_type")
+    lines = requests.where("doc_id % 9 <> 5").select("doc_id", F.explode(F.split("full_text", "\n")).alias("text"))
+    code = "concat('<PrintLetterBarcodeData uid=\"', raw_aadhaar, '\" name=\"CODED NAME\" gender=\"F\" dob=\"', dob, '\" />')"
+    coded = t.kyc.where("doc_id % 6 = 1")
+    payloads = coded.select("doc_id", F.expr(code).alias("payload"))
+    expected = coded.select("doc_id", F.lit("name").alias("key"), F.lit("Name, Coded").alias("value"))
+    out = verify_flow(requests, lines, payloads, expected)
+    audit = out["audit"].select(
+        F.col("job_id").cast("long").alias("doc_id"), "customer_id", "duration_ms", F.col("extra_meta")["qr_detected"].alias("qr_detected")
+    )
+    names = out["cross_check"].select("doc_id", F.col("matched").alias("name_matched"))
+    return out["documents"].drop("confidence").join(audit, "doc_id").join(names, "doc_id", "left")
+
+
 # --------------------------------------------------------------- streams
 
 

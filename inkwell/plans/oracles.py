@@ -1033,6 +1033,18 @@ SELECT doc_id, requested_type, CASE WHEN mis THEN detected END AS detected_type,
   CASE WHEN mis THEN 'doc_type_mismatch' ELSE reason END AS reason FROM why
 """
 
+# Every stage of the flow: documents that the gate refuses, scanned codes whose name wins, the cross-check and the audit row.
+_REFUSED = "(doc_id % 11 = 0 OR doc_id % 9 = 5)"
+VERIFY_WHOLE = VERIFY[:VERIFY.index("SELECT doc_id, requested_type, CASE WHEN mis")] + f"""
+SELECT doc_id, requested_type, CASE WHEN mis AND NOT {_REFUSED} THEN detected END AS detected_type,
+  CASE WHEN {_REFUSED} OR mis THEN 'error' WHEN reason IS NOT NULL THEN 'low_confidence' ELSE 'success' END AS status,
+  CASE WHEN {_REFUSED} THEN 'ocr_engine_returned_no_text' WHEN mis THEN 'doc_type_mismatch' ELSE reason END AS reason,
+  CAST(doc_id % 97 AS VARCHAR) AS customer_id, CAST(doc_id % 50 AS DOUBLE) AS duration_ms,
+  CASE WHEN requested_type = 'aadhaar' AND NOT mis AND NOT {_REFUSED} THEN 'true' ELSE 'false' END AS qr_detected,
+  CASE WHEN doc_id % 6 = 1 THEN requested_type = 'aadhaar' AND NOT mis AND NOT {_REFUSED} END AS name_matched
+FROM why
+"""
+
 PAGE_DEEP = """
 , ranked AS (SELECT document_id, risk_score, row_number() OVER (ORDER BY risk_score DESC, document_id) AS rn, count(*) OVER () AS total FROM vault)
 SELECT document_id, risk_score, total, total // 2 // 20 + 1 AS page, 20 AS page_size, CAST(ceil(total / 20.0) AS BIGINT) AS total_pages
