@@ -1,12 +1,13 @@
 """Alignment of the tokens of two tokenizers over the same texts.
 
 Tokenizer A (byte-level BPE, ``tokenizers``) reads space+text, tokenizer B (``sentencepiece``, which adds the space)
-the text.  A's character offsets and the spans of B's immutable proto are coarse cuts; where a token is a part of a
+the text.  A's character offsets and the spans of B's pieces (those of its proto) are coarse cuts; where a token is a part of a
 character, a fallback byte or the added space, the bytes that the token stands for refine them.  Merging both lists of
 ends gives groups (up to a byte where tokens of both end) and links (pairs of tokens that share a byte).
 
-Neither tokenizer merges over a single space between two characters that are no space (a vocabulary for which that does
-not hold is read whole), so texts are cut there and each word with its space is aligned once for many documents.
+Neither tokenizer merges over a single space between two characters that are no space, nor between a letter and a mark
+behind it (with a vocabulary for which that does not hold texts are read whole), so texts are cut there and each word with
+its space is aligned once for many documents.
 
 How many documents link a pair of ids is a matter of the whole corpus.  Documents are put together in blocks of about
 ``BLOCK`` bytes with a dictionary of their pairs; only the dictionaries meet the corpus-wide counts, and each block
@@ -19,6 +20,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -32,8 +34,12 @@ from inkwell.llm.common import written
 
 #: Bytes of text of a block, and of the texts that are aligned at once.
 BLOCK, STEP = 4 << 20, 1 << 18
-#: Words that a worker remembers, and the length from which on a word is not remembered; a full memory is emptied.
-REMEMBERED, LONG_WORD = 100_000, 64
+#: Words that a worker remembers of each of two times, and the length from which on a word is not remembered.
+REMEMBERED, LONG_WORD = 300_000, 64
+#: Marks that are aligned apart behind a letter (up to ``LAST_LETTER``, as tokenizers may know other letters beyond it).
+MARKS, LAST_LETTER = ".,;:!?", chr(0x24F)
+#: A word, or marks in a tuple of one.
+Part = str | tuple[str]
 
 #: Code points beside which a space is no place to cut: white space, control and format characters of any kind.
 _ODD = ((0x00, 0x20), (0x7F, 0xA0), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x1680, 0x1680),
@@ -42,33 +48,38 @@ _ODD = ((0x00, 0x20), (0x7F, 0xA0), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C)
 _PLAIN = "[^" + r"\s" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _ODD) + "]"
 #: A space between two plain characters.
 _CUT = re.compile(f" (?={_PLAIN})(?<={_PLAIN} )")
+#: Words that begin and end with one.
+_EDGES = re.compile(f"(?s:{_PLAIN}(?:.*{_PLAIN})?)")
 
 
-def refined(spans: list[tuple[int, int]], sizes: list[int]) -> list[int]:
-    """Ends of tokens in bytes: a coarse span that starts where the last token ended and has the token's size stands;
-    in place of others (parts of characters, fallback bytes, added spaces) the token's own bytes count."""
-    ends, at = [], 0
-    for (start, stop), size in zip(spans, sizes, strict=True):
-        at = stop if start == at and stop - start == size else at + size
-        ends.append(at)
-    return ends
-
-
-def merged(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], str, int]:
-    """Links (pairs of ids, repeats included), the groups as text and their number, of two lists of tokens with one end."""
-    links, groups = [], []
-    i = j = i_from = j_from = 0
-    while i < len(a):
-        links.append((a[i], b[j]))
-        ahead = a_ends[i] - b_ends[j]
-        if ahead <= 0:
-            i += 1
-        if ahead >= 0:
-            j += 1
-        if not ahead:
-            groups.append(",".join(map(str, a[i_from:i])) + "|" + ",".join(map(str, b[j_from:j])))
-            i_from, j_from = i, j
-    return links, ";".join(groups), len(groups)
+def refined(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ends of tokens in bytes: a coarse span of the size of the token's own bytes stands; in place of others (parts of
+    characters, fallback bytes, added spaces) the bytes of the tokens so far count."""
+    return np.where(spans[:, 1] - spans[:, 0] == sizes, spans[:, 1], np.cumsum(sizes))
+
+
+def merged(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Links and groups of two lists of tokens over the same bytes.
+
+    Returns the links (A id in the upper, B id in the lower 32 bits, repeats included) with the byte where each ends, the
+    bytes where groups end, and the groups as text.
+    """
+    cuts = np.sort(np.concatenate((a_ends, b_ends)), kind="stable")
+    cuts = cuts[np.append(cuts[1:] != cuts[:-1], True)]  # between two cuts lies one link
+    a_of, b_of = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
+    both = np.flatnonzero((a_ends[a_of] == cuts) & (b_ends[b_of] == cuts))
+    a_text, b_text = [*map(str, a.tolist())], [*map(str, b.tolist())]
+    groups, i, j = [], 0, 0
+    for i_to, j_to in zip((a_of[both] + 1).tolist(), (b_of[both] + 1).tolist(), strict=True):
+        one = a_text[i] if i_to - i == 1 else ",".join(a_text[i:i_to])
+        two = b_text[j] if j_to - j == 1 else ",".join(b_text[j:j_to])
+        groups.append(f"{one}|{two}")
+        i, j = i_to, j_to
+    return a[a_of] << 32 | b[b_of], cuts, cuts[both], groups
+
+
+def _pairs(spans: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
 
 
 class Aligner:
@@ -97,53 +108,99 @@ class Aligner:
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
+        for i, raw in self.a_bytes.items():
+            self.a_sizes[i] = len(raw)
+        self.b_sizes = np.array([*map(len, self.b_bytes)])
+        self.marks = not any(x.isalpha() and y in MARKS for p in pieces for x, y in pairwise(p))
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.known: dict[str, tuple | None] = {}
-
-    def words(self, text: str) -> list[str]:
-        """Parts of the text that can be aligned apart, each without the space before it."""
-        return _CUT.split(text) if self.cuts else [text]
-
-    def align(self, words: list[str]) -> list[tuple | None]:
-        """For each word (number of A tokens, of B tokens, of groups, groups, links as packed pairs), or None where
-        the tokens' bytes differ from space+word."""
-        made = []
-        encoded = self.a.encode_batch([" " + w for w in words], add_special_tokens=False)
-        protos = self.b.encode(words, return_type="proto", num_threads=1)
-        for word, one, two in zip(words, encoded, protos, strict=True):
-            raw = (" " + word).encode()
-            a, spans = one.ids, one.offsets
-            b, b_spans = [], []
-            for piece in two.pieces:
-                b.append(piece.id)
-                b_spans.append((piece.begin + 1, piece.end + 1))
-            a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if not a or b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-                made.append(None)
-                continue
-            if len(raw) != len(word) + 1:  # characters to bytes
-                at = np.cumsum([0, *(len(c.encode()) for c in " " + word)]).tolist()
-                spans = [(at[i], at[j]) for i, j in spans]
-            if b_spans:
-                b_spans[0] = (0, b_spans[0][1])
-            a_ends, b_ends = refined(spans, [*map(len, a_parts)]), refined(b_spans, [*map(len, b_parts)])
-            links, groups, n_groups = merged(a, a_ends, b, b_ends)
-            packed = np.array([x << 32 | y for x, y in links], "<i8").tobytes()
-            made.append((len(a), len(b), n_groups, groups, packed))
-        return made
-
-    def learn(self, words: list[str]) -> dict[str, tuple | None]:
-        """Alignments of distinct words, from memory where it has them."""
-        known = self.known
-        found = {w: known[w] for w in words if w in known}
-        unknown = [w for w in words if w not in found]
+        #: Words met lately, and those of the time before, from which words in use come back.
+        self.known: dict[Part, tuple | None] = {}
+        self.before: dict[Part, tuple | None] = {}
+
+    def words(self, text: str) -> list[Part]:
+        """Parts of the text that can be aligned apart: words, each without the space before it, and in tuples of one the marks
+        behind the last letter of a word."""
+        if not self.cuts:
+            return [text]
+        words = _CUT.split(text)
+        if not self.marks:
+            return words
+        parts: list[Part] = []
+        for word in words:
+            if word and word[-1] in MARKS:
+                stem = word.rstrip(MARKS)
+                if stem and stem[-1] <= LAST_LETTER and stem[-1].isalpha():
+                    parts += (stem, (word[len(stem):],))
+                    continue
+            parts.append(word)
+        return parts
+
+    def align(self, parts: list[Part]) -> list[tuple | None]:
+        """For each part (number of A tokens, of B tokens, of groups, groups, links as packed pairs), or None where
+        the tokens' bytes differ from its own.  Words that can stand side by side are read as one text."""
+        made: dict[int, tuple | None] = {}
+        joined = [i for i, w in enumerate(parts) if isinstance(w, str) and _EDGES.fullmatch(w) and chr(0x2581) not in w]
+        for i, record in zip(joined, self._read([parts[i] for i in joined]), strict=True):
+            made[i] = record
+        return [
+            made[i] if i in made else self._behind(w[0]) if isinstance(w, tuple) else self._read([w])[0] for i, w in enumerate(parts)
+        ]
+
+    def _behind(self, marks: str) -> tuple | None:
+        """Alignment of marks behind a letter: that of the letter with them, less that of the letter."""
+        (letter,), (both,) = self._read(["a"]), self._read(["a" + marks])
+        if letter is None or both is None or not both[3].startswith(letter[3] + ";") or not both[4].startswith(letter[4]):
+            return None
+        return (*(both[k] - letter[k] for k in range(3)), both[3][len(letter[3]) + 1:], both[4][len(letter[4]):])
+
+    def _read(self, words: list[str]) -> list[tuple | None]:
+        if not words:
+            return []
+        text = " " + " ".join(words)
+        raw = text.encode()
+        one, two = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="offset_mapping")
+        same = one.ids and all(b"".join(map(of.__getitem__, ids)) == raw for of, ids in ((self.a_bytes, one.ids), (self.b_bytes, two["ids"])))
+        a, b = np.array(one.ids, np.int64), np.array(two["ids"], np.int64)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        if same:
+            points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            at = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))))
+            spans = _pairs(two["offsets"]) + 1  # the text begins with the space that B adds
+            spans[0, 0] = 0
+            a_ends = refined(at[_pairs(one.offsets)], self.a_sizes[a])
+            b_ends = refined(at[spans], self.b_sizes[b])
+            links, cuts, group_ends, groups = merged(a, a_ends, b, b_ends)
+            same = (group_ends[np.searchsorted(group_ends, ends)] == ends).all()
+        if not same:
+            return [None] if len(words) == 1 else [self._read([w])[0] for w in words]
+        packed = links.astype("<i8").tobytes()
+        upto = [np.searchsorted(x, ends, "right") for x in (a_ends, b_ends, group_ends, cuts)]
+        n_a, n_b = (np.diff(x, prepend=0).tolist() for x in upto[:2])
+        first_group, first_link = ([0, *x.tolist()] for x in upto[2:])
+        return [
+            (n_a[k], n_b[k], j - i, ";".join(groups[i:j]), packed[8 * first_link[k]:8 * first_link[k + 1]])
+            for k, (i, j) in enumerate(pairwise(first_group))
+        ]
+
+    def learn(self, words: list[Part]) -> dict[Part, tuple | None]:
+        """Alignments of distinct parts, from memory where it has them."""
+        known, before = self.known, self.before
+        found, unknown, again = {}, [], {}
+        for word in words:
+            if word in known:
+                found[word] = known[word]
+            elif word in before:
+                found[word] = again[word] = before[word]
+            else:
+                unknown.append(word)
         if unknown:
             new = dict(zip(unknown, self.align(unknown), strict=True))
             found |= new
-            short = {w: r for w, r in new.items() if len(w) < LONG_WORD}
-            if len(known) + len(short) > REMEMBERED:
-                known.clear()
-            known |= short
+            again |= {w: r for w, r in new.items() if len(w) < LONG_WORD}
+        if len(known) + len(again) > REMEMBERED:
+            self.before, self.known = known, {}
+        self.known |= again
         return found
 
 
@@ -163,12 +220,12 @@ class _Block:
 
     def __init__(self):
         self.size = 0
-        self.places: dict[str, int] = {}
+        self.places: dict[Part, int] = {}
         self.records: list[tuple] = []
         self.docs: list[tuple] = []
         self.lists: list[np.ndarray] = []
 
-    def add(self, doc_id: int | None, text: str, words: list[str] | None) -> None:
+    def add(self, doc_id: int | None, text: str, words: list[Part] | None) -> None:
         """words: the text's parts, all of them known to the block; None without tokens."""
         self.size += len(text.encode())
         if words is None:
@@ -233,7 +290,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int) -> Data
                         step, size = [], 0
             yield step
 
-        def enter(words: list[str]) -> list[str]:
+        def enter(words: list[Part]) -> list[Part]:
             """Have the block know the words; the words back that have no alignment."""
             new = [*dict.fromkeys(w for w in words if w not in block.places)]
             odd = []

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import public_tokenizers
 from hypothesis import given, settings
@@ -18,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 ODD = [
     None, "", " ", "  two  spaces ", "a b", "a▁b", "▁ x", "日本 語", "x\x00y z", "🙂🙃 é́  x", "a\n\nb \n c",
     "<|endoftext|> <s> </s> <0x41>", "fl​at ᠎ e", "don't  we'll 12 34", "�\U000e0001 tag", "ß ẞ ﬁ ½ \x85 \x1c z",
-    "word " * 3000, "x" * 5000, "\r\n\tq", "ab́ ́c", " ▁▁", "　a 　 b",
+    "word " * 3000, "x" * 5000, "\r\n\tq", "ab́ ́c", "End. ends!? é, 1. _. x² ². 's. a's: (b), c.d.", " ▁▁", "　a 　 b",
 ]
 
 
@@ -124,5 +125,14 @@ def test_words_align_as_whole_texts(aligner, tools, text):
 
 def test_refined_spans_follow_bytes():
     # a character of four bytes over three tokens, all with the character's whole span
-    assert alignment.refined([(0, 1), (1, 5), (1, 5), (1, 5), (5, 6)], [1, 1, 2, 1, 1]) == [1, 2, 4, 5, 6]
-    assert alignment.merged([7], [3], [1, 2], [1, 3]) == ([(7, 1), (7, 2)], "7|1,2", 1)
+    spans, sizes = np.array([(0, 1), (1, 5), (1, 5), (1, 5), (5, 6)]), np.array([1, 1, 2, 1, 1])
+    assert alignment.refined(spans, sizes).tolist() == [1, 2, 4, 5, 6]
+    links, cuts, ends, groups = alignment.merged(np.array([7, 8]), np.array([3, 4]), np.array([1, 2, 3]), np.array([1, 3, 4]))
+    assert links.tolist() == [7 << 32 | 1, 7 << 32 | 2, 8 << 32 | 3] and cuts.tolist() == [1, 3, 4]
+    assert ends.tolist() == [3, 4] and groups == ["7|1,2", "8|3"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(words=st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("ab1'.,-\n🙂é")), min_size=1, max_size=8), min_size=2, max_size=6))
+def test_words_side_by_side_align_as_each_alone(aligner, words):
+    assert aligner.align(words) == [aligner.align([w])[0] for w in words]
