@@ -16,8 +16,8 @@ from inkwell.functions.redaction import REDACTION_RULES
 from inkwell.functions.similarity import stage
 from inkwell.functions.text import token_sorted
 from inkwell.operators import (
-    answers, audit, chat, classify, crosscheck, extract, integrity, limits, lines, mining, model_outputs, questions, reconcile,
-    redact, retention, star, statements, validate, vault,
+    answers, audit, chat, classify, crosscheck, extract, integrity, limits, lines, mining, model_outputs, purge, questions,
+    reconcile, redact, retention, star, statements, validate, vault,
 )
 from inkwell.plans import oracles as o
 from inkwell.plans.checked import CHECKED, CHECKED_FIELDS, RULE_FINDINGS
@@ -428,6 +428,16 @@ def _(t):
     return out
 
 
+@register("purge_files", with_views("vault") + o.PURGE_FILES)
+def _(t):
+    folder = f"{shared_folder(t.spark)}/vault-files"
+    rows = t.vault.select("document_id", "user_id", "status", "file_size")
+    purge.create(rows, folder, files=8)
+    done = purge.purge(t.spark, folder, rows.where("user_id = 3 AND status <> 'completed'"), rows.schema)
+    left = purge.read(t.spark, folder, rows.schema)
+    return left.groupBy("user_id").agg(F.count("*").alias("documents"), F.sum("file_size").alias("bytes")).withColumn("deleted", F.lit(done["deleted"]))
+
+
 @register("migrate_summary", with_views("vault") + o.MIGRATE)
 def _(t):
     legacy = t.vault.withColumn("document_id", F.when(F.col("document_id") % 50 != 49, F.col("document_id")))

@@ -358,6 +358,10 @@ FAN_OUT_DOCS = """
 SELECT document_id, filename AS original_filename, doc_type, sha256(extracted_text) AS checksum_sha256,
   'documents/' || user_id || '/' || document_id || '/' || document_id || '.enc' AS storage_path FROM vault
 """
+PURGE_FILES = """
+SELECT user_id, count(*) AS documents, sum(file_size) AS bytes, (SELECT count(*) FROM vault WHERE user_id = 3 AND status <> 'completed') AS deleted
+FROM vault WHERE NOT (user_id = 3 AND status <> 'completed') GROUP BY user_id
+"""
 FAN_OUT_FILES = """
 SELECT document_id, user_id, 'documents' AS bucket_name, 'documents/' || user_id || '/' || document_id || '/' || document_id || '.enc' AS storage_path,
   'AES-256-GCM' AS encryption_algorithm, file_size FROM vault

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,8 @@ MIN_ACTIVE, MIN_MEDIAN, DROP = 6, 150.0, 4.0
 
 
 def load_images(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.format("image").option("dropInvalid", True).load(path)
+    """Every file of the folder; one that cannot be decoded has sides of -1 and no pixels."""
+    df = spark.read.format("image").option("dropInvalid", False).load(path)
     return df.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
 
@@ -27,6 +28,10 @@ def _gray(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return np.rint(pixels[:, :, 2] * 0.299 + pixels[:, :, 1] * 0.587 + pixels[:, :, 0] * 0.114)
 
 
+def _decoded() -> Column:
+    return F.col("height") > 0
+
+
 def laplacian_variance(gray: np.ndarray) -> float:
     if gray.shape[0] < 3 or gray.shape[1] < 3:
         return 0.0
@@ -36,7 +41,7 @@ def laplacian_variance(gray: np.ndarray) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def _blur(h: pd.Series, w: pd.Series, c: pd.Series, data: pd.Series) -> pd.Series:
-    return pd.Series([laplacian_variance(_gray(*row)) for row in zip(h, w, c, data)], dtype="float64")
+    return pd.Series([laplacian_variance(_gray(*row)) if row[0] > 0 else None for row in zip(h, w, c, data)], dtype="float64")
 
 
 def soft_blocks(gray: np.ndarray) -> int:
@@ -55,22 +60,24 @@ def soft_blocks(gray: np.ndarray) -> int:
 
 @F.pandas_udf(T.IntegerType())
 def _soft(h: pd.Series, w: pd.Series, c: pd.Series, data: pd.Series) -> pd.Series:
-    return pd.Series([soft_blocks(_gray(*row)) for row in zip(h, w, c, data)], dtype="int32")
+    return pd.Series([soft_blocks(_gray(*row)) if row[0] > 0 else 0 for row in zip(h, w, c, data)], dtype="int32")
 
 
 def quality_of(images: DataFrame) -> DataFrame:
-    """IM1 verdict per decoded image."""
-    scored = images.withColumn("blur_score", F.round(_blur("height", "width", "nChannels", "data"), 2))
+    """IM1 verdict per file; one that cannot be decoded is an error with a reason of its own."""
+    sides = {c: F.when(_decoded(), F.col(c)) for c in ("width", "height")}
+    scored = images.withColumn("blur_score", F.round(_blur("height", "width", "nChannels", "data"), 2)).withColumns(sides)
     small = (F.col("width") < MIN_SIDE) | (F.col("height") < MIN_SIDE)
     soft = F.col("blur_score") < BLUR_THRESHOLD
     issues = F.array_compact(F.array(
+        F.when(F.col("height").isNull(), "undecodable"),
         F.when(small, F.format_string(f"low_resolution (got %dx%d, min {MIN_SIDE}x{MIN_SIDE})", "width", "height")),
         F.when(soft, F.concat(F.lit("excessive_blur (score "), F.col("blur_score").cast("string"), F.lit(f" < threshold {BLUR_THRESHOLD})"))),
     ))
     return scored.select("origin", "width", "height", "blur_score", issues.alias("issues")).withColumns({
         "is_acceptable": F.size("issues") == 0,
-        "status": F.when(F.size("issues") == 0, "acceptable").otherwise("low_confidence"),
-        "reason": F.when(F.size("issues") > 0, "image_quality"),
+        "status": F.when(F.size("issues") == 0, "acceptable").when(F.col("height").isNull(), "error").otherwise("low_confidence"),
+        "reason": F.when(F.col("height").isNull(), "undecodable").when(F.size("issues") > 0, "image_quality"),
     })
 
 

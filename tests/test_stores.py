@@ -217,3 +217,23 @@ def test_repeated_deliveries_over_batches(spark, tmp_path):
     stream = jobs.once(jobs.file_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1))
     jobs.drain(stream, lambda df, _: out.extend(r.doc_id for r in df.collect()), str(tmp_path / "cp"))
     assert sorted(out, key=str) == [1, 1, 2, 3, 4, 5, 7, 7, None]
+
+
+def test_deletion_rewrites_only_files_that_hold_the_ids(spark, tmp_path):
+    from inkwell.operators import purge
+
+    path = str(tmp_path / "table")
+    df = spark.createDataFrame([(i, f"row {i}") for i in range(1000)] + [(None, "no id")], "document_id long, body string")
+    assert purge.create(df, path, files=6) == 1
+    before = {f: f.read_bytes() for f in (tmp_path / "table" / "data").rglob("*.parquet")}
+    doomed = spark.createDataFrame([(5,), (7,), (7,), (None,), (5000,)], "document_id long")
+    done = purge.purge(spark, path, doomed, df.schema)
+    assert done["deleted"] == 2 and done["kept"] == 999 and done["rewritten"] == 1 and done["untouched"] == 5
+    left = purge.read(spark, path, df.schema)
+    assert sorted(map(str, left.collect())) == sorted(map(str, df.where("document_id IS NULL OR document_id NOT IN (5, 7)").collect()))
+    listed = {r.file.rsplit("/", 1)[1] for r in purge.file_list(spark, path).collect()}
+    same = [f for f in before if f.name in listed]
+    assert len(same) == 5 and all(f.read_bytes() == before[f] for f in same)
+    assert purge.purge(spark, path, doomed, df.schema) == {"deleted": 0, "kept": 999, "rewritten": 0, "untouched": 6}
+    assert purge.purge(spark, path, df, df.schema)["kept"] == 1
+    assert purge.read(spark, path, df.schema).count() == 1

@@ -303,8 +303,11 @@ def test_images(spark, tmp_path):
     png(tmp_path / "flat.png", lambda x, y: 120, 240, 240)
     png(tmp_path / "small.png", lambda x, y: noise[y][x], 100, 100)
     png(tmp_path / "soft.png", lambda x, y: (x + y) if x < 60 and y < 60 else noise[y][x], 240, 240)
-    got = {r.origin.rsplit("/", 1)[1]: [i.split(" ")[0] for i in r.issues] for r in image_quality(spark, str(tmp_path)).collect()}
-    assert got == {"sharp.png": [], "flat.png": ["excessive_blur"], "small.png": ["low_resolution"], "soft.png": []}
+    (tmp_path / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nno more than that")
+    rows = image_quality(spark, str(tmp_path)).collect()
+    got = {r.origin.rsplit("/", 1)[1]: [i.split(" ")[0] for i in r.issues] for r in rows}
+    assert got == {"sharp.png": [], "flat.png": ["excessive_blur"], "small.png": ["low_resolution"], "soft.png": [], "broken.png": ["undecodable"]}
+    assert [(r.status, r.reason, r.width, r.blur_score) for r in rows if "broken" in r.origin] == [("error", "undecodable", None, None)]
     assert [r.origin.rsplit("/", 1)[1] for r in blur_findings(spark, str(tmp_path)).collect()] == ["soft.png"]
 
 
