@@ -137,7 +137,7 @@ class Features:
 
     def _buckets(self, word: str) -> tuple[int, int]:
         shape = "".join(
-            dict.fromkeys("a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:32])
+            dict.fromkeys("a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
         ) + f"/{min(len(word), 20)}"
         found = zlib.crc32(word.lower().encode()) % BUCKETS, zlib.crc32(b"shape:" + shape.encode()) % BUCKETS
         if len(self.known) >= 500_000:
@@ -196,7 +196,7 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) ->
 def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id``, ``posterior`` (of the votes), ``score`` (of the scorer, 0 to 1) and ``kept`` (score 0.5 or more).
 
-    sample: documents that the scorer is trained on, those with the smallest digest of id and text.
+    sample: distinct documents that the scorer is trained on, those with the smallest digest of id and text.
 
     Defined cases: null and empty texts get votes for bad alone and the score 0; repeated rows stay repeated; ties of
     the posterior are 0.5; where all documents vote alike the scorer learns that one answer; an empty table gives an
@@ -216,7 +216,8 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def label(votes_of: dict[str, Column]) -> Column:
         return table[F.concat_ws(",", *(F.coalesce(c.cast("int"), F.lit(-1)) for c in votes_of.values()))]
 
-    chosen = voted.select("h", label({n: F.col(n) for n in names}).alias("posterior")).orderBy("h").limit(sample).toPandas()
+    distinct = voted.dropDuplicates(["h"])  # a document that is repeated counts once
+    chosen = distinct.select("h", label({n: F.col(n) for n in names}).alias("posterior")).orderBy("h").limit(sample).toPandas()
     plain = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("h"), "text")
     edge = int(chosen["h"].max()) if len(chosen) else -(1 << 63)
 
@@ -227,7 +228,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield pd.DataFrame({"h": part["h"], "places": places, "values": [v.astype(np.float32).tobytes() for _, v in made]})
 
     rows = plain.where(F.col("h") <= F.lit(edge)).mapInPandas(featured, "h long, places binary, values binary")
-    gathered = rows.toPandas().drop_duplicates("h").sort_values("h")  # the sample's features
+    gathered = rows.dropDuplicates(["h"]).toPandas().sort_values("h")  # the sample's features
     label_of = dict(zip(chosen["h"], chosen["posterior"], strict=True))
     examples = [
         (np.frombuffer(p, np.uint16), np.frombuffer(v, np.float32))
