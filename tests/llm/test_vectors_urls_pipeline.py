@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_whole_job import plain_firsts
 from inkwell.llm import components, embedding_dedup, neighbours, url_filter
 
 SF = "/root/testdata/sf0.01"
@@ -202,7 +203,7 @@ def test_urls_odd_rows(spark):
 
 def test_pipeline_stage_by_stage(spark):
     """Every stage keeps the columns of documents, and what it does follows from its operator's own results."""
-    from inkwell.llm import bpe, language, mixing, simhash
+    from inkwell.llm import bpe, language, minhash, mixing
     from inkwell.llm.common import written
 
     docs = start = spark.read.parquet(f"{SF}/documents.parquet")
@@ -215,8 +216,10 @@ def test_pipeline_stage_by_stage(spark):
     und = {r["doc_id"] for r in language.identify(before).where("lang_pred = 'und' OR score < 0.5").collect()}
     assert {r["doc_id"] for r in before.collect()} - {r["doc_id"] for r in after.collect()} == und
     before, after = kept["near_duplicates"]
-    firsts = {r["component_id"] for r in simhash.near_duplicates(before).collect()}
+    firsts = {r["component_id"] for r in minhash.classes(before).collect()}
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(firsts)
+    rows = [(r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect()]
+    assert sorted(firsts) == plain_firsts(rows)
     before, after = kept["personal_data"]
     assert before.select("doc_id").exceptAll(after.select("doc_id")).count() == 0
     before, after = kept["mixture"]

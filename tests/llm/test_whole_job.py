@@ -1,8 +1,10 @@
 """Places where an operator once did less than the whole job."""
 
 import random
+import time
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from inkwell.llm import minhash, surrogates
 
@@ -46,6 +48,7 @@ def test_stage_drops_all_near_copies_of_five_words(spark):
 def test_near_copies_over_blocks_and_chains(spark, monkeypatch):
     """Copies of copies, with more edits a step than 4 bits allow, cut into small blocks; rows without ids."""
     monkeypatch.setattr(minhash, "SHINGLES", 500)
+    monkeypatch.setattr(minhash, "SETS", 4)
     rng, rows = random.Random(5), []
     for family in range(4):
         words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
@@ -62,6 +65,60 @@ def test_near_copies_over_blocks_and_chains(spark, monkeypatch):
     assert minhash.one_of_each(empty).count() == 0
 
 
+def test_hub_with_many_variants_unlike_each_other(spark, monkeypatch):
+    """Variants of one text, each near the text and far from the others, and a second family with the same opening."""
+    monkeypatch.setattr(minhash, "SETS", 16)
+    rng, rows = random.Random(9), []
+    opening = [f"o{rng.randrange(10**6)}" for _ in range(150)]
+    for family in range(2):
+        base = opening + [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows.append((1000 + family, " ".join(base)))
+        for i in range(60):
+            words = list(base)
+            for k in rng.sample(range(300), 6):
+                words[k] = f"v{rng.randrange(10**6)}"
+            rows.append((family * 100 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert sorted(r["doc_id"] for r in minhash.one_of_each(docs).collect()) == plain_firsts(rows)
+
+
+def test_rows_with_one_id_or_clashing_columns(spark):
+    long = " ".join(f"word{i % 97} thing{i % 31}" for i in range(40_000))
+    schema = "doc_id long, text string, `set` long, inkwell_key string, root long"
+    rows = [
+        (1, "one two three four five six", 1, "a", 5), (1, "one two three four five six", 1, "a", 5),
+        (1, "another text with the same id", 2, None, 5), (2, "ONE two three four five six", 1, "a", 5),
+        (3, long, None, None, None), (4, long + " end", None, "x", 0), (None, None, None, None, None), (None, "", 1, "b", 1), (5, " ", 1, "c", 1),
+    ]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(tuple(r)[:2] for r in kept.collect())
+    assert got == [(1, "another text with the same id"), (1, "one two three four five six"), (3, long), (5, " ")]
+
+
+def test_unlike_texts_of_one_candidate_take_seconds():
+    """A block of many short sets that agree in half their shingles: pairs fall by their signatures."""
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 63, 6, np.uint64)
+    sets = [np.unique(np.concatenate((common, rng.integers(0, 1 << 63, 6, np.uint64)))) for _ in range(5000)]
+    signs = minhash._signed([minhash.signature(s) for s in sets])
+    started = time.time()
+    assert minhash._linked(sets, [], (signs, signs[:0]), False) == []
+    assert time.time() - started < 60
+
+
+def test_alike_sets_agree_in_their_signatures():
+    rng, least = np.random.default_rng(6), []
+    for _ in range(200):
+        hashes = rng.integers(0, 1 << 63, 1000, np.uint64)
+        one, two = np.sort(hashes[:900]), np.sort(hashes[100:])  # Jaccard 0.8
+        assert minhash.alike(one, two)
+        signs = minhash._signed([minhash.signature(x) for x in (one, two)])
+        least.append((signs[0] == signs[1]).sum())
+    assert min(least) >= minhash.AGREE + 10
+
+
 @pytest.mark.parametrize(("text", "kind", "value"), [
     ("pay 4111 1111 1111 1111 12/25 now", "card", "4111111111111111"),
     ("pay 4111 1111 1111 1111 123", "card", "4111111111111111"),
