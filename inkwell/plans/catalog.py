@@ -959,9 +959,10 @@ def _(t):
 
 
 def streamed(t: Tables, table: str) -> DataFrame:
-    """A driver table read as a stream of its file."""
-    schema = t.spark.read.parquet(f"{t.sf_dir}/{table}.parquet").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir)
+    """A driver table read as a stream of its file, or of the files of its folder."""
+    path = f"{t.sf_dir}/{table}.parquet"
+    # a stream takes a single file only by a pattern; the pattern finds a folder as well
+    return t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(f"{t.sf_dir}/{table}[.]parquet")
 
 
 def drained(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:

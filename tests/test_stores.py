@@ -12,6 +12,8 @@ from inkwell.operators.crosscheck import THRESHOLD, cross_check, cross_check_ver
 from inkwell.functions.similarity import _ratio, length_bound, letter_bound, stage, with_similarity
 from inkwell.operators.star import manifest, publish_star, read_star
 from inkwell.operators.vault import deep_page, page
+from inkwell.plans.catalog import drained, streamed
+from inkwell.plans.fixtures import Tables
 from inkwell.schemas import VAULT
 from inkwell.sources import store
 from inkwell.sources.files import triage_files
@@ -237,3 +239,15 @@ def test_deletion_rewrites_only_files_that_hold_the_ids(spark, tmp_path):
     assert purge.purge(spark, path, doomed, df.schema) == {"deleted": 0, "kept": 999, "rewritten": 0, "untouched": 6}
     assert purge.purge(spark, path, df, df.schema)["kept"] == 1
     assert purge.read(spark, path, df.schema).count() == 1
+
+
+def test_stream_of_a_table_in_one_file_and_in_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"call {i}") for i in range(20)], "id long, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (part,) = (tmp_path / "written").glob("part-*.parquet")
+    (tmp_path / "file").mkdir()
+    part.rename(tmp_path / "file" / "conversations.parquet")
+    for form in ("file", "folder"):
+        tables = Tables(spark, str(tmp_path / form))
+        assert sorted(r.id for r in drained(tables, streamed(tables, "conversations")).collect()) == list(range(20))
