@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from inkwell.functions.patterns import quote
 from inkwell.functions.text import let, matched, rx, squeeze, strip
 from inkwell.operators.extract import summary_amount_sql
+from inkwell.session import cut_lineage
 
 # Shapes of statement lines; amounts may have a sign where a word begins.
 ROW_DATE = r"(?:(\d{1,6})\s+)?(\d{2}[/\-\.]\d{2}[/\-\.]\d{2,4})\b"
@@ -164,7 +165,8 @@ def opening_balances(docs: DataFrame, text: str = "full_text") -> DataFrame:
 
 def statement_rows(pages: DataFrame, docs: DataFrame | None = None, text: str = "full_text") -> DataFrame:
     """The transactions table of all pages, numbers kept as text."""
-    rows = infer_direction(page_rows(pages, text), ["seq"], ["page_num"], opening_balances(docs) if docs is not None else None)
+    parsed = cut_lineage(page_rows(pages, text))  # read twice: for the rows and for the ends of pages
+    rows = infer_direction(parsed, ["seq"], ["page_num"], opening_balances(docs) if docs is not None else None)
     return rows.select(
         "doc_id", "page_num", "seq", "date", "description", "amount", "type", "balance",
         F.col("amount").try_cast("decimal(18,2)").alias("amount_value"),
