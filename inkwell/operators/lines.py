@@ -129,6 +129,8 @@ def _pairs(first: DataFrame, second: DataFrame) -> DataFrame:
         return renamed.withColumn("_band", F.explode(bands))
 
     met = banded(first, "a").join(banded(second, "b"), ["doc_id", "page_num", "_band"])
+    # a pair counts in the first band that both boxes reach
+    met = met.filter(F.col("_band") == F.greatest(*[F.floor(F.col(f"{s}_y0") / CELL) for s in ("a", "b")]))
     w = F.greatest(F.lit(0.0), F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0"))
     h = F.greatest(F.lit(0.0), F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0"))
     area_a, area_b = (
@@ -137,11 +139,11 @@ def _pairs(first: DataFrame, second: DataFrame) -> DataFrame:
     met = met.withColumns({"_i": w * h, "_a": area_a, "_b": area_b}).filter("_i > 0 AND _a > 0 AND _b > 0")
     iou, small = F.col("_i") / (F.col("_a") + F.col("_b") - F.col("_i")), F.col("_i") / F.least("_a", "_b")
     met = met.withColumns({"iou": iou, "share": small}).filter((F.col("iou") >= PAIR_IOU) | (F.col("share") >= PAIR_MIN_AREA))
-    return met.select("doc_id", "page_num", "a_no", "b_no", "share").distinct()
+    return met.select("doc_id", "page_num", "a_no", "b_no", "share")
 
 
 def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First-pass lines in order take their best partner still free.
+    """First-pass lines in order take their best partner still free; a pair that comes again finds both taken.
 
     Rows arrive sorted by page, line and preference; only the lines of the
     current page that are already taken are remembered.
