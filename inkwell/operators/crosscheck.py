@@ -41,7 +41,8 @@ def resolve(fields: DataFrame, expected: DataFrame) -> DataFrame:
         F.array(F.col("key")), F.coalesce(F.try_element_at(names, F.col("key")), F.array().cast("array<string>"))
     )
     wanted = expected.select("doc_id", "key", F.posexplode(candidates).alias("_rank", "_name"))
-    found = wanted.join(
+    # sizes are estimated before the fan-out: without the hint a broadcast might hold all wanted names in every executor
+    found = wanted.hint("merge").join(
         fields.select("doc_id", F.col("field").alias("_name"), "value", "values"), ["doc_id", "_name"]
     )
     # a direct hit counts even when blank, a stand-in must say something
