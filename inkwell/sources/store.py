@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from inkwell.session import cut_lineage
 
 
+#: Whole files that a task hands to Python at once.
+FILES_SENT = 16
+
+
 def opened(path: str):
     """File system and inner path of a location (``/a``, ``file:/a``, ``s3://a/b``, ``hdfs://a/b``)."""
     from pyarrow.fs import FileSystem
@@ -99,4 +103,11 @@ def write_files(rows: DataFrame, folder: str) -> None:
                     stream.write(content)
             yield pd.DataFrame({"files": [len(part)]})
 
-    rows.select("path", "content").mapInPandas(put, "files long").agg(F.sum("files")).collect()
+    spark = rows.sparkSession
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(FILES_SENT))
+    try:
+        rows.select("path", "content").mapInPandas(put, "files long").agg(F.sum("files")).collect()
+    finally:
+        spark.conf.set(setting, before)
