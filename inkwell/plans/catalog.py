@@ -25,7 +25,7 @@ from inkwell.plans.fixtures import Tables, with_views
 from inkwell.plans.forms import FORM_FACTS
 from inkwell.plans.flows import vault_flow, verify_flow
 from inkwell.rules.signatures import PRIMARY_ANCHORS, SIGNATURES
-from inkwell.session import shared_folder, spread
+from inkwell.session import DEALT_ROWS, dealt, shared_folder, spread
 from inkwell.sources import encryption, files, logs, store
 from inkwell.sources.vault_index import read_vault_index
 from inkwell.streaming import jobs
@@ -50,7 +50,11 @@ def texts(t: Tables) -> DataFrame:
 
 
 def type_docs(t: Tables) -> DataFrame:
-    return spread(t.type_docs)
+    return dealt(t.type_docs)
+
+
+def form_docs(t: Tables) -> DataFrame:
+    return dealt(t.form_docs)
 
 
 def kyc_fields(t: Tables, *names: str) -> DataFrame:
@@ -592,13 +596,13 @@ def _(t):
 
 @register("extract_forms", with_views("kyc") + FORM_FACTS)
 def _(t):
-    docs = spread(t.form_docs).withColumnRenamed("expected_type", "doc_type")
+    docs = form_docs(t).withColumnRenamed("expected_type", "doc_type")
     return extract.extract_fields(docs).select("doc_id", "doc_type", "field", "value")
 
 
 @register("form_detection", with_views("form_docs") + o.FORM_DETECTION)
 def _(t):
-    return classify.self_detection(spread(t.form_docs))
+    return classify.self_detection(form_docs(t))
 
 
 @register("fill_rates", with_views("type_docs") + o.FILL_RATES)
@@ -909,7 +913,7 @@ def _(t):
 @register("normalise_model_outputs", with_views("type_docs") + o.MODEL_OUTPUTS)
 def _(t):
     docs = type_docs(t)
-    raw = t.kyc.selectExpr("doc_id", f"{o.MODEL_ANSWER} AS raw")
+    raw = dealt(t.kyc.selectExpr("doc_id", f"{o.MODEL_ANSWER} AS raw"))
     out = model_outputs.normalise_model_outputs(raw, docs, kyc_fields(t, "name", "pan_number"))
     return out.withColumn("extracted_fields", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("extracted_fields"))))).withColumn("evidence", F.array_join("evidence", "|"))
 
@@ -1009,9 +1013,10 @@ def _(t):
 def _(t):
     folder = shared_folder(t.spark)
     schema = t.form_docs.select("doc_id", "full_text")
-    # several files, a few per micro-batch
-    schema.repartition(8, "doc_id").write.parquet(f"{folder}/pages")
-    pages = jobs.file_stream(t.spark, f"{folder}/pages", schema.schema, files_per_batch=4)
+    # several files of some thousand documents, half of them per micro-batch: a file is read by one task
+    halves = max(4, -(-schema.count() // (2 * DEALT_ROWS)))
+    schema.repartition(2 * halves, "doc_id").write.parquet(f"{folder}/pages")
+    pages = jobs.file_stream(t.spark, f"{folder}/pages", schema.schema, files_per_batch=halves)
     jobs.ingest_stream(pages, folder, f"{folder}/progress").awaitTermination()
     docs, fields = (t.spark.read.parquet(f"{folder}/{name}") for name in ("documents", "fields"))
     counts = fields.groupBy("doc_type").agg(F.count("*").alias("fields"), F.countDistinct("doc_id").alias("with_fields"))

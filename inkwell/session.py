@@ -89,3 +89,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     wanted = df.sparkSession.conf.get("spark.inkwell.scanPartitions", None)
     return df.repartition(int(wanted)) if wanted else df
+
+
+#: Rows of one task of ``dealt``.
+DEALT_ROWS = 10_000
+
+
+def dealt(df: DataFrame, by: str = "doc_id") -> DataFrame:
+    """A scan dealt over as many tasks as its rows ask for, or as the caller's session does (see ``spread``).
+
+    For tables of few bytes and much work a row: a scan is cut by bytes, so one task would read them.  They are counted
+    first, which plain scans answer from the files' footers, and dealt by a key, as the scan would be sorted otherwise.
+    """
+    wanted = df.sparkSession.conf.get("spark.inkwell.scanPartitions", None)
+    return df.repartition(int(wanted or max(1, -(-df.count() // DEALT_ROWS))), by)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.redaction import redact
 from inkwell.operators.classify import with_classification
-from inkwell.operators.extract import extract_fields, minimise_pii
+from inkwell.operators.extract import long_fields, minimise_pii, with_fields
 from inkwell.sources.logs import log_lines, parse_log
 
 # States of a job, from first to last.
@@ -24,11 +25,19 @@ def redact_stream(log: DataFrame, col: str = "value") -> DataFrame:
     return structured.unionByName(plain)
 
 
+def _ingested(pages: DataFrame, min_margin: int = 0) -> DataFrame:
+    """Documents with their type and, in the same row, their fields: each text is matched once."""
+    classified = with_classification(pages.select("doc_id", "full_text"), min_margin)
+    return with_fields(classified).drop("full_text")
+
+
+def _as_tables(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return wide.drop("fields"), minimise_pii(long_fields(wide))
+
+
 def ingest_batch(pages: DataFrame, min_margin: int = 0) -> tuple[DataFrame, DataFrame]:
     """Classify, extract and minimise one set of documents."""
-    classified = with_classification(pages.select("doc_id", "full_text"), min_margin)
-    fields = minimise_pii(extract_fields(classified))
-    return classified.drop("full_text"), fields
+    return _as_tables(_ingested(pages, min_margin))
 
 
 def once(pages: DataFrame, key: str = "doc_id", time: str = "delivered_at", within: str = "1 hour") -> DataFrame:
@@ -53,9 +62,11 @@ def ingest_stream(pages: DataFrame, out: str, checkpoint: str, available_now: bo
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        docs, fields = ingest_batch(batch)
+        wide = _ingested(batch).persist(StorageLevel.MEMORY_AND_DISK)  # both tables come from it
+        docs, fields = _as_tables(wide)
         docs.write.mode("overwrite").parquet(f"{out}/documents/batch={batch_id}")
         fields.write.mode("overwrite").parquet(f"{out}/fields/batch={batch_id}")
+        wide.unpersist()
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

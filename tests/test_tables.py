@@ -9,13 +9,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators.chat import followup_context
+from inkwell.operators.crosscheck import resolve
 from inkwell.operators.integrity import field_findings, font_findings, label_findings, overlap_findings, risk_score
 from inkwell.operators.limits import _in_runs, replay_limits
-from inkwell.operators.lines import join_pages, merge_passes, text_layer_report, with_corners
+from inkwell.operators.lines import _pairs, join_pages, merge_passes, text_layer_report, with_corners
 from inkwell.operators.retention import retention_plan
 from inkwell.operators.star import fan_out, migrate, write_star
+from inkwell.operators.statements import statement_rows
 from inkwell.operators.vault import for_owner, owner_stats_for, page, vault_filter, with_status_category
 from inkwell.schemas import JOB_EVENTS, REQUESTS
+from inkwell.sources import store
 from inkwell.sources.encryption import backfill_encrypt, decrypt_column, encrypt_column
 from inkwell.sources.files import triage_files
 from inkwell.sources.images import blur_findings, image_quality
@@ -332,3 +335,86 @@ def test_job_stream_latest_state(spark, tmp_path):
     out = []
     jobs.drain(jobs.job_status_stream(jobs.file_stream(spark, str(tmp_path / "in"), JOB_EVENTS)), lambda df, _: out.extend(df.collect()), str(tmp_path / "cp"), "update")
     assert {r.job_id: r.status for r in out} == {"j1": "completed", "j2": "processing"}
+
+
+def _plan(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_small_scans_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """A table of few bytes is read by one task; its rows go to as many as they ask for."""
+    from inkwell import session
+
+    monkeypatch.setattr(session, "DEALT_ROWS", 10)
+    spark.range(95).coalesce(1).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    wanted = spark.conf.get("spark.inkwell.scanPartitions")
+    spark.conf.unset("spark.inkwell.scanPartitions")
+    try:
+        parts = [r[0] for r in session.dealt(read, "id").select(F.spark_partition_id()).distinct().collect()]
+        assert len(parts) > 5
+        assert sorted(r.id for r in session.dealt(read, "id").collect()) == list(range(95))
+        assert session.dealt(read.where("id < 0"), "id").count() == 0
+    finally:
+        spark.conf.set("spark.inkwell.scanPartitions", wanted)
+
+
+def test_statement_pages_are_parsed_once(spark, capsys):
+    pages = spark.createDataFrame([(1, 1, "01-02-2024 PAID 5.00 95.00\n02-02-2024 PAID 5.00 90.00")], "doc_id long, page_num int, full_text string")
+    rows = statement_rows(pages)
+    assert "Generate" not in _plan(rows, capsys)
+    assert [(r.seq, r.amount, r.balance) for r in rows.orderBy("seq").collect()] == [(0, "5.00", "95.00"), (1, "5.00", "90.00")]
+
+
+def test_pairs_of_boxes_are_met_once_without_a_second_shuffle(spark, capsys):
+    """Boxes over several bands give a pair once; no shuffle is spent on taking repeats out."""
+    box = "doc_id long, page_num int, line_no int, x0 double, y0 double, x1 double, y1 double"
+    one = spark.createDataFrame([(1, 1, 1, 0.0, 10.0, 50.0, 300.0), (1, 1, 2, 0.0, 400.0, 50.0, 410.0)], box)
+    two = spark.createDataFrame([(1, 1, 7, 0.0, 70.0, 50.0, 290.0), (1, 1, 8, 0.0, 399.0, 50.0, 411.0)], box)
+    pairs = _pairs(one, two)
+    assert sorted((r.a_no, r.b_no) for r in pairs.collect()) == [(1, 7), (2, 8)]
+    assert "Aggregate" not in _plan(pairs, capsys)
+
+
+def test_ingest_matches_each_text_once(spark, tmp_path, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    real = jobs.with_fields
+
+    def counted(docs):
+        def seen(batches):
+            for part in batches:
+                calls.add(len(part))
+                yield part
+
+        return real(docs.mapInPandas(seen, docs.schema))
+
+    monkeypatch.setattr(jobs, "with_fields", counted)
+    texts = [(i, "PASSPORT REPUBLIC OF INDIA\nPassport No: K1234567") for i in range(4)]
+    spark.createDataFrame(texts, "doc_id long, full_text string").write.parquet(str(tmp_path / "in"))
+    pages = jobs.file_stream(spark, str(tmp_path / "in"), "doc_id long, full_text string")
+    jobs.ingest_stream(pages, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    assert calls.value == 4
+    assert spark.read.parquet(str(tmp_path / "out" / "documents")).count() == 4
+
+
+def test_files_are_sent_to_python_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    seen = []
+    set_ = type(spark.conf).set
+    monkeypatch.setattr(type(spark.conf), "set", lambda conf, key, value: (seen.append((key, value)), set_(conf, key, value))[1])
+    rows = spark.range(40).select(F.concat(F.lit("f"), "id").alias("path"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content"))
+    store.write_files(rows, str(tmp_path / "out"))
+    assert (setting, str(store.FILES_SENT)) in seen and spark.conf.get(setting) == before
+    assert len(list((tmp_path / "out").iterdir())) >= 40
+
+
+def test_wanted_names_are_not_broadcast(spark, capsys):
+    fields = spark.createDataFrame([(1, "name", "ASHA RAO", None)], "doc_id long, field string, value string, values array<string>")
+    expected = spark.createDataFrame([(1, "full_name", "Asha Rao")], "doc_id long, key string, expected string")
+    out = resolve(fields, expected)
+    (join,) = [line for line in _plan(out, capsys).splitlines() if "Join [doc_id" in line and "_name" in line]
+    assert "SortMergeJoin" in join
+    assert [(r.extracted, r.found) for r in out.collect()] == [("ASHA RAO", True)]
