@@ -16,7 +16,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: 5-word shingles of Jaccard 0.8 or more, in chains."""
+    """One document of each class of near-duplicates: 5-word shingles of Jaccard 0.8 or more, in chains.
+
+    Candidates come from the SimHash index of ``op6`` and, for copies that its 4 bits miss, from MinHash bands.
+    """
     bounded_batches(spark)
     return minhash.one_of_each(docs)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids, and token pairs whose fit, a worker remembers; a full memory is emptied, nothing is lost.
-REMEMBERED, PAIRS = 150_000, 150_000
+REMEMBERED, PAIRS = 85_000, 170_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
 
@@ -90,7 +90,7 @@ class Encoder:
             self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
         self.whole = {t: i.to_bytes(4, "little") for i, t in self.tokens.items()}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
     def _fits(self, left: int, right: int) -> bool:
@@ -127,12 +127,12 @@ class Encoder:
             if start:
                 if not sizes[start]:
                     continue
-                pair = (last[start], token)
+                pair = last[start] << 32 | token  # one number takes half the memory of a tuple
                 ok = compatible.get(pair)
                 if ok is None:
                     if len(compatible) >= PAIRS:
                         compatible.clear()
-                    ok = compatible[pair] = fits(*pair)
+                    ok = compatible[pair] = fits(last[start], token)
                 if not ok:
                     continue
             last[end], sizes[end] = token, size

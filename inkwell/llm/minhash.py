@@ -1,10 +1,12 @@
-"""Near copies by word overlap: MinHash bands give candidates, exact Jaccard of word shingles decides.
+"""Near copies by word overlap: SimHash fingerprints and MinHash bands give candidates, exact Jaccard of word shingles decides.
 
-A document's set is that of its 5-word shingles (64-bit hashes).  Each distinct set is looked up under ``BANDS`` keys, each
+A document's set is that of its 5-word shingles (64-bit hashes).  The fingerprints of the distinct sets go through the
+positional byte index of ``simhash`` (count filter, bits verified): sets within ``BITS`` bits are linked.  As few sets of
+Jaccard 0.8 are so near, each distinct set is also looked up under ``BANDS`` keys, each
 of ``ROWS`` minima: two sets of Jaccard J miss each other in all bands with a chance of (1 - J**5)**30, that is 7e-6 at
 J = 0.8 and less above.  Sets that share a key are linked if their signatures, a byte of each minimum, agree in
-``AGREE`` places or more; sets of Jaccard 0.8 fail that with a chance below 1e-10.  The components of these links are the
-candidates, and within a candidate all pairs are open to the exact check, whatever keys they share.
+``AGREE`` places or more; sets of Jaccard 0.8 fail that with a chance below 1e-10.  The components of both kinds of links
+are the candidates, and within a candidate all pairs are open to the exact check, whatever linked them.
 
 The check goes by connection, so that many like texts cost about one comparison a text: first each set meets the
 candidate's hub, the set nearest to all others; then the sets that are unlike the hub meet all the others, block
@@ -23,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import key_filter
+from inkwell.llm import key_filter, simhash
 from inkwell.llm.common import free_name, written
 from inkwell.llm.components import components
 
+#: Differing bits of linked fingerprints at most.
+BITS = 4
 BANDS, ROWS = 30, 5
 #: Words of a shingle, and the least Jaccard similarity of near copies as a fraction.
 WIDTH, LEAST = 5, (4, 5)
@@ -107,6 +111,12 @@ def likely(one: np.ndarray, n_one: np.ndarray, two: np.ndarray, n_two: np.ndarra
     return sizes & ((one == two).sum(axis=-1) >= AGREE)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set as a signed number; 0 for the empty set."""
+    made = simhash.majority(hashes) if len(hashes) else 0
+    return made - (1 << 64) if made >> 63 else made
+
+
 def _signed(packed: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, BANDS * ROWS)
 
@@ -169,18 +179,28 @@ def _linked(apart: list[np.ndarray], others: list[np.ndarray], signs: tuple[np.n
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``set`` of every row, with ``n`` (its shingles), ``keys`` and ``sign`` of the set."""
+    """``doc_id`` and ``set`` of every row, with ``n`` (its shingles), ``fp``, ``keys`` and ``sign`` of the set."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             sets = [shingles(t) for t in part["text"]]
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].astype("Int64"), "set": [set_id(s) for s in sets],
-                "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets], "sign": [signature(s) for s in sets],
+                "n": [len(s) for s in sets], "fp": [fingerprint(s) for s in sets], "keys": [band_keys(s) for s in sets], "sign": [signature(s) for s in sets],
             })
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return written(plain.mapInPandas(rows, "doc_id long, set long, n long, keys array<long>, sign binary"), "sets")
+    return written(plain.mapInPandas(rows, "doc_id long, set long, n long, fp long, keys array<long>, sign binary"), "sets")
+
+
+def _fingerprint_links(distinct: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` that connect all sets whose fingerprints differ in ``BITS`` bits at most; the empty set has none."""
+    prints = distinct.where("n > 0").select("set", "fp")
+    firsts = written(prints.groupBy("fp").agg(F.min("set").alias("first")), "prints")
+    equal = prints.join(firsts, "fp").where("set <> first").select(F.col("set").alias("a"), F.col("first").alias("b"))
+    one, two = (firsts.select(F.col("fp").alias(x), F.col("first").alias(f"set_{x}")) for x in "ab")
+    near = simhash.links(firsts.select("fp"), BITS).join(one, "a").join(two, "b")
+    return equal.union(near.select("set_a", "set_b"))
 
 
 def _likely_links(distinct: DataFrame) -> DataFrame:
@@ -278,9 +298,9 @@ def _few_rows(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
-def _alike_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def _alike_links(docs: DataFrame, distinct: DataFrame, near_prints: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` between sets that connect all alike pairs of the candidates."""
-    roots = components(_likely_links(distinct))
+    roots = components(near_prints.union(_likely_links(distinct)))
     members = written(distinct.join(roots.withColumnRenamed("node", "set"), "set").select("set", "first_id", "n", "sign", "root"), "members")
     hubs = written(_hubs(members), "hubs")
     hashed = _hashes(docs, members).join(members.select("set", "sign", "n", "root"), "set").join(hubs, "root")
@@ -330,11 +350,13 @@ def _alike_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``set``, ``root`` (a set of the class), ``component_id`` (its smallest doc_id) and ``rows`` of each distinct set."""
     distinct = rows.groupBy("set").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sign").alias("sign")
+        F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("fp").alias("fp"),
+        F.first("keys").alias("keys"), F.first("sign").alias("sign")
     )
     distinct = written(distinct, "distinct")
+    near_prints = written(_fingerprint_links(distinct), "near-prints")
     with _few_rows(docs.sparkSession):
-        alike_sets = written(_alike_links(docs, distinct), "alike")
+        alike_sets = written(_alike_links(docs, distinct, near_prints), "alike")
     roots = written(components(alike_sets), "roots")
     rooted = distinct.join(roots.withColumnRenamed("node", "set"), "set", "left").select(
         "set", "first_id", "rows", F.coalesce("root", "set").alias("root")

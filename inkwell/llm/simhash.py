@@ -56,11 +56,11 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     width = min(width, len(words))
     hash_of = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1:].tolist(), strict=True)
-    return _majority(np.array([hash_of(joined[i:j], 42) for i, j in spans], np.uint64))
+    return majority(np.array([hash_of(joined[i:j], 42) for i, j in spans], np.uint64))
 
 
-def _majority(hashes: np.ndarray) -> int:
-    """Bits set in more than half of the hashes, counted in eight byte lanes at a time."""
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in more than half of the hashes (one or more), counted in eight byte lanes at a time."""
     heads = np.arange(0, len(hashes), 255)
     counts = np.empty((8, 8), np.int64)  # [lane, shift]: how often bit 8 * lane + shift is set
     for shift in range(8):

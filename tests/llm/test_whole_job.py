@@ -97,6 +97,36 @@ def test_rows_with_one_id_or_clashing_columns(spark):
     assert got == [(1, "another text with the same id"), (1, "one two three four five six"), (3, long), (5, " ")]
 
 
+def near_prints(rows):
+    """Pairs of texts whose fingerprints lie within 4 bits."""
+    prints = {i: minhash.fingerprint(minhash.shingles(t.encode())) & (1 << 64) - 1 for i, t in rows}
+    return [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 4]
+
+
+def test_stage_finds_copies_by_their_fingerprints(spark, monkeypatch):
+    """Without the bands, the SimHash index alone gives candidates, copies of equal fingerprints included."""
+    rng, rows = random.Random(8), []
+    for family in range(5):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [(10 * family, " ".join(words)), (10 * family + 1, " ".join([*words, "end"])), (10 * family + 2, " ".join(words[:-1]))]
+    pairs = near_prints(rows)
+    assert {i for pair in pairs for i in pair} == {i for i, _ in rows} and all(i // 10 == j // 10 for i, j in pairs)
+    monkeypatch.setattr(minhash, "band_keys", lambda hashes: np.empty(0, np.int64))
+    docs = spark.createDataFrame([*rows, (100, None), (101, " "), (102, "two words")], SCHEMA).repartition(3)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 10, 20, 30, 40, 100, 102]
+
+
+def test_near_fingerprints_are_checked_on_shingles(spark, monkeypatch):
+    """Texts of one fingerprint by chance are candidates, not copies."""
+    monkeypatch.setattr(minhash, "fingerprint", lambda hashes: 77)
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(12)]
+    rows += [(20 + i, t + " end") for i, t in rows[:6]]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    assert sorted(r["doc_id"] for r in minhash.one_of_each(docs).collect()) == plain_firsts(rows) == list(range(12))
+
+
 def test_unlike_texts_of_one_candidate_take_seconds():
     """A block of many short sets that agree in half their shingles: pairs fall by their signatures."""
     rng = np.random.default_rng(4)
