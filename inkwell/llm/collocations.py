@@ -14,9 +14,11 @@ their own text.  Hashes that meet and a filter that is full let more phrases thr
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +33,16 @@ EVERY = 32
 LONGEST, LEAST, COVERED, TOP = 4, 30, 80, 2000
 #: Words that are counted at once in a task.
 STEP = 1 << 20
+#: Bytes of texts that are parsed at once (a longer text by itself).
+AT_ONCE = 1 << 21
+#: Words of more bytes are hashed one by one.
+LONG = 64
 
 #: Ends of pieces become line feeds, tabs become spaces.
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _K = np.uint64(0x9E3779B97F4A7C15)
+#: For 0 to 8 bytes, the mask of that many first bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -42,9 +50,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    of = xxhash.xxh64_intdigest
-    return np.fromiter((of(w) for w in words), np.uint64, len(words))
+def _hashes(text: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``text``, eight bytes of all words at a time; of words longer than ``LONG`` XXH64."""
+    eights = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=1)
+    made = np.zeros(len(starts), np.uint64)
+    some, at, left = np.arange(len(starts)), starts, np.minimum(sizes, LONG)
+    while len(at):
+        eight = eights[at] & _FIRST[np.minimum(left, 8)]
+        made[some] = _mix((made[some] ^ eight) * _K + left.astype(np.uint64))
+        more = np.flatnonzero(left > 8)
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        made[i] = xxhash.xxh64_intdigest(text[starts[i]:starts[i] + sizes[i]])
+    return made
 
 
 class _Numbers(dict):
@@ -55,63 +73,87 @@ class _Numbers(dict):
         return number
 
 
+def _parse(texts: list[bytes | None], every: int, longest: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The chunks of some texts, one text after another; how many words each owns; the text (position) it is of."""
+    texts = [t or b"" for t in texts]
+    joined = b"\n".join([*texts, b""]).lower().translate(_ENDS)
+    raw = np.frombuffer(joined, np.uint8).copy()
+    in_word = (raw != 32) & (raw != 10)
+    edges = np.flatnonzero(np.diff(in_word, prepend=False))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return [], np.empty(0, np.int64), np.empty(0, np.int64)
+    lines = np.cumsum(raw == 10, dtype=np.int32)
+    piece_ends = np.append(lines[starts[1:]] > lines[ends[:-1] - 1], True)
+    text_starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    heads = np.searchsorted(starts, text_starts)  # first word of each text, or where it would be
+    sizes = ends - starts
+    hashes = _hashes(joined, starts, sizes)
+    cut = np.zeros(len(starts) + 1, bool)
+    cut[heads] = True
+    cut[1:-1] |= _mix(hashes[:-1] * _K + hashes[1:]) % np.uint64(every) == 0
+    firsts = np.flatnonzero(cut[:-1])
+    nexts = np.append(firsts[1:], len(starts))
+    after_piece = np.flatnonzero(piece_ends) + 1
+    lasts = np.minimum(nexts + longest - 1, after_piece[np.searchsorted(after_piece, nexts)])
+    raw[ends] = np.where(piece_ends, 10, 32)
+    in_word[ends] = True
+    normal = raw[in_word].tobytes()
+    at = np.cumsum(np.append(0, sizes + 1))
+    found = [normal[i:j] for i, j in zip(at[firsts].tolist(), (at[lasts] - 1).tolist(), strict=True)]
+    return found, nexts - firsts, np.searchsorted(heads, firsts, "right") - 1
+
+
 def chunks(text: bytes | None, every: int = EVERY, longest: int = LONGEST) -> list[tuple[bytes, int]]:
     """The parse of a text: for each chunk its words (pieces apart by ``\\n``, words by a space) and how many it owns."""
-    pieces = [p.split() for p in (text or b"").lower().translate(_ENDS).split(b"\n")]
-    pieces = [p for p in pieces if p]
-    if not pieces:
-        return []
-    words = [w for p in pieces for w in p]
-    normal = b"\n".join([b" ".join(p) for p in pieces])
-    starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-    piece_ends = np.repeat(np.cumsum([len(p) for p in pieces]), [len(p) for p in pieces])
-    numbers = _Numbers()
-    at = np.fromiter((numbers[w] for w in words), np.int64, len(words))
-    hashes = _hashes([*numbers])[at]
-    cuts = np.flatnonzero(_mix(hashes[:-1] * _K + hashes[1:]) % np.uint64(every) == 0) + 1
-    firsts = np.concatenate(([0], cuts))
-    ends = np.concatenate((cuts, [len(words)]))
-    lasts = np.minimum(ends + longest - 1, np.maximum(ends, piece_ends[ends - 1]))
-    return [
-        (normal[i:j], own)
-        for i, j, own in zip(starts[firsts].tolist(), (starts[lasts] - 1).tolist(), (ends - firsts).tolist(), strict=True)
-    ]
+    found, own, _ = _parse([text], every, longest)
+    return list(zip(found, own.tolist(), strict=True))
 
 
 def dictionary(docs: DataFrame, every: int = EVERY, longest: int = LONGEST) -> DataFrame:
     """Distinct chunks: ``lang``, ``chunk`` (binary), ``own`` (words it owns), ``times`` (in the parse of all texts)."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            made = [(lang, c, own) for lang, text in zip(part["lang"], part["text"], strict=True) for c, own in chunks(text, every, longest)]
-            yield pd.DataFrame(made, columns=["lang", "chunk", "own"])
+            texts = part.column("text").to_pylist()
+            share = np.cumsum([len(t or b"") for t in texts]) // AT_ONCE
+            bounds = [*np.flatnonzero(np.diff(share, prepend=-1)).tolist(), len(texts)]
+            for i, j in pairwise(bounds):
+                found, own, of = _parse(texts[i:j], every, longest)
+                langs = part.column("lang").take(pa.array(of + i))
+                yield pa.RecordBatch.from_arrays([langs, pa.array(found, pa.binary()), pa.array(own, pa.int32())], ["lang", "chunk", "own"])
 
     plain = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    parsed = plain.mapInPandas(rows, "lang string, chunk binary, own int")
+    parsed = plain.mapInArrow(rows, "lang string, chunk binary, own int")
     return parsed.groupBy("lang", "chunk", "own").agg(F.count("*").alias("times"))
 
 
 class _Words:
     """Words of some chunks side by side, as arrays."""
 
-    def __init__(self, langs: list[str], texts: list[bytes], own: np.ndarray, times: np.ndarray):
-        joined = b"\n".join(texts)
-        raw = np.frombuffer(joined, np.uint8)
-        after = raw[(raw == 32) | (raw == 10)]
-        self.words = joined.replace(b"\n", b" ").split(b" ")
+    def __init__(self, langs: list[str], chunked: list[bytes], own: np.ndarray, times: np.ndarray):
+        self.text = b"\n".join(chunked)
+        raw = np.frombuffer(self.text, np.uint8)
+        after = np.flatnonzero((raw == 32) | (raw == 10))
+        #: Where in the text each word starts and where it stops.
+        self.starts, self.stops = np.append(0, after + 1), np.append(after, len(raw))
         #: Whether a piece ends with the word.
-        self.ends = np.append(after == 10, True)
-        sizes = np.array([t.count(b" ") + t.count(b"\n") + 1 for t in texts], np.int64)
-        begins = np.cumsum(sizes) - sizes
+        self.ends = np.append(raw[after] == 10, True)
+        begins = np.searchsorted(self.starts, np.cumsum([0, *(len(c) + 1 for c in chunked[:-1])]))
+        sizes = np.diff(np.append(begins, len(self.starts)))
         #: Whether a chunk owns the word, and how often the chunk occurs.
-        self.own = np.arange(len(self.words)) - np.repeat(begins, sizes) < np.repeat(own, sizes)
+        self.own = np.arange(len(self.starts)) - np.repeat(begins, sizes) < np.repeat(own, sizes)
         self.times = np.repeat(times, sizes)
-        numbers, languages = _Numbers(), _Numbers()
-        self.at = np.fromiter((numbers[w] for w in self.words), np.int64, len(self.words))
+        languages = _Numbers()
         self.lang_at = np.repeat(np.fromiter((languages[x] for x in langs), np.int64, len(langs)), sizes)
-        self.names, self.langs = [*numbers], [*languages]
-        self.hashes = _hashes(self.names)[self.at]
-        self.lang_hashes = _hashes([x.encode() for x in self.langs])[self.lang_at]
+        self.langs = [*languages]
+        self.hashes = _hashes(self.text, self.starts, self.stops - self.starts)
+        self.lang_hashes = np.array([xxhash.xxh64_intdigest(x.encode()) for x in self.langs], np.uint64)[self.lang_at]
+
+    def numbers(self) -> np.ndarray:
+        """A number for each word, the same for the same word only."""
+        numbers, words = _Numbers(), self.text.replace(b"\n", b" ").split(b" ")
+        return np.fromiter((numbers[w] for w in words), np.int64, len(words))
 
     def word_keys(self) -> np.ndarray:
         return _mix(self.hashes ^ self.lang_hashes)
@@ -125,42 +167,44 @@ class _Words:
         return ~self.ends[:-1]
 
 
-def _per_step(chunked: DataFrame, count: Callable[[_Words], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+def _per_step(chunked: DataFrame, count: Callable[[_Words], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Run ``count`` over the dictionary, some ``STEP`` words at a time."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def some() -> Iterator[_Words]:
             parts, size = [], 0
             for part in batches:
                 parts.append(part)
-                size += int(part["own"].sum())
+                size += pc.sum(part.column("own")).as_py() or 0
                 if size >= STEP:
                     yield joined(parts)
                     parts, size = [], 0
             if size:
                 yield joined(parts)
 
-        def joined(parts: list[pd.DataFrame]) -> _Words:
-            whole = pd.concat(parts)
-            return _Words(whole["lang"].tolist(), whole["chunk"].tolist(), whole["own"].to_numpy(np.int64), whole["times"].to_numpy(np.int64))
+        def joined(parts: list[pa.RecordBatch]) -> _Words:
+            whole = pa.Table.from_batches(parts)
+            own, times = (whole.column(c).to_numpy().astype(np.int64) for c in ("own", "times"))
+            return _Words(whole.column("lang").to_pylist(), whole.column("chunk").to_pylist(), own, times)
 
         for words in some():
             yield from count(words)
 
-    return chunked.select("lang", "chunk", "own", "times").mapInPandas(rows, schema)
+    return chunked.select("lang", "chunk", "own", "times").mapInArrow(rows, schema)
 
 
-def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, where each first stands, and the sum of its times (exact)."""
-    distinct, first, where = np.unique(keys, return_index=True, return_inverse=True)
-    order = np.argsort(where, kind="stable")
-    heads = np.searchsorted(where[order], np.arange(len(distinct)))
-    return distinct, first, np.add.reduceat(times[order], heads) if len(distinct) else np.empty(0, np.int64)
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the keys in their order, and where in it each distinct key begins."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    return order, np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[:len(keys)])
 
 
-def _keyed(keys: np.ndarray, times: np.ndarray) -> pd.DataFrame:
-    distinct, _, sums = _summed(keys, times)
-    return pd.DataFrame({"key": distinct.view(np.int64), "times": sums})
+def _keyed(keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """Distinct keys with the sum of their times (exact)."""
+    order, heads = _grouped(keys)
+    sums = np.add.reduceat(times[order], heads) if len(keys) else times
+    return pa.RecordBatch.from_arrays([pa.array(keys[order[heads]].view(np.int64)), pa.array(sums)], ["key", "times"])
 
 
 def _maybe_frequent(counts: DataFrame, least: int) -> np.ndarray:
@@ -176,39 +220,44 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     chunked = written(dictionary(docs, longest=longest), "chunks")
     totals = chunked.groupBy("lang").agg(F.sum(F.col("own") * F.col("times")).alias("n"))
 
-    def of_words(some: _Words) -> Iterator[pd.DataFrame]:
+    def of_words(some: _Words) -> Iterator[pa.RecordBatch]:
         yield _keyed(some.word_keys()[some.own], some.times[some.own])
 
     words = spark.sparkContext.broadcast(_maybe_frequent(_per_step(chunked, of_words, "key long, times long"), least))
 
-    def of_pairs(some: _Words) -> Iterator[pd.DataFrame]:
+    def of_pairs(some: _Words) -> Iterator[pa.RecordBatch]:
         known = key_filter.among(some.word_keys(), words.value)
         here = some.own[:-1] & some.pairs() & known[:-1] & known[1:]
         yield _keyed(some.pair_keys()[here], some.times[:-1][here])
 
     pairs = spark.sparkContext.broadcast(_maybe_frequent(_per_step(chunked, of_pairs, "key long, times long"), least))
 
-    def of_phrases(some: _Words) -> Iterator[pd.DataFrame]:
+    def of_phrases(some: _Words) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(some.own & key_filter.among(some.word_keys(), words.value))
         linked = np.append(some.pairs() & key_filter.among(some.pair_keys(), pairs.value), False)
-        codes = some.lang_at[start] * len(some.names) + some.at[start]
+        at = some.numbers()
+        names, langs = len(at), pa.array(some.langs, pa.string())
+        codes = some.lang_at[start] * names + at[start]
         for size in range(1, longest + 1):
             if size > 1:  # go on where the next pair may be frequent too
                 more = linked[start + size - 2]
                 start = start[more]
-                codes = np.unique(codes[more], return_inverse=True)[1] * len(some.names) + some.at[start + size - 1]
+                codes = group[more] * names + at[start + size - 1]
             if not len(start):
                 return
-            _, first, sums = _summed(codes, some.times[start])
-            heads = start[first].tolist()
-            yield pd.DataFrame({
-                "lang": [some.langs[i] for i in some.lang_at[heads].tolist()],
-                "phrase": [b" ".join(some.words[i:i + size]).decode() for i in heads],
-                "words": size, "times": sums,
-            })
-
-    found = _per_step(chunked, of_phrases, "lang string, phrase string, words int, times long")
+            order, begins = _grouped(codes)
+            group = np.empty(len(order), np.int64)
+            group[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(order))))
+            heads = start[order[begins]]
+            spans = zip(some.starts[heads].tolist(), some.stops[heads + size - 1].tolist(), strict=True)
+            yield pa.RecordBatch.from_arrays([
+                langs.take(pa.array(some.lang_at[heads])), pa.array([some.text[i:j] for i, j in spans], pa.binary()),
+                pa.array(np.full(len(heads), size, np.int32)), pa.array(np.add.reduceat(some.times[start][order], begins)),
+            ], ["lang", "phrase", "words", "times"])
+
+    found = _per_step(chunked, of_phrases, "lang string, phrase binary, words int, times long")
     counted = found.groupBy("lang", "phrase", "words").agg(F.sum("times").alias("f")).where(F.col("f") >= least)
+    counted = counted.withColumn("phrase", F.col("phrase").cast("string"))
     return written(counted, "phrases"), written(totals, "totals")
 
 

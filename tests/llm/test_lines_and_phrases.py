@@ -186,6 +186,28 @@ def test_shared_passages_are_chunked_alike():
     assert len(one.keys() & two.keys()) >= len(one) - 2
 
 
+def test_texts_are_parsed_together_as_each_alone():
+    draw = random.Random(4)
+    marks = ["a", "b c.", "d\te", "\n", ". ,", "é", "x" * 63, "y" * 64, "z" * 65, "Z" * 200]
+    texts = [None, b"", b" .;\n", *(" ".join(draw.choices(marks, k=draw.randrange(80))).encode() for _ in range(40)), None, b"", b"end"]
+    found, own, of = collocations._parse(texts, 3, 4)
+    alone = [(i, chunk, n) for i, t in enumerate(texts) for chunk, n in collocations.chunks(t, every=3)]
+    assert list(zip(of.tolist(), found, own.tolist(), strict=True)) == alone
+
+
+def test_words_have_one_hash_wherever_they_stand():
+    draw = random.Random(5)
+    words = sorted({bytes(draw.choices(b"ab\xc3", k=k)) for k in range(1, 80) for _ in range(20)} | {b"\0", b"\0\0", b"a\0"})
+    seen = {}
+    for _ in range(3):
+        draw.shuffle(words)
+        sizes = np.array([len(w) for w in words])
+        made = collocations._hashes(b" ".join(words), np.cumsum(sizes + 1) - sizes - 1, sizes)
+        for word, value in zip(words, made.tolist(), strict=True):
+            assert seen.setdefault(word, value) == value
+    assert len(set(seen.values())) == len(words)
+
+
 def test_filter_holds_all_frequent_keys(spark):
     keys = np.random.default_rng(1).integers(-1 << 63, 1 << 63, 5000)
     counts = spark.createDataFrame([(int(k), 2 + i % 3) for i, k in enumerate(keys)], "key long, times long")
