@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +31,10 @@ LONG_PIECE = 64
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """What the executors need: tokens by id, the two halves of each merged token, added tokens by text; the file's digest."""
+    """What the executors need: tokens by id, the left and right half of each id (-1: not merged), added tokens by text; the file's digest."""
 
     tokens: dict[int, bytes]
-    halves: dict[int, tuple[int, int]]
+    halves: tuple[array, array]
     added: dict[str, int]
     digest: str
 
@@ -60,13 +61,14 @@ def read_vocabulary(path: str) -> Vocabulary:
     letters, ids = _byte_letters(), model["vocab"]
     added = {t["content"]: t["id"] for t in spec["added_tokens"]}
     tokens = {i: bytes(letters[c] for c in t) for t, i in ids.items() if t not in added}
-    halves: dict[int, tuple[int, int]] = {}
+    halves = array("i", [-1]) * (max(ids.values(), default=-1) + 1), array("i", [-1]) * (max(ids.values(), default=-1) + 1)
+    last = None
     for rank, pair in enumerate(model["merges"]):
         one, two = pair if isinstance(pair, list) else pair.split(" ")
         made = ids[one + two]
-        if made in halves or (halves and made != last + 1):
+        if last is not None and made != last + 1:
             raise ValueError(f"merge {rank} does not make the next id; ids must follow the merge order")
-        halves[made], last = (ids[one], ids[two]), made
+        halves[0][made], halves[1][made], last = ids[one], ids[two], made
     return Vocabulary(tokens, halves, added, hashlib.sha256(content).hexdigest())
 
 
@@ -78,18 +80,20 @@ class Encoder:
         import regex
 
         self.tokens = vocabulary.tokens
-        self.texts = {i: t for i, t in vocabulary.tokens.items()} | {i: s.encode() for s, i in vocabulary.added.items()}
+        self.texts = [b""] * (max([*self.tokens, *vocabulary.added.values()], default=-1) + 1)
+        for i, t in [*self.tokens.items(), *((i, s.encode()) for s, i in vocabulary.added.items())]:
+            self.texts[i] = t
         self.halves = vocabulary.halves
-        self.merged = {pair: made for made, pair in vocabulary.halves.items()}
+        self.merged = {one << 32 | two: i for i, (one, two) in enumerate(zip(*self.halves, strict=True)) if one >= 0}
         self.added = vocabulary.added
         self.pieces = regex.compile(PIECES).findall
         names = sorted(self.added, key=len, reverse=True)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
         self.automaton = ahocorasick.Automaton()
         for i, token in self.tokens.items():
-            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.whole = {t: i.to_bytes(4, "little") for i, t in self.tokens.items()}
+        self.whole = {t: i for i, t in self.tokens.items()}
         self.compatible: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
@@ -99,18 +103,18 @@ class Encoder:
         Merges run in id order.  Undo the later of the two tokens' last merges, step by step: at each
         point the tokens at the boundary must not have had an earlier merge with each other.
         """
-        halves, merged = self.halves, self.merged
+        (lefts, rights), merged = self.halves, self.merged
         before = 1 << 62  # only merges that come before this id would still have happened
         while True:
-            if merged.get((left, right), before) < before:
+            if merged.get(left << 32 | right, before) < before:
                 return False
             # of the two merges still standing, the later is undone first; a tie breaks at the left one, made first
-            if left > right and left in halves:
-                before, left = left, halves[left][1]
-            elif right in halves:
-                before, right = right + 1, halves[right][0]
-            elif left in halves:
-                before, left = left, halves[left][1]
+            if left > right and rights[left] >= 0:
+                before, left = left, rights[left]
+            elif lefts[right] >= 0:
+                before, right = right + 1, lefts[right]
+            elif rights[left] >= 0:
+                before, left = left, rights[left]
             else:
                 return True
 
@@ -118,11 +122,12 @@ class Encoder:
         """Ids of one piece: the unique last token of every prefix, then back from the end."""
         last = [0] * (len(piece) + 1)
         sizes = [0] * (len(piece) + 1)
-        compatible, fits = self.compatible, self._fits
-        for at, (token, size) in self.automaton.iter(piece.decode("latin-1")):
+        compatible, fits, texts = self.compatible, self._fits, self.texts
+        for at, token in self.automaton.iter(piece.decode("latin-1")):
             end = at + 1
             if sizes[end]:
                 continue
+            size = len(texts[token])
             start = end - size
             if start:
                 if not sizes[start]:
@@ -147,9 +152,8 @@ class Encoder:
 
     def _packed(self, piece: str) -> bytes:
         raw = piece.encode()
-        packed = self.whole.get(raw)
-        if packed is None:
-            packed = b"".join(i.to_bytes(4, "little") for i in self.encode_piece(raw))
+        token = self.whole.get(raw)
+        packed = b"".join([i.to_bytes(4, "little") for i in (self.encode_piece(raw) if token is None else [token])])
         if len(piece) <= LONG_PIECE:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()

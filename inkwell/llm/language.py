@@ -137,7 +137,10 @@ def learn(labelled: DataFrame) -> LanguageModel:
 
 
 def predictions(docs: DataFrame, model: LanguageModel):
-    """Column struct ``lang_pred``, ``score`` for the column ``text`` of ``docs``, row-local."""
+    """Column struct ``lang_pred``, ``score`` for the column ``text`` of ``docs``, row-local.
+
+    A filter on it is not pushed below it: texts would be predicted twice, by two Python workers of every task.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -149,7 +152,7 @@ def predictions(docs: DataFrame, model: LanguageModel):
                 score += probability.tolist()
             yield pd.DataFrame({"lang_pred": names, "score": score})
 
-    return F.pandas_udf(predict, "lang_pred string, score double")("text")
+    return F.pandas_udf(predict, "lang_pred string, score double").asNondeterministic()("text")
 
 
 def held_out():

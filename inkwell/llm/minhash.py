@@ -391,20 +391,22 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     firsts = written(several.groupBy("root", "component_id").agg(named.alias("set")).select("set", "component_id"), "firsts")
     touched = written(rows.join(several.select("set"), "set", "left_semi").select(F.xxhash64("doc_id").alias("key")).distinct(), "touched")
     shared = docs.sparkSession.sparkContext.broadcast(key_filter.build(touched))
-    key, mark, own = free_name(docs, "inkwell_key"), free_name(docs, "inkwell_touched"), free_name(docs, "inkwell_set")
+    key, own = free_name(docs, "inkwell_key"), free_name(docs, "inkwell_set")
 
     def may_be(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in keys:
             yield pd.Series(key_filter.among(part.to_numpy(np.int64).view(np.uint64), shared.value))
 
-    def sets_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series([set_id(shingles(t)) for t in part], dtype="int64")
+    def sets_of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for keys, texts in parts:
+            some = key_filter.among(keys.to_numpy(np.int64).view(np.uint64), shared.value)
+            yield pd.Series([set_id(shingles(t)) if s else None for s, t in zip(some, texts, strict=True)], dtype="Int64")
 
     doc_id = F.col("doc_id").cast("long")
-    marked = docs.withColumn(mark, F.pandas_udf(may_be, "boolean")(F.xxhash64(doc_id)))
-    passing = marked.where(~F.col(mark)).select(*docs.columns)
-    held = marked.where(F.col(mark)).withColumn(own, F.pandas_udf(sets_of, "long")(F.col("text").cast("binary")))
+    passing = docs.where(~F.pandas_udf(may_be, "boolean")(F.xxhash64(doc_id))).select(*docs.columns)
+    # one function, not repeated by filters that are pushed down: each one in a plan's stage holds a Python worker of every task
+    set_of = F.pandas_udf(sets_of, "long").asNondeterministic()
+    held = docs.withColumn(own, set_of(F.xxhash64(doc_id), F.col("text").cast("binary"))).where(F.col(own).isNotNull())
     alone = held.join(several.select(F.col("set").alias(own)), own, "left_anti").select(*docs.columns)
     chosen = firsts.select(F.col("set").alias(own), F.col("component_id").alias(key))
     one = held.join(chosen, (held[own] == chosen[own]) & doc_id.eqNullSafe(chosen[key]), "left_semi")

@@ -232,3 +232,24 @@ def test_pipeline_stage_by_stage(spark):
     text = after.first()
     row = next(r for r in wanted if r[0] == text["doc_id"])
     assert row[3] == hashlib.sha256(text["text"].encode()).hexdigest()
+
+
+def test_stages_hold_one_python_worker_a_task(spark):
+    """No filter makes a function run twice, and no function stands above another: each is a worker more of every task."""
+    from inkwell.llm import language, minhash
+
+    rows = [(i, f"{'the old house by the river' if i % 2 else 'das alte Haus am Fluss'} {i // 4}", "de en".split()[i % 2]) for i in range(24)]
+    docs = spark.createDataFrame([*rows, *((i, t, None) for i, t, _ in rows[:6]), (None, None, "en"), (None, "", None)], "doc_id long, text string, lang string")
+
+    def functions(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+    told = language.with_known_language(docs)
+    assert functions(told) == 1
+    assert {r["doc_id"] for r in told.collect()} == set(range(24))
+    firsts = minhash.one_of_each(docs)
+    assert functions(firsts) == 3  # rows that pass, rows of classes of one, first rows of the others
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id IS NOT NULL").distinct().collect()]
+    kept = [r["doc_id"] for r in firsts.collect()]
+    assert sorted(i for i in kept if i is not None) == plain_firsts(sorted(set(rows)))
+    assert kept.count(None) == 1  # texts without words are one class
