@@ -392,6 +392,41 @@ def test_bpe_agrees_with_the_library(tokenizer, path):
         assert own.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_short_pieces_are_encoded_together(tokenizer, path, monkeypatch):
+    library, own = tokenizer.from_file(path), bpe.Encoder(bpe.read_vocabulary(path))
+    rng = random.Random(6)
+    parts = ["th", "ing", "tion", "blé", "er", "ß", "wh", "中", "q", "🙂", "!", "12", "-", "  ", "\n", " ", " ", " ", "\x1c", "\x85", "'ll"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 80))) for _ in range(600)]
+    texts += ["a<|endoftext|>b", "z" * 300, "é" * 70 + " end", ""]
+    wanted = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    singly, one = [], own.encode_piece
+    monkeypatch.setattr(own, "encode_piece", lambda piece: singly.append(piece) or one(piece))
+    assert own.encode_all(texts) == wanted
+    assert all(len(piece) > bpe.SHORT_PIECE for piece in singly) and b"z" * 300 in singly
+    assert all(len(piece) <= bpe.LONG_PIECE for piece in own.known)
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)  # memories change over many times
+    assert [p for i in range(0, len(texts), 7) for p in own.encode_all(texts[i:i + 7])] == wanted
+    raws = sorted({p.encode() for t in texts for p in own.pieces(t)})
+    packed = [np.array(one(raw), "<u4").tobytes() for raw in raws]
+    assert own.encode_pieces(raws) == packed and own.encode_pieces([]) == []
+
+
+def test_bpe_pieces_of_ascii_texts(path):
+    own, rng = bpe.Encoder(bpe.read_vocabulary(path)), random.Random(7)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab Zz09 '\n\t\x0b\x1c\x1f\x00!_stmdrevl") for _ in range(rng.randint(0, 30)))
+        assert own.ascii_pieces(text) == own.pieces(text)
+    assert [own.ascii_pieces(chr(i) * 2) == own.pieces(chr(i) * 2) for i in range(128)] == [True] * 128
+
+
+def test_bpe_chunks():
+    assert list(bpe._chunks([])) == []
+    big = bpe.CHUNK_CHARS
+    assert list(bpe._chunks([1, big, big + 5, 0, 2])) == [(0, 1), (1, 2), (2, 3), (3, 5)]
+    runs = list(bpe._chunks([1] * (2 * bpe.CHUNK_TEXTS + 3)))
+    assert [j - i for i, j in runs] == [bpe.CHUNK_TEXTS, bpe.CHUNK_TEXTS, 3]
+
+
 def test_bpe_in_documents(docs, tokenizer, path):
     library = tokenizer.from_file(path)
     found = {r["doc_id"]: r for r in bpe.encode(docs, path, keep_ids=True).collect()}
