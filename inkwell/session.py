@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +76,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each statement run inside go when it has ended, not when the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: the plan restarts from columnar files that all executors see."""
     path = f"{shared_folder(df.sparkSession)}/cut"

@@ -64,6 +64,40 @@ def test_embedding_links_agree_with_brute_force(spark, monkeypatch, tile):
     assert found == [(i, int(counts[i]), roots[i], roots[i] == i) for i, _ in rows]
 
 
+@pytest.mark.parametrize("kept", [0, 4])
+def test_embedding_rounds_agree_with_brute_force(spark, monkeypatch, kept):
+    """Tiles of many blocks, links added up after each of them or at the end."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", (4000, 4000))
+    monkeypatch.setattr(embedding_dedup, "KEPT_LINKS", kept)
+    rows = random_rows(100, 24, 60, seed=3)
+    counts, roots = brute_links(rows, 0.95)
+    found = sorted(map(tuple, embedding_dedup.near_duplicates(vectors(spark, rows)).collect()))
+    assert counts.sum() > 100
+    assert found == [(i, int(counts[i]), roots[i], roots[i] == i) for i, _ in rows]
+
+
+def shuffle_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_"))
+
+
+def test_embedding_tiles_are_not_shuffled_to_pairs(spark, monkeypatch):
+    """Shuffle files left behind stay below the vectors themselves; a copy of a tile for each pair takes many times as much."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 32)
+    rows = random_rows(900, 64, 20)
+    data = vectors(spark, rows)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffle_bytes(spark)
+        found = embedding_dedup.near_duplicates(data)
+        assert shuffle_bytes(spark) - before < len(rows) * 64 * 4
+        assert found.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_embedding_bound_never_stops_a_link():
     rng = np.random.default_rng(4)
     left, right = rng.normal(size=(200, 64)), rng.normal(size=(150, 64))
