@@ -201,6 +201,24 @@ def test_limits_equal_brute_force_and_stream(spark, tmp_path):
     assert {r.event_id: r.retry_after for r in out} == {r.event_id: r.retry_after for r in got}
 
 
+def test_stream_keys_share_their_state(spark, tmp_path):
+    """State grows with groups and spans of time, not with clients; clients and ids without a value keep their places."""
+    big = 9007199254740993
+    rows = [(big + i, round(i % 50 + i / 2000, 4), i % 1500 or None, "upload") for i in range(1500)]
+    rows += [(None, 100.0, 1, "upload"), (7, 101.0, None, "upload"), (8, 102.0, None, None)]
+    for part in (rows, [(1, 9000.0, 0, "clock")]):
+        requests_frame(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = rate_limit_stream(jobs.file_stream(spark, str(tmp_path / "in"), REQUESTS, files_per_batch=1), {"upload": 1}, 200)
+    out = []
+    with state_on_disk(spark):
+        query = stream.writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert {(r.event_id, r.client, r.bucket) for r in out} == {(e, c, b) for e, _, c, b in rows} and len(out) == len(rows)
+    assert {(r.event_id, r.retry_after) for r in out if not r.accepted} == {(None, 101), (7, 99)}
+    assert 0 < max(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]) < 1000
+
+
 def test_a_client_is_cut_into_runs(spark):
     """A client that rests goes to many tasks; one that never does, and one whose stretches are left out, stay right."""
     rnd = random.Random(8)
