@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from inkwell.functions.text import strip
 from inkwell.operators.extract import NO_LINE_CONFIDENCE
+from inkwell.session import cut_lineage, shuffles_dropped
 
 # Smallest text layer, row band, pairing thresholds.
 MIN_TEXT_LAYER = 50
@@ -164,34 +165,58 @@ def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def merge_passes(lines_en: DataFrame, lines_dev: DataFrame) -> DataFrame:
     """Two recognition passes of a page merged into one set of lines.
 
-    Only overlapping pairs reach Python, streamed in page order.
+    Only overlapping pairs reach Python, streamed in page order.  The chosen ones are written, and the lines of both passes go
+    with them through one shuffle, by page: there they are told their partners, which of them stay, and their places.
     """
-    pairs = _pairs(lines_en, lines_dev).repartition("doc_id", "page_num").sortWithinPartitions(
-        "doc_id", "page_num", "a_no", F.desc("share"), "b_no"
-    )
-    kinds = dict(pairs.dtypes)
-    chosen = pairs.mapInPandas(_greedy, ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "page_num", "a_no", "b_no")))
+    with shuffles_dropped(lines_en.sparkSession):
+        chosen = cut_lineage(_chosen(lines_en, lines_dev))
     keep = ["doc_id", "page_num", "line_no", "text", "confidence", "x0", "y0", "x1", "y1"]
+    number = dict(chosen.dtypes)["a_no"]
+    en, dev = (
+        df.select(*keep, F.lit(dev).alias("_dev"), F.lit(None).cast(number).alias("_other"), F.lit(False).alias("_mark"))
+        for df, dev in ((lines_en, False), (lines_dev, True))
+    )
+    marks = chosen.where("a_no IS NOT NULL AND b_no IS NOT NULL").select(
+        "doc_id", "page_num", F.col("b_no").alias("line_no"), F.lit(True).alias("_dev"), F.col("a_no").alias("_other"), F.lit(True).alias("_mark")
+    )
+    rows = en.unionByName(dev).unionByName(marks, allowMissingColumns=True).repartition("doc_id", "page_num")
+    # a pair goes by the number of its first-pass line; lines without a number have no partner
+    same = Window.partitionBy("doc_id", "page_num", "_dev", "line_no")
+    paired = rows.withColumn("_other", F.max("_other").over(same)).where("NOT _mark")
+    paired = paired.withColumn("_pair", F.when(F.col("_dev"), F.col("_other")).otherwise(F.col("line_no")))
+    dev_letters = F.regexp_count("text", F.lit("[\u0900-\u097F]"))
+    latin = F.regexp_count("text", F.lit("[A-Za-z]"))
+    paired = paired.withColumn("_scripted", (dev_letters >= 2) | ((dev_letters >= 1) & (latin == 0)))
+    pair = Window.partitionBy("doc_id", "page_num", "_pair")
+    own = F.struct("confidence", "_scripted")
+
+    def partners(are: Column) -> Column:
+        return F.collect_list(F.when(F.col("_pair").isNotNull() & are, own)).over(pair)
+
+    def dev_wins(a: Column, b: Column) -> Column:
+        a_conf, b_conf, a_scripted, b_scripted = a["confidence"], b["confidence"], a["_scripted"], b["_scripted"]
+        wins = F.when(
+            b_scripted & ~a_scripted, (b_conf >= 0.50) | (b_conf >= a_conf - 0.20) | (a_conf <= b_conf)
+        ).when(a_scripted & ~b_scripted, F.lit(False)).otherwise(b_conf > a_conf)
+        return F.coalesce(wins, F.lit(False))
+
+    paired = paired.withColumns({"_as": partners(~F.col("_dev")), "_bs": partners(F.col("_dev"))})
+    others = F.when(F.col("_dev"), F.col("_as")).otherwise(F.col("_bs"))
+    won = F.when(F.col("_dev"), F.size(F.filter("_as", lambda a: dev_wins(a, own)))).otherwise(
+        F.size(F.filter("_bs", lambda b: ~dev_wins(own, b)))
+    )
+    # a line stands once for each partner it wins against: lines of one number are all partners of the other's
+    times = F.when(F.col("_pair").isNull() | (F.size(others) == 0), 1).otherwise(won)
+    merged = paired.withColumn("_times", times).where("_times > 0").select(
+        *keep, F.when(F.col("_dev"), "dev").otherwise("en").alias("source_pass"), F.explode(F.array_repeat(F.lit(True), F.col("_times"))).alias("_once")
+    )
+    return reading_order(merged.drop("_once"))
 
-    def packed(df: DataFrame, side: str) -> DataFrame:
-        return df.select("doc_id", "page_num", F.col("line_no").alias(f"{side}_no"), F.struct(*keep[2:]).alias(f"_{side}"))
 
-    both = packed(lines_en, "a").join(chosen, ["doc_id", "page_num", "a_no"], "left").join(
-        packed(lines_dev, "b"), ["doc_id", "page_num", "b_no"], "full_outer"
+def _chosen(lines_en: DataFrame, lines_dev: DataFrame) -> DataFrame:
+    """The pairs that the first pass' lines take: ``doc_id``, ``page_num``, ``a_no``, ``b_no``."""
+    pairs = _pairs(lines_en, lines_dev).repartition("doc_id", "page_num").sortWithinPartitions(
+        "doc_id", "page_num", "a_no", F.desc("share"), "b_no"
     )
-
-    def scripted(side: str) -> Column:
-        dev = F.regexp_count(F.col(f"_{side}.text"), F.lit("[\u0900-\u097F]"))
-        latin = F.regexp_count(F.col(f"_{side}.text"), F.lit("[A-Za-z]"))
-        return (dev >= 2) | ((dev >= 1) & (latin == 0))
-
-    a_conf, b_conf = F.col("_a.confidence"), F.col("_b.confidence")
-    dev_wins = F.when(
-        scripted("b") & ~scripted("a"), (b_conf >= 0.50) | (b_conf >= a_conf - 0.20) | (a_conf <= b_conf)
-    ).when(scripted("a") & ~scripted("b"), F.lit(False)).otherwise(b_conf > a_conf)
-    survivor = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).when(
-        dev_wins, F.col("_b")
-    ).otherwise(F.col("_a"))
-    from_dev = F.col("_a").isNull() | (F.col("_b").isNotNull() & dev_wins)
-    merged = both.select("doc_id", "page_num", survivor.alias("_s"), F.when(from_dev, "dev").otherwise("en").alias("source_pass"))
-    return reading_order(merged.select("doc_id", "page_num", "_s.*", "source_pass"))
+    kinds = dict(pairs.dtypes)
+    return pairs.mapInPandas(_greedy, ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "page_num", "a_no", "b_no")))

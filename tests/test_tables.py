@@ -86,6 +86,33 @@ def test_merge_passes_equals_greedy(spark):
     assert got == sorted((r[0], r[3], r[4]) for r in want)
 
 
+def test_merge_passes_of_repeated_and_missing_numbers(spark):
+    """Lines of one number are all partners of the other pass' line; a line without a number takes a partner and joins nobody."""
+    en = [(1, 1, 1, "a", 0.9, 0.0, 0.0, 10.0, 10.0), (1, 1, 1, "b", 0.3, 0.0, 0.0, 10.0, 10.0), (1, 1, None, "c", 0.9, 0.0, 100.0, 10.0, 110.0)]
+    dev = [(1, 1, 1, "d", 0.5, 0.0, 0.0, 10.0, 10.0), (1, 1, 2, "e", 0.5, 0.0, 100.0, 10.0, 110.0), (None, 1, 1, "f", 0.5, 0.0, 0.0, 10.0, 10.0)]
+    got = merge_passes(spark.createDataFrame(en, BOX), spark.createDataFrame(dev, BOX)).collect()
+    assert sorted((r.text, r.source_pass) for r in got) == [("a", "en"), ("c", "en"), ("d", "dev"), ("e", "dev"), ("f", "dev")]
+
+
+def test_merge_passes_shuffles_texts_once(spark):
+    rnd = random.Random(6)
+    en, dev = ([(*r[:3], "".join(map(chr, rnd.choices(range(97, 123), k=400))), *r[4:]) for r in boxes(seed, 12, 9, 250)] for seed in (2, 3))
+    size = sum(len(r[3]) for r in (*en, *dev))
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_"))
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        assert len(merge_passes(spark.createDataFrame(en, BOX), spark.createDataFrame(dev, BOX)).collect()) > 100
+        assert 0 < shuffled() - before < 1.5 * size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_labels_and_fonts(spark):
     rows = [(1, 1, i, t, 0.9, 50.0, i * 30.0, 90.0, i * 30.0 + h) for i, (t, h) in enumerate(
         [("Name: A", 20), ("Name: B", 20), ("Father's Name: C", 60), ("x", 60), ("y", 20), ("z", 20)])]
