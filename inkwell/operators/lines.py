@@ -112,10 +112,10 @@ def with_corners(lines: DataFrame, bbox: str = "bbox") -> DataFrame:
     return lines.select("*", *_min_max(F.col(bbox)))
 
 
-def reading_order(lines: DataFrame) -> DataFrame:
-    """15-pixel row bands from the top, left to right inside a band."""
+def reading_order(lines: DataFrame, *ties: Column) -> DataFrame:
+    """15-pixel row bands from the top, left to right inside a band; ``ties`` order what is still equal."""
     band = F.bround(F.col("y0") / ROW_BAND) * ROW_BAND
-    order = Window.partitionBy("doc_id", "page_num").orderBy(F.coalesce(band, F.lit(0.0)), F.coalesce("x0", F.lit(0.0)), "line_no")
+    order = Window.partitionBy("doc_id", "page_num").orderBy(F.coalesce(band, F.lit(0.0)), F.coalesce("x0", F.lit(0.0)), "line_no", *ties)
     return lines.withColumn("reading_pos", F.row_number().over(order))
 
 
@@ -188,7 +188,7 @@ def merge_passes(lines_en: DataFrame, lines_dev: DataFrame) -> DataFrame:
     latin = F.regexp_count("text", F.lit("[A-Za-z]"))
     paired = paired.withColumn("_scripted", (dev_letters >= 2) | ((dev_letters >= 1) & (latin == 0)))
     pair = Window.partitionBy("doc_id", "page_num", "_pair")
-    own = F.struct("confidence", "_scripted")
+    own = F.struct("confidence", "_scripted", "line_no")
 
     def partners(are: Column) -> Column:
         return F.collect_list(F.when(F.col("_pair").isNotNull() & are, own)).over(pair)
@@ -207,10 +207,12 @@ def merge_passes(lines_en: DataFrame, lines_dev: DataFrame) -> DataFrame:
     )
     # a line stands once for each partner it wins against: lines of one number are all partners of the other's
     times = F.when(F.col("_pair").isNull() | (F.size(others) == 0), 1).otherwise(won)
+    # of lines at one place those without a second-pass line come first, then by its number
+    second = F.when(F.col("_dev"), F.col("line_no")).otherwise(F.get("_bs", F.lit(0))["line_no"])
     merged = paired.withColumn("_times", times).where("_times > 0").select(
-        *keep, F.when(F.col("_dev"), "dev").otherwise("en").alias("source_pass"), F.explode(F.array_repeat(F.lit(True), F.col("_times"))).alias("_once")
+        *keep, second.alias("_second"), "_dev", F.when(F.col("_dev"), "dev").otherwise("en").alias("source_pass"), F.explode(F.array_repeat(F.lit(True), F.col("_times"))).alias("_once")
     )
-    return reading_order(merged.drop("_once"))
+    return reading_order(merged.drop("_once"), F.col("_second"), F.col("_dev")).drop("_second", "_dev")
 
 
 def _chosen(lines_en: DataFrame, lines_dev: DataFrame) -> DataFrame:
